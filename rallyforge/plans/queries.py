@@ -1,5 +1,20 @@
 """Registered queries of the core."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rallyforge.operators import spikes
+from rallyforge.sources.tables import table
+
+
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag_faults(table(spark, sf_dir, "positions"), table(spark, sf_dir, "games"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_flags(spark, sf_dir).select("game_id", "clip", "player", "frame")
+
 
 def queries() -> dict:
-    return {}
+    return {"p2_found": p2_found, "p2_flags": p2_flags}
