@@ -34,7 +34,7 @@ SOURCE = ["game_id", "clip", "player"]
 CHUNK_FRAMES, HALO_FRAMES = 32_768, 2_048
 PROFILE, RANK, ROUNDS = 8, 2, 5
 #: Sparse part: beyond this multiple of the residual scale (1.4826 x median absolute residual) of the source.
-SPARSE = 3.0
+SPARSE = 4.0
 #: Constant series: at least so many successive equal readings.
 STUCK_ROWS = 8
 #: Excursion: at most so many rows; the steps out and back beyond this multiple of the source's large steps (the 98th
