@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyforge.operators import spikes
+from rallyforge.operators import regular_grid, spikes
 from rallyforge.sources.tables import table
 
 
@@ -16,5 +16,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_flags(spark, sf_dir).select("game_id", "clip", "player", "frame")
 
 
+def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regular_grid.regular_grid(table(spark, sf_dir, "positions"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_grid(spark, sf_dir).filter("missing").select("game_id", "clip", "player", "period_no")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_flags": p2_flags}
+    return {"p4_found": p4_found, "p4_grid": p4_grid, "p2_found": p2_found, "p2_flags": p2_flags}

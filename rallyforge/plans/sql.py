@@ -1,3 +1,16 @@
 """SQL that gives the same rows as the core's queries, where SQL can."""
 
-ORACLE: dict[str, str] = {}
+P4_FOUND = """
+WITH newest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY game_id, clip, player, frame ORDER BY ingested_at DESC NULLS LAST) AS rn
+    FROM positions WHERE player <> '' AND frame IS NOT NULL) WHERE rn = 1),
+filled AS (
+  SELECT DISTINCT game_id, clip, player, CAST(floor(t * 2) AS BIGINT) AS k FROM newest
+  WHERE isfinite(t) AND NOT isnan(x) AND NOT isnan(y) AND NOT coalesce(interpolated, FALSE)),
+gaps AS (
+  SELECT *, lead(k) OVER (PARTITION BY game_id, clip, player ORDER BY k) AS next_k FROM filled)
+SELECT game_id, clip, player, unnest(generate_series(k + 1, next_k - 1)) AS period_no FROM gaps WHERE next_k > k + 1
+"""
+
+ORACLE: dict[str, str] = {"p4_found": P4_FOUND}
