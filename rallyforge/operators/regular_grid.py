@@ -178,7 +178,8 @@ def _grid(groups: Groups) -> dict | None:
 
 def _blocks(readings: DataFrame, chunk_periods: int, halo_periods: int) -> DataFrame:
     """Each reading with the chunk it belongs to, and once more for a neighbour whose end it is near to."""
-    home, at = F.floor(F.col("period") / chunk_periods), F.pmod("period", F.lit(chunk_periods))
+    shifted = F.col("period") + chunk_periods // 2  # clips start at small times, so no chunk ends at 0
+    home, at = F.floor(shifted / chunk_periods), F.pmod(shifted, F.lit(chunk_periods))
     chunks = F.array(home, F.when(at < halo_periods, home - 1), F.when(at >= chunk_periods - halo_periods, home + 1))
     return readings.withColumn("block", F.explode(F.filter(chunks, lambda c: c.isNotNull()))).withColumn("own", F.col("block") == home)
 
@@ -202,7 +203,7 @@ def regular_grid(positions: DataFrame, chunk_periods: int = CHUNK_PERIODS, halo_
     placed = _blocks(_readings(rows), chunk_periods, halo_periods)
     # Sources of more than one chunk also need, in each chunk, the nearest readings of the chunks before and after. They
     # are looked for among such sources only; as a rule there are none, and then their part of the plan is left out.
-    block = F.floor(F.col("t") / (PERIOD * chunk_periods))
+    block = F.floor((F.floor(F.col("t") / PERIOD) + chunk_periods // 2) / chunk_periods)
     long = rows.filter("reading").groupBy(*SOURCE).agg(F.min(block).alias("a"), F.max(block).alias("b")).filter("a < b").select(*SOURCE)
     if long.limit(1).count():
         one = [F.col(f"rows.{c}").eqNullSafe(F.col(f"long.{c}")) for c in SOURCE]

@@ -195,7 +195,8 @@ def faults(groups: Groups) -> dict:
 def flag_faults(positions: DataFrame, games: DataFrame, chunk_frames: int = CHUNK_FRAMES, halo_frames: int = HALO_FRAMES) -> DataFrame:
     """One row per faulty row: game_id, clip, player, frame, x_fault, y_fault, speed_fault (range, stuck, spike or NULL)."""
     rows = lookup(of_sources(positions).select(*SOURCE, "frame", "x", "y", "speed", "ingested_at"), game_strides(games), ["game_id"])
-    home, at = F.floor(F.col("frame") / chunk_frames), F.pmod("frame", F.lit(chunk_frames))
+    shifted = F.col("frame") + chunk_frames // 2  # clips start at small frames, so no chunk ends at 0
+    home, at = F.floor(shifted / chunk_frames), F.pmod(shifted, F.lit(chunk_frames))
     rows = rows.withColumn("stride", F.coalesce("stride", F.lit(1))).withColumn(
         "chunk",
         F.explode(F.filter(F.array(home, F.when(at < halo_frames, home - 1), F.when(at >= chunk_frames - halo_frames, home + 1)), lambda c: c.isNotNull())),
