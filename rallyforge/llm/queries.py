@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyforge.llm import runs
+from rallyforge.llm import encode, runs
 from rallyforge.sources.tables import table
 
 
@@ -17,5 +17,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("game_id", "clip", "player", "frame_first", "frame_last")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_runs": p1_runs}
+    return {"p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}
