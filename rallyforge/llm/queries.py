@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyforge.llm import encode, runs
+from rallyforge.llm import encode, percentiles, runs
 from rallyforge.sources.tables import table
 
 
@@ -21,5 +21,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(table(spark, sf_dir, "positions"))
+
+
+def p5_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One combinable summary for each day, game, player and metric."""
+    return percentiles.summaries(percentiles.counted_values(table(spark, sf_dir, "positions")), ["day", "game_id", "player"])
+
+
+def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per player out of the summaries of all days and games."""
+    return percentiles.of_summary(percentiles.combine(p5_summaries(spark, sf_dir), ["player"]), ["player"])
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}
+    return {"p5_percentiles": p5_percentiles, "p5_summaries": p5_summaries, "p5_combined": p5_combined, "p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}

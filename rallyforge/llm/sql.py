@@ -21,7 +21,28 @@ runs AS (
     round(max(t) - min(t), 6) AS duration FROM numbered GROUP BY game_id, clip, player, run)
 """
 
+#: Percentiles by rank; missing values do not count, infinite ones do.
+_P5 = """
+WITH newest AS (
+  SELECT game_id, player, speed, dist_t FROM (
+    SELECT *, row_number() OVER (PARTITION BY game_id, clip, player, frame ORDER BY ingested_at DESC NULLS LAST) AS rn
+    FROM positions WHERE player <> '' AND frame IS NOT NULL) WHERE rn = 1),
+wide AS (
+  SELECT 'player' AS level, CAST(NULL AS VARCHAR) AS game_id, player, speed, dist_t FROM newest
+  UNION ALL SELECT 'game_player', game_id, player, speed, dist_t FROM newest),
+long AS (
+  SELECT level, game_id, player, 'speed' AS metric, CASE WHEN NOT isnan(speed) THEN speed END AS v FROM wide
+  UNION ALL SELECT level, game_id, player, 'dist_t', CASE WHEN NOT isnan(dist_t) THEN dist_t END FROM wide),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY level, game_id, player, metric ORDER BY v NULLS LAST) AS r,
+    count(v) OVER (PARTITION BY level, game_id, player, metric) AS n FROM long),
+wanted AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q)
+SELECT level, game_id, player, metric, q, n, v AS value, CAST(0 AS BIGINT) AS rank_error
+FROM ranked, wanted WHERE r = greatest(1, CAST(ceil(q * n) AS BIGINT))
+"""
+
 ORACLE = {
+    "p5_percentiles": _P5,
     "p1_found": _P1 + "SELECT game_id, clip, player, frame_first, frame_last FROM runs WHERE n_rows >= 4",
     "p1_runs": _P1 + "SELECT game_id, clip, player, frame_first, frame_last, n_rows, duration FROM runs",
 }
