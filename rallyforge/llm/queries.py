@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyforge.llm import encode, percentiles, runs
+from rallyforge.llm import encode, percentiles, runs, splits
 from rallyforge.sources.tables import table
 
 
@@ -21,6 +21,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = splits.tie_components(table(spark, sf_dir, "tracklets_tmp"))
+    return roots.select("game_id", roots["root"].alias("tracklet_a"), roots["tracklet"].alias("tracklet_b"))
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(table(spark, sf_dir, "tracklets_tmp"), table(spark, sf_dir, "split_targets"))
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.shares(p3_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(table(spark, sf_dir, "positions"))
 
@@ -36,4 +49,4 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_percentiles": p5_percentiles, "p5_summaries": p5_summaries, "p5_combined": p5_combined, "p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}
+    return {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p5_percentiles": p5_percentiles, "p5_summaries": p5_summaries, "p5_combined": p5_combined, "p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}

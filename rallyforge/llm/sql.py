@@ -41,7 +41,20 @@ SELECT level, game_id, player, metric, q, n, v AS value, CAST(0 AS BIGINT) AS ra
 FROM ranked, wanted WHERE r = greatest(1, CAST(ceil(q * n) AS BIGINT))
 """
 
+#: Reachability over shared detections, by a recursive set of pairs (tracklet, reached smaller tracklet).
+_P3_FOUND = """
+WITH RECURSIVE linked AS (
+  SELECT DISTINCT game_id, det_id, tracklet FROM tracklets_tmp WHERE det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1),
+ties AS (
+  SELECT DISTINCT a.game_id, a.tracklet AS u, b.tracklet AS v FROM linked a JOIN linked b USING (game_id, det_id) WHERE a.tracklet <> b.tracklet),
+reach AS (
+  SELECT game_id, u, v FROM ties
+  UNION SELECT r.game_id, r.u, t.v FROM reach r JOIN ties t ON t.game_id = r.game_id AND t.u = r.v)
+SELECT game_id, min(v) AS tracklet_a, u AS tracklet_b FROM reach GROUP BY game_id, u HAVING min(v) < u
+"""
+
 ORACLE = {
+    "p3_found": _P3_FOUND,
     "p5_percentiles": _P5,
     "p1_found": _P1 + "SELECT game_id, clip, player, frame_first, frame_last FROM runs WHERE n_rows >= 4",
     "p1_runs": _P1 + "SELECT game_id, clip, player, frame_first, frame_last, n_rows, duration FROM runs",
