@@ -35,6 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table; it is broadcast only when its counted rows stay within the bound, else joined by shuffle
     (with adaptive skew splitting)."""
-    if small.limit(most + 1).count() <= most:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
+    return df.join(sized(small, most), on, how)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if its counted rows stay within the bound; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
