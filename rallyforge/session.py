@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,10 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", mo
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if its counted rows stay within the bound; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def importable_by_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it (on clusters, also ship it with --py-files)."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
