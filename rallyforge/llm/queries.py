@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyforge.llm import encode, percentiles, runs, splits
+from rallyforge.llm import encode, mix, percentiles, pieces, runs, splits
 from rallyforge.sources.tables import table
 
 
@@ -48,5 +48,20 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.of_summary(percentiles.combine(p5_summaries(spark, sf_dir), ["player"]), ["player"])
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix.mix(mix.sized_records(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    sized = mix.sized_records(table(spark, sf_dir, "documents"), targets)
+    return mix.shares(sized, mix.mix(sized, targets), targets)
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.cut(table(spark, sf_dir, "documents"), table(spark, sf_dir, "piece_limits"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p5_percentiles": p5_percentiles, "p5_summaries": p5_summaries, "p5_combined": p5_combined, "p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}
+    return {"p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p5_percentiles": p5_percentiles, "p5_summaries": p5_summaries, "p5_combined": p5_combined, "p6_ids": p6_ids, "p1_found": p1_found, "p1_runs": p1_runs}
