@@ -38,8 +38,10 @@ REMEMBERED = 400_000
 #: Longest piece, in bytes, that is encoded together with others.
 TOGETHER = 64
 NONE = np.int64(1) << 40
-#: A space between two characters that are no white space (by the wider of the two common definitions).
-BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)").split
+#: A space beside other white space (by the wider of the two common definitions) or at an end of the text.
+SPACE_BESIDE_SPACE = re.compile(r" \s|\s |\A | \Z").search
+#: Texts that are encoded together.
+SLICE = 512
 
 
 class Vocabulary:
@@ -203,16 +205,17 @@ def _lockstep(pieces: list[bytes], length: np.ndarray, size: int, vocab: Vocabul
 
 
 class Encoder:
-    """Texts to ids, with a bounded memory of words and pieces."""
+    """Texts to ids, with a bounded memory of words and pieces. Ids are kept as the bytes of 32-bit integers, so a text's
+    list is one join of remembered bytes."""
 
     def __init__(self, path: str = BYTE_BPE_50K, pattern: str = PATTERN, remembered: int = REMEMBERED):
         import regex
 
         self.vocab, self.split, self.remembered = Vocabulary(path), regex.compile(pattern).findall, remembered
-        self.pieces: dict[str, tuple] = {}
-        self.words: dict[str, tuple] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
-    def _learn(self, pieces: set[str]) -> dict[str, tuple]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces, remembered ones and new ones."""
         if len(self.pieces) > self.remembered:
             self.pieces.clear()
@@ -221,37 +224,50 @@ class Encoder:
         data = [p.encode() for p in new]
         short = [k for k, d in enumerate(data) if len(d) <= TOGETHER]
         for k, ids in zip(short, encode_together([data[k] for k in short], self.vocab)):
-            known[new[k]] = tuple(ids)
+            known[new[k]] = np.array(ids, np.int32).tobytes()
         for k, d in enumerate(data):
             if len(d) > TOGETHER:
-                known[new[k]] = tuple(encode_long(d, self.vocab))
+                known[new[k]] = np.array(encode_long(d, self.vocab), np.int32).tobytes()
         return known
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """A single space between two other characters always starts a piece. So a text is cut at such spaces into
-        words, each of which is split and encoded on its own and remembered; only stretches around other white space
-        take the pattern over more than one word."""
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as bytes. A single space between two other characters always starts a piece. So a text
+        is cut at such spaces into words, each of which is split and encoded on its own and remembered; only stretches
+        around other white space take the pattern over more than one word."""
         if len(self.words) > self.remembered:
-            self.words.clear()
+            self.words = {"": b""}
         words = self.words
-        parts: list[list[str]] = []
+        parts = [self.units(text) if text else [""] for text in texts]
         new: set[str] = set()
-        for text in texts:
-            units = self.units(text) if text else []
-            parts.append(units)
-            new.update(u for u in units if u not in words)
+        for units in parts:
+            new |= set(units).difference(words)
         if new:
             split = {u: self.split(u) for u in new}
             pieces = self._learn({p for ps in split.values() for p in ps})
             for u, ps in split.items():
-                words[u] = pieces[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in pieces[p])
-        return [[i for u in units for i in words[u]] for units in parts]
+                words[u] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        get = words.__getitem__
+        return [b"".join(map(get, units)) for units in parts]
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_batch([text])[0], np.int32).tolist()
 
     @staticmethod
     def units(text: str) -> list[str]:
         """Stretches of the text between which the pattern always cuts; their concatenation is the text."""
-        first, *others = BETWEEN_WORDS(text)
-        return [first, *[" " + w for w in others]]
+        if "\0" not in text and not SPACE_BESIDE_SPACE(text):
+            return text.replace(" ", "\0 ").split("\0")
+        words = text.split(" ")
+        out = [words[0]]
+        add = out.append
+        for w in words[1:]:
+            # cut before this space only if neither side of it is white space or the text's end
+            last = out[-1]
+            if w and last and not w[0].isspace() and not last[-1].isspace():
+                add(" " + w)
+            else:
+                out[-1] = last + " " + w
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -267,11 +283,12 @@ def encode_texts(documents: DataFrame, path: str = BYTE_BPE_50K, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            lists = enc.encode_batch(batch.column("__text").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.fromiter((i for x in lists for i in x), np.int32, offsets[-1])
-            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, ids])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                coded = enc.encode_batch(batch.column("__text").to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, ids])
 
     return rows.mapInArrow(run, schema)
