@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder
@@ -40,61 +40,65 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, MARK, NO_CUT = "PLSCWcmx"
 NAMES = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", CLAUSE: "clause", WORD: "word", CHARACTER: "character", MARK: "mark", NO_CUT: "none"}
 #: A character has at most 4 bytes, so a start moves back by 3 tokens at most, and by one more at an apostrophe.
 SLACK, LEAST, MOST_LIMITS = 4, 16, 100
-SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-LINE_ENDS = np.array([10, 13, 0x85, 0x2028, 0x2029], np.uint32)
-SENTENCE_ENDS = np.array([ord(c) for c in ".!?…؟۔।‽"], np.uint32)
-WIDE_ENDS = np.array([ord(c) for c in "。！？．"], np.uint32)
-CLAUSE_ENDS = np.array([ord(c) for c in ",;:،؛—"], np.uint32)
-WIDE_CLAUSES = np.array([ord(c) for c in "、，；："], np.uint32)
-CLOSERS = np.array([ord(c) for c in "\"')]}’”»」』）"], np.uint32)
+SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Kinds of characters, as bits: white space, line end, what ends a sentence or a clause before white space, what ends
+#: them without it, closing quotes and brackets, marks that belong to the character before them.
+SPACE, LINE_END, ENDS, WIDE, PAUSES, WIDE_PAUSE, CLOSER, MARKS = (1 << i for i in range(8))
 
 
 @lru_cache(maxsize=1)
-def _marks() -> np.ndarray:
-    """Code points that belong to the character before them: combining marks, joiners, variation selectors."""
-    table = np.zeros(0x110000, bool)
-    table[[c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"]] = True
-    table[0x200D] = True
-    table[0x1F3FB:0x1F400] = True
-    table[0xE0100:0xE01F0] = True
+def kinds() -> np.ndarray:
+    table = np.zeros(0x110000, np.uint8)
+    for bit, chars in ((ENDS, ".!?…؟۔।‽"), (WIDE, "。！？．"), (PAUSES, ",;:،؛—"), (WIDE_PAUSE, "、，；："), (CLOSER, "\"')]}’”»」』）")):
+        table[[ord(c) for c in chars]] |= bit
+    table[SPACES] |= SPACE
+    table[[10, 13, 0x85, 0x2028, 0x2029]] |= LINE_END
+    table[[c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"]] |= MARKS
+    table[[0x200D, *range(0x1F3FB, 0x1F400), *range(0xE0100, 0xE01F0)]] |= MARKS  # joiner, skin tones, variation selectors
     return table
 
 
-def shape(text: str, token_bytes: np.ndarray) -> tuple[str, np.ndarray]:
-    """The shape of a text, and the number of characters up to each token's end. token_bytes: bytes of each token."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    ends = np.cumsum(token_bytes)
-    starts_char = (data & 0xC0) != 0x80
-    chars = np.cumsum(starts_char)[ends - 1]
-    whole = np.ones(len(ends), bool)
-    inner = ends < len(data)
-    whole[inner] = starts_char[ends[inner]]
+def shapes_of(texts: list[str], token_bytes: list[np.ndarray]) -> list[tuple[str, np.ndarray]]:
+    """For each text its shape, and the number of bytes up to each token's end. token_bytes: bytes of each token.
+
+    All texts are looked at together, with a character 0 between them, as a token of its own."""
+    whole_text = "\0".join(texts)
+    one = np.ones(1, np.int64)
+    sizes = np.concatenate([x for t in token_bytes for x in (t, one)])[:-1]
+    data = np.frombuffer(whole_text.encode(), np.uint8)
+    code = np.frombuffer(whole_text.encode("utf-32-le"), np.uint32)
+    kind = kinds()[code]
+    ends = np.cumsum(sizes)
+    head = (data & 0xC0) != 0x80
+    chars = np.cumsum(head, dtype=np.int32)[ends - 1]  # characters up to each token's end
+    starts = np.append(head, True)[ends]  # the next byte starts a character, so the token ends with one
     n = len(code)
-    before, after = code[chars - 1], np.append(code, 32)[np.minimum(chars, n)]
-    # classes of characters, each looked up once for the whole text
-    space, line = np.isin(code, SPACES), np.isin(code, LINE_ENDS)
-    at = np.arange(n)
-    # the last character that is no white space, the last line end, the last that is no closing quote or bracket
-    solid = np.maximum.accumulate(np.where(~space, at, -1))
-    lines = np.cumsum(line & ~((code == 10) & (np.append(0, code[:-1]) == 13)))
-    unclosed = np.maximum.accumulate(np.where(~np.isin(code, CLOSERS), at, -1))
+    at = np.arange(n, dtype=np.int32)
+    space, line = (kind & SPACE) > 0, (kind & LINE_END) > 0
+    solid = np.maximum.accumulate(np.where(space, -1, at))  # the last character that is no white space
+    unclosed = np.maximum.accumulate(np.where(kind & CLOSER, -1, at))  # the last that is no closing quote or bracket
+    lines = np.cumsum(line & ~((code == 10) & (np.append(0, code[:-1]) == 13)), dtype=np.int32)
     i = chars - 1
-    next_space = np.append(space, True)[np.minimum(chars, n)]
-    next_line = np.append(line, False)[np.minimum(chars, n)]
-    after_line = line[i] & ~next_line
-    # line ends since the last solid character: two or more are an empty line
-    since = lines[i] - np.where(solid[i] >= 0, lines[np.maximum(solid[i], 0)], 0)
-    last = np.maximum(unclosed[i], 0)
-    out = np.full(len(ends), CHARACTER, "U1")
-    out[_marks()[after] | (before == 0x200D)] = MARK
-    out[next_space | space[i]] = WORD
-    out[(np.isin(code[last], CLAUSE_ENDS) & next_space) | np.isin(code[last], WIDE_CLAUSES)] = CLAUSE
-    out[(np.isin(code[last], SENTENCE_ENDS) & next_space) | np.isin(code[last], WIDE_ENDS)] = SENTENCE
-    out[after_line] = LINE
-    out[after_line & (since >= 2)] = PARAGRAPH
-    out[~whole | (after == 39)] = NO_CUT
-    return "".join(out.tolist()), chars.astype(np.int32)
+    following = np.minimum(chars, n - 1)
+    next_space = space[following] | (chars == n)
+    after_line = line[i] & ~(line[following] & (chars < n))
+    since = lines[i] - np.where(solid[i] >= 0, lines[np.maximum(solid[i], 0)], 0)  # two line ends or more: an empty line
+    last = kind[np.maximum(unclosed[i], 0)]
+    out = np.full(len(ends), ord(CHARACTER), np.uint8)
+    out[((kind[following] & MARKS) > 0) | (code[i] == 0x200D)] = ord(MARK)
+    out[next_space | space[i]] = ord(WORD)
+    out[(((last & PAUSES) > 0) & next_space) | ((last & WIDE_PAUSE) > 0)] = ord(CLAUSE)
+    out[(((last & ENDS) > 0) & next_space) | ((last & WIDE) > 0)] = ord(SENTENCE)
+    out[after_line] = ord(LINE)
+    out[after_line & (since >= 2)] = ord(PARAGRAPH)
+    out[~starts | (code[following] == 39)] = ord(NO_CUT)
+    letters = out.tobytes().decode("ascii")
+    made, token, byte = [], 0, 0
+    for t in token_bytes:
+        upto = ends[token : token + len(t)] - byte
+        made.append((letters[token : token + len(t)], upto.astype(np.int32)))
+        token, byte = token + len(t) + 1, byte + int(upto[-1]) + 1
+    return made
 
 
 def taking(limit: int) -> str:
@@ -107,7 +111,7 @@ def taking(limit: int) -> str:
 
 
 def shapes(documents: DataFrame, least: int, path: str = BYTE_BPE_50K, key: str = "doc_id") -> DataFrame:
-    """key, text, shape, ends (characters up to each token's end) of the texts of more than `least` tokens."""
+    """key, text (UTF-8 bytes), shape, ends (bytes up to each token's end) of the texts of more than `least` tokens."""
     rows = documents.select(F.col(key).alias("key"), F.col("text").alias("text")).filter(F.octet_length("text") > least)
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -120,22 +124,20 @@ def shapes(documents: DataFrame, least: int, path: str = BYTE_BPE_50K, key: str
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 texts = batch.column("text").to_pylist()
-                kept, made = [], []
-                for i, coded in enumerate(enc.encode_batch(texts)):
-                    if len(coded) // 4 > least:
-                        kept.append(i)
-                        made.append(shape(texts[i], size[np.frombuffer(coded, np.int32)]))
+                coded = enc.encode_batch(texts)
+                kept = [i for i, c in enumerate(coded) if len(c) // 4 > least]
                 if kept:
+                    made = shapes_of([texts[i] for i in kept], [size[np.frombuffer(coded[i], np.int32)] for i in kept])
                     some = batch.take(pa.array(kept))
                     offsets = np.concatenate([[0], np.cumsum([len(e) for _, e in made])]).astype(np.int32)
                     ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([e for _, e in made])))
-                    yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text"), pa.array([s for s, _ in made]), ends], names=["key", "text", "shape", "ends"])
+                    yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text").cast(pa.binary()), pa.array([s for s, _ in made]), ends], names=["key", "text", "shape", "ends"])
 
-    return rows.mapInArrow(run, f"key {kind}, text string, shape string, ends array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, text binary, shape string, ends array<int>").withColumnRenamed("key", key)
 
 
 def cut(documents: DataFrame, limits: DataFrame, path: str = BYTE_BPE_50K, key: str = "doc_id") -> DataFrame:
-    """key, limit_name, piece_no, n_tokens, overlap (tokens shared with the piece before), token_start, char_start, cut
+    """key, limit_name, piece_no, n_tokens, overlap (tokens shared with the piece before), token_start, byte_start (in UTF-8), cut
     (the boundary at its end; 'end' for the last) and piece, for each text above each limit."""
     wanted = limits.select("limit_name", "max_tokens", "overlap_tokens").filter(F.col("max_tokens") >= LEAST).distinct().limit(MOST_LIMITS + 1).collect()
     if len(wanted) > MOST_LIMITS:
@@ -148,24 +150,45 @@ def cut(documents: DataFrame, limits: DataFrame, path: str = BYTE_BPE_50K, key:
         overlap = max(0, min(r["overlap_tokens"] or 0, most // 2 - SLACK))
         fresh = most - overlap - SLACK if overlap else most
         pattern = f"\\A(?:{taking(most)})|{taking(fresh)}"
-        sizes = F.when(F.length("shape") > most, F.transform(F.regexp_extract_all("shape", F.lit(pattern), F.lit(0)), lambda m: F.length(m)))
-        ways.append(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(overlap).alias("want"), sizes.alias("sizes")))
-    none = F.array().cast("array<struct<limit_name:string,want:int,sizes:array<int>>>")
-    taken = described.select(key, "text", "shape", "ends", F.inline(F.array(*ways) if ways else none)).filter("sizes IS NOT NULL")
-    upto = F.aggregate("sizes", F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
-    placed = taken.withColumn("upto", upto).select(key, "limit_name", "want", "text", "shape", "ends", "upto", F.posexplode("upto").alias("no", "stop"))
-    previous = F.when(F.col("no") > 0, F.get("upto", F.col("no") - 1)).otherwise(F.lit(0))
-    back = F.greatest(F.lit(0), F.col("previous") - F.col("want"))
-    tail = F.substring("shape", F.greatest(F.lit(1), F.col("back") - 7), F.least(F.col("back"), F.lit(8)))
-    start = F.when(F.col("back") > 0, F.col("back") - F.length(F.regexp_extract(tail, f"({NO_CUT}*)\\z", 1))).otherwise(F.lit(0))
-    placed = placed.withColumn("previous", previous).withColumn("back", back).withColumn("start", F.greatest(F.lit(0), start))
-    char_start = F.when(F.col("start") > 0, F.get("ends", F.col("start") - 1)).otherwise(F.lit(0))
-    letter = F.substring("shape", F.col("stop"), F.lit(1))
-    kind = F.when(F.col("stop") == F.size("ends"), "end")
+        matches = F.when(F.length("shape") > most, F.regexp_extract_all("shape", F.lit(pattern), F.lit(0)))
+        ways.append(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(overlap).alias("want"), matches.alias("matches")))
+    none = F.array().cast("array<struct<limit_name:string,want:int,matches:array<string>>>")
+    taken = described.select(key, "text", "shape", "ends", F.inline(F.array(*ways) if ways else none)).filter("matches IS NOT NULL")
+    # Everything about the pieces is computed inside arrays; only finished pieces are made into rows, so no text is copied
+    # for each of its pieces.
+    sizes = F.transform("matches", lambda m: F.length(m))
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
+    # Bytes are cut in the time of the piece, characters in that of the whole text: so text and shape are cut as bytes.
+    each = lambda data, letters, upto: F.transform(
+        upto, lambda stop, i: _let(F.coalesce(F.get(upto, i - 1), F.lit(0)), lambda before: _piece(data, letters, i, before, stop))
+    )
+    made = _let(F.col("text"), lambda data: _let(F.col("shape").cast("binary"), lambda letters: _let(ends, lambda upto: each(data, letters, upto))))
+    return taken.select(key, "limit_name", made.alias("pieces")).select(key, "limit_name", F.inline("pieces"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once (a variable of a lambda is; a column that is used there is not)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _start(letters: Column, back: Column) -> Column:
+    """Where a piece starts that should share the tokens from `back` on: before the tokens that no piece may start after."""
+    tail = F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string")
+    return F.when(back > 0, F.greatest(F.lit(0), back - F.length(F.regexp_extract(tail, f"({NO_CUT}*)\\z", 1)))).otherwise(F.lit(0))
+
+
+def _piece(data: Column, letters: Column, no: Column, before: Column, stop: Column) -> Column:
+    letter = F.substring(letters, stop, F.lit(1)).cast("string")
+    kind = F.when(stop == F.size("ends"), "end")
     for c, name in NAMES.items():
         kind = kind.when(letter == c, name)
-    return placed.select(
-        key, "limit_name", (F.col("no") + 1).alias("piece_no"), (F.col("stop") - F.col("start")).alias("n_tokens"),
-        (F.col("previous") - F.col("start")).alias("overlap"), F.col("start").alias("token_start"), char_start.alias("char_start"), kind.alias("cut"),
-        F.substring("text", char_start + 1, F.get("ends", F.col("stop") - 1) - char_start).alias("piece"),
-    )
+
+    def made(start: Column) -> Column:
+        a = F.coalesce(F.get("ends", start - 1), F.lit(0))
+        text = F.substring(data, a + 1, F.get("ends", stop - 1) - a).cast("string")
+        return F.struct(
+            (no + 1).alias("piece_no"), (stop - start).alias("n_tokens"), (before - start).alias("overlap"), start.alias("token_start"), a.alias("byte_start"),
+            kind.alias("cut"), text.alias("piece"),
+        )
+
+    return _let(_start(letters, before - F.col("want")), made)
