@@ -1,28 +1,436 @@
-"""Registered queries of the core."""
+"""Registered queries of the core: name -> (spark, sf_dir) -> DataFrame. Every one runs over its whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rallyforge.operators import regular_grid, spikes
-from rallyforge.sources.tables import table
+from rallyforge.functions import camera, court
+from rallyforge.functions import text as text_fn
+from rallyforge.operators import asof, features, identity, islands, metrics, rallies, regular_grid, serves, signals, spikes, track
+from rallyforge.session import cut_lineage
+from rallyforge.sources.tables import clean_positions, clean_rallies, table
 
+CLIP, WHO = signals.CLIP, metrics.WHO
+#: A calibration to project with (no table ships one).
+LENS = camera.Lens(-0.25, 288.0, 320.0, 430.0)
+CALIBRATION = camera.Calibration(((0.02, 0.0, -2.0), (0.0, 0.03, -5.0), (0.0, 0.001, 1.0)), LENS)
 
-def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes.flag_faults(table(spark, sf_dir, "positions"), table(spark, sf_dir, "games"))
 
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_flags(spark, sf_dir).select("game_id", "clip", "player", "frame")
 
+def _pos(spark: SparkSession, d: str) -> DataFrame:
+    return clean_positions(table(spark, d, "positions"))
 
-def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regular_grid.regular_grid(table(spark, sf_dir, "positions"))
 
+def _rallies(spark: SparkSession, d: str) -> DataFrame:
+    return clean_rallies(table(spark, d, "rallies"))
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_grid(spark, sf_dir).filter("missing").select("game_id", "clip", "player", "period_no")
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return signals.side_by_side(_pos(spark, d))
+
+
+def _inside(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.rows_in_rallies(_wide(spark, d), _rallies(spark, d))
+
+
+def _players(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.by_player(_inside(spark, d))
+
+
+# -- problems of the core
+
+
+def p2_flags(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flag_faults(table(spark, d, "positions"), table(spark, d, "games"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_flags(spark, d).select("game_id", "clip", "player", "frame")
+
+
+def p4_grid(spark: SparkSession, d: str) -> DataFrame:
+    return regular_grid.regular_grid(table(spark, d, "positions"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_grid(spark, d).filter("missing").select("game_id", "clip", "player", "period_no")
+
+
+# -- geometry and projection
+
+
+def court_zone_share(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.zone_shares(_pos(spark, d), ["game_id", "player"]), "share")
+
+
+def court_points(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar functions of a place: zone, distance to the T, service box with and without pad, receiver position."""
+    x, y = F.col("x"), F.col("y")
+    rows = _pos(spark, d).filter("x IS NOT NULL AND y IS NOT NULL")
+    return rows.select(
+        *WHO, "frame", court.zone_row(y).alias("zone_row"), court.zone_col(x).alias("zone_col"), F.round(court.dist_to_t(x, y), 4).alias("dist"),
+        court.in_box(x, y, "left").alias("in_left"), court.box_of(x, y).alias("box"), court.receiver_ok(x, y, F.lit("left")).alias("waits_for_left"),
+        court.receiver_ok(x, y, F.lit("right"), "past_inner_line").alias("past_line_right"), F.round(court.clip(x, 0.0, court.WIDTH), 4).alias("x_clipped"),
+    )
+
+
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    """Detections around the foot points of positions: box and ankles by fixed offsets."""
+    p = _pos(spark, d).filter("fx IS NOT NULL AND fy IS NOT NULL")
+    fx, fy = F.col("fx"), F.col("fy")
+    return p.select(
+        *WHO, "frame", "t", (fx - 20).alias("x0"), (fx + 22).alias("x1"), fy.alias("y1"), (fx - 5).alias("lank_x"), (fy - 8).alias("lank_y"), F.col("conf").alias("lank_c"),
+        (fx + 6).alias("rank_x"), (fy - 9).alias("rank_y"), (1 - F.col("conf")).alias("rank_c"),
+    )
+
+
+def foot_point_projection(spark: SparkSession, d: str) -> DataFrame:
+    made = _detections(spark, d).withColumns(camera.foot_point(430.0))
+    return rounded(made.select(*WHO, "frame", "fx", "fy", "ankle_vis", "feet_cut"), "fx", "fy", digits=4)
+
+
+def lens_undistort(spark: SparkSession, d: str) -> DataFrame:
+    ux, uy = camera.undistort(F.col("fx"), F.col("fy"), LENS)
+    return _pos(spark, d).select(*WHO, "frame", F.round(ux, 4).alias("ux"), F.round(uy, 4).alias("uy"))
+
+
+def lens_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Largest error, by player, of distorting the undistorted point (within the lens's reach)."""
+    near = _pos(spark, d).filter(F.hypot(F.col("fx") - LENS.cx, F.col("fy") - LENS.cy) < 300)
+    px, py = camera.distort(*camera.undistort(F.col("fx"), F.col("fy"), LENS), LENS)
+    error = F.hypot(px - F.col("fx"), py - F.col("fy"))
+    return near.groupBy("player").agg(F.count("*").alias("n"), (F.max(error) < 1e-3).alias("exact"))
+
+
+def homography_project(spark: SparkSession, d: str) -> DataFrame:
+    x, y = camera.to_court(CALIBRATION, F.col("fx"), F.col("fy"))
+    return _pos(spark, d).select(*WHO, "frame", F.round(x, 4).alias("cx"), F.round(y, 4).alias("cy"))
+
+
+def court_to_pixels(spark: SparkSession, d: str) -> DataFrame:
+    x, y = camera.to_pixels(camera.Calibration(CALIBRATION.h), F.col("x"), F.col("y"))
+    return _pos(spark, d).select(*WHO, "frame", F.round(x, 4).alias("px"), F.round(y, 4).alias("py"))
+
+
+def court_lines(spark: SparkSession, d: str) -> DataFrame:
+    return court.court_lines(spark)
+
+
+# -- signals
+
+
+def activity_signal(spark: SparkSession, d: str) -> DataFrame:
+    wide = _wide(spark, d)
+    active = signals.activity(wide, signals.sample_rate(_pos(spark, d)))
+    return rounded(active.select(*CLIP, "frame", "t", "activity"), "activity")
+
+
+def sample_rate(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(signals.sample_rate(_pos(spark, d)), "fps_eff", digits=4)
+
+
+def _active(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Frames with their activity, stored since several steps read them, and the thresholds of each clip."""
+    pos = _pos(spark, d)
+    active = cut_lineage(signals.activity(signals.side_by_side(pos), signals.sample_rate(pos)))
+    return active, cut_lineage(signals.pace_parameters(active, pos))
+
+
+def pace_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    pos = _pos(spark, d)
+    made = signals.pace_parameters(signals.activity(signals.side_by_side(pos), signals.sample_rate(pos)), pos)
+    return rounded(made, *(c for c in made.columns if c not in CLIP), digits=5)
+
+
+def both_players_still(spark: SparkSession, d: str) -> DataFrame:
+    return _wide(spark, d).withColumn("still", signals.both_still()).select(*CLIP, "frame", "still")
+
+
+def gradient_speed(spark: SparkSession, d: str) -> DataFrame:
+    dt = signals.gradient("t", track.by_source())
+    v = F.hypot(signals.gradient("x", track.by_source()) / dt, signals.gradient("y", track.by_source()) / dt)
+    return _pos(spark, d).select(*WHO, "frame", v.alias("v")).withColumn("v", F.round(F.when(F.col("v") <= 8.0, F.col("v")), 4))
+
+
+def trail_window(spark: SparkSession, d: str) -> DataFrame:
+    t = signals.trail(_pos(spark, d))
+    return t.select(*WHO, "frame", F.size("trail").cast("bigint").alias("points"), F.round(F.aggregate("trail", F.lit(0.0), lambda a, p: a + p["x"]), 3).alias("sum_x"))
+
+
+def hysteresis_segments(spark: SparkSession, d: str) -> DataFrame:
+    active = signals.activity(_wide(spark, d), signals.sample_rate(_pos(spark, d))).filter("t IS NOT NULL").withColumn("activity", F.round("activity", 6))
+    return islands.hysteresis(active, CLIP, ["frame"], "activity", 1.8, 0.9)
+
+
+# -- serves, rallies, score
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    active, limits = _active(spark, d)
+    return serves.serve_events(active, limits)
+
+
+def serve_events(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d)
+
+
+def serve_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return serves.serve_clusters(_events(spark, d)).drop("ambiguous")
+
+
+def ambiguous_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return serves.serve_clusters(_events(spark, d)).groupBy("game_id").agg(F.count("*").alias("clusters"), F.sum(F.col("ambiguous").cast("bigint")).alias("ambiguous"))
+
+
+def detected_rallies(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain: signals, serves, cuts at pauses, missed serves, long rallies, plausibility, score."""
+    active, limits = _active(spark, d)
+    clusters = serves.serve_clusters(serves.serve_events(active, limits))
+    ends = active.groupBy(*CLIP).agg(F.max("t").alias("clip_end"))
+    cut = cut_lineage(rallies.segment(active, clusters, limits, ends))
+    kept = rallies.infer_serves(cut, active, limits).filter("NOT dropped").drop("dropped")
+    parts = cut_lineage(rallies.split_long(kept, active, limits))
+    good = rallies.implausible(parts, active, limits).filter("reason IS NULL").drop("reason")
+    scored = serves.score(rallies.numbered(good))
+    made = scored.withColumn("note", text_fn.joined(F.col("note"), F.col("score_note"))).withColumn("rest_before", serves.rest_before())
+    return rounded(made.drop("score_note"), "t_start", "t_end", "duration", "rest_before", digits=3)
+
+
+def segment_rallies(spark: SparkSession, d: str) -> DataFrame:
+    active, limits = _active(spark, d)
+    clusters = serves.serve_clusters(serves.serve_events(active, limits))
+    ends = active.groupBy(*CLIP).agg(F.max("t").alias("clip_end"))
+    return rallies.segment(active, clusters, limits, ends)
+
+
+def dropped_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that cannot be rallies with the reason, of those cut at pauses."""
+    active, limits = _active(spark, d)
+    return rallies.implausible(segment_rallies(spark, d), active, limits).filter("reason IS NOT NULL")
+
+
+def infer_missed_serves(spark: SparkSession, d: str) -> DataFrame:
+    active, limits = _active(spark, d)
+    return rallies.infer_serves(segment_rallies(spark, d), active, limits)
+
+
+def split_long_rallies(spark: SparkSession, d: str) -> DataFrame:
+    """Long rallies of the table, split at serves in quiet moments."""
+    active, limits = _active(spark, d)
+    rows = _rallies(spark, d).select(*CLIP, "t_start", "t_end", "server", "box", F.coalesce("note", F.lit("")).alias("note"))
+    return rallies.split_long(rows, active, limits)
+
+
+def score_progress(spark: SparkSession, d: str) -> DataFrame:
+    made = serves.score(_rallies(spark, d).select(*CLIP, "rally", "t_start", "server", "box"), "rally")
+    return made.select(*CLIP, "rally", "winner", "score_p1", "score_p2", F.col("score_note").alias("note"))
+
+
+def rest_before(spark: SparkSession, d: str) -> DataFrame:
+    return _rallies(spark, d).select(*CLIP, "rally", F.round(serves.rest_before("rally"), 3).alias("rest"))
+
+
+def rally_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    return _inside(spark, d).groupBy(*CLIP, "rally").agg(F.count("*").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+
+
+def rally_path_length(spark: SparkSession, d: str) -> DataFrame:
+    made = rallies.rally_metrics(_rallies(spark, d), _wide(spark, d))
+    return rounded(made, *(c for c in made.columns if c not in (*CLIP, "rally")), digits=5)
+
+
+# -- metrics
+
+
+def player_movement(spark: SparkSession, d: str) -> DataFrame:
+    made = metrics.movement(_players(spark, d))
+    return rounded(made, *(c for c in made.columns if c not in (*WHO, "frames_in_rally")), digits=5)
+
+
+def heatmap_bins(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.heatmap(_players(spark, d), ["game_id", "player"])
+
+
+def speed_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.speed_histogram(_players(spark, d), ["player"]), "density", digits=8)
+
+
+def excursion_recovery(spark: SparkSession, d: str) -> DataFrame:
+    made = islands.excursions(_players(spark, d).filter("t IS NOT NULL"), WHO, ["frame"], F.col("dist_t") > 1.5)
+    return rounded(made, "recovery_s", digits=4)
+
+
+def speed_bursts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _players(spark, d).filter("t IS NOT NULL")
+    # a float difference of exactly half a second may fall on either side of it
+    return islands.bursts(rows, WHO, ["frame"], F.coalesce("speed", F.lit(0.0)) > 3.0, least_s=0.5 - 1e-6)
+
+
+def longest_streak(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.longest_streaks(_rallies(spark, d))
+
+
+def player_points(spark: SparkSession, d: str) -> DataFrame:
+    made = metrics.points(_rallies(spark, d))
+    return rounded(made, *(c for c in made.columns if c.startswith(("mean", "distance"))), digits=5)
+
+
+def serve_by_box(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.serve_by_box(_rallies(spark, d))
+
+
+def game_summary(spark: SparkSession, d: str) -> DataFrame:
+    made = metrics.game_summary(_rallies(spark, d))
+    return rounded(made, "mean_rally_s", "median_rally_s", "total_rally_s", "total_rest_s", "mean_rest_s", "work_rest_ratio", digits=5)
+
+
+def separation_crowding(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.separation(_inside(spark, d)), "mean_separation_m", "crowding_share", digits=5)
+
+
+def track_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.reliability(_pos(spark, d)), "feet_cut_share", "interpolated_share", "tracked_share")
+
+
+def rally_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rallies as a report shows them."""
+    return _rallies(spark, d).select(
+        *CLIP, "rally", text_fn.mmss(F.col("t_start")).alias("start"), text_fn.number(F.col("duration"), 1, " s").alias("length"), text_fn.percent(F.col("tshare_p1")).alias("t_p1"),
+        text_fn.joined(F.initcap("server"), F.col("box"), by=" ").alias("serve"), F.coalesce(F.nullif("note", F.lit("")), F.lit(text_fn.DASH)).alias("note"),
+    )
+
+
+# -- tracks
+
+
+def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    rows = track.regular_frames(_pos(spark, d).select(*WHO, "frame", "x", "y")).withColumn("__n", F.row_number().over(track.by_source()))
+    made = rows.select(*WHO, "frame", F.col("x").isNull().alias("interpolated"), track.interpolate("x", F.lit(6)).alias("x"), track.interpolate("y", F.lit(6)).alias("y"))
+    return rounded(made, "x", "y", digits=5)
+
+
+def savgol_track(spark: SparkSession, d: str) -> DataFrame:
+    pos = _pos(spark, d)
+    rates = signals.sample_rate(pos)
+    made = track.smooth_tracks(pos.select(*WHO, "frame", "t", "x", "y", "conf"), rates)
+    return rounded(made, "t", "x", "y", "speed", "dist_t", "conf", digits=4)
+
+
+def overlay_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(track.every_frame(_pos(spark, d)), "x", "y", digits=4)
+
+
+# -- lookups in time
+
+
+def score_asof(spark: SparkSession, d: str) -> DataFrame:
+    return asof.score_at(_wide(spark, d).select(*CLIP, "frame", "t"), _rallies(spark, d))
+
+
+def rally_asof(spark: SparkSession, d: str) -> DataFrame:
+    return asof.rally_at(_wide(spark, d).select(*CLIP, "frame", "t").filter("t IS NOT NULL"), _rallies(spark, d)).drop("t")
+
+
+def frames_near_rallies(spark: SparkSession, d: str) -> DataFrame:
+    return asof.near_rallies(_wide(spark, d).select(*CLIP, "frame", "t"), _rallies(spark, d)).groupBy(*CLIP).agg(F.count("*").alias("frames"))
+
+
+def review_topk(spark: SparkSession, d: str) -> DataFrame:
+    return asof.review(_rallies(spark, d))
+
+
+# -- identity
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of a frame as tracklets (one per source) with a score: the side of the court, in whole hundredths."""
+    rows = _pos(spark, d).filter("x IS NOT NULL AND y IS NOT NULL")
+    return rows.select(
+        "game_id", "clip", "frame", "x", "y", "conf", F.when(F.col("player") == "p1", 1).otherwise(2).cast("bigint").alias("det_id"),
+        (F.when(F.col("player") == "p1", 0).otherwise(1_000_000) + F.floor(F.col("frame") / 40)).alias("tracklet"), F.round((F.col("x") - court.T_X) / 3.2, 2).alias("score"),
+    )
+
+
+def tracklet_labels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(identity.tracklet_labels(_scored(spark, d), CLIP), "s", "conf", "weight")
+
+
+def tracklet_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(identity.tracklet_stats(identity.tracklet_labels(_scored(spark, d), CLIP), CLIP), "weighted_abs_score", digits=5)
+
+
+def conflict_resolver(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d)
+    labels = identity.tracklet_labels(rows, CLIP).select(*CLIP, "tracklet", "label", F.round("weight", 6).alias("weight"))
+    return identity.resolve_frames(rows.join(labels, [*CLIP, "tracklet"]), CLIP).select(*CLIP, "frame", "det_id", "label", "player")
+
+
+def flip_parts(spark: SparkSession, d: str) -> DataFrame:
+    made = identity.split_on_flips(_scored(spark, d).withColumn("tracklet", F.col("det_id")), CLIP, margin=0.1001)
+    return made.groupBy(*CLIP, "tracklet").agg(F.max("part").cast("bigint").alias("cuts"))
+
+
+def build_tracklets(spark: SparkSession, d: str) -> DataFrame:
+    """Tracklets from the readings of both players as unlabelled detections."""
+    rows = _scored(spark, d).drop("tracklet", "score")
+    return identity.build_tracklets(rows, CLIP, stride=3).select(*CLIP, "frame", "det_id", "tracklet")
+
+
+def class_membership(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "tracklets_tmp").filter("det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1").distinct()
+    classes = identity.class_of(table(spark, d, "tracklet_labels"), ["game_id"])
+    joined = links.join(classes, ["game_id", "tracklet"], "left").withColumn("class", F.coalesce("class", F.lit(-1)))
+    return joined.groupBy("game_id", "class").agg(F.countDistinct("tracklet").alias("tracklets"), F.count("*").alias("links"))
+
+
+def spectator_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Projection, filters and confidence of detections: who is kept, with what score and confidence."""
+    rows = _pos(spark, d).withColumn("prob_p1", F.col("conf")).withColumn("prob_p2", (1 - F.col("conf")) / 2).withColumn("prob_other", (1 - F.col("conf")) / 2 + F.when(F.col("feet_cut"), 0.2).otherwise(0.0))
+    kept = rows.filter(identity.players_only() & identity.in_court_window())
+    return kept.select(*WHO, "frame", F.round(identity.identity_score(), 4).alias("score"), F.round(identity.position_confidence(), 4).alias("pos_conf"))
+
+
+# -- vectors
+
+
+def frame_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("grp", F.floor(F.col("vec_id") / 2))
+    pairs = features.frame_pairs(rows, ["grp"], "vec_id", "embedding")
+    return pairs.select("grp", "a", "b", F.round(features.dot("va", "vb"), 4).alias("dot"))
+
+
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("u", features.unit("embedding"))
+    return rows.select("vec_id", F.round(features.dot("u", "u"), 6).alias("norm2"), F.round(F.get("u", F.lit(0)), 5).alias("first"))
+
+
+def separating_axis(spark: SparkSession, d: str) -> DataFrame:
+    """Two means along the axis that separates the vectors of a pair."""
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL").withColumn("grp", F.floor(F.col("vec_id") / 2))
+    size = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    axis = features.separating_axis(features.frame_pairs(rows, ["grp"], "vec_id", "embedding"), size)
+    return features.axis_scores(rows, "embedding", axis).select("vec_id", "label", F.round("score", 5).alias("score"))
+
+
+def feature_z_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rallies(spark, d).select(*CLIP, "rally", "duration", "dist_p1", "rest_before")
+    made = features.z_scores(rows, ["duration", "dist_p1", "rest_before"], fill=("rest_before",))
+    return rounded(made, "duration", "dist_p1", "rest_before")
+
+
+QUERIES = (
+    p2_found, p2_flags, p4_found, p4_grid, court_zone_share, court_points, foot_point_projection, lens_undistort, lens_round_trip, homography_project, court_to_pixels, court_lines,
+    activity_signal, sample_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
+    detected_rallies, segment_rallies, dropped_segments, infer_missed_serves, split_long_rallies, score_progress, rest_before, rally_interval_join, rally_path_length, player_movement,
+    heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
+    gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
+    build_tracklets, class_membership, spectator_filter, frame_pairs, unit_vectors, separating_axis, feature_z_scores,
+)
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_grid": p4_grid, "p2_found": p2_found, "p2_flags": p2_flags}
+    return {q.__name__: q for q in QUERIES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -33,3 +33,23 @@ def of_sources(positions: DataFrame) -> DataFrame:
 
 def game_strides(games: DataFrame) -> DataFrame:
     return games.filter(F.col("game_id").isNotNull()).groupBy("game_id").agg(F.max("frame_stride").cast("int").alias("stride"))
+
+
+#: Frames of a clip are cut into chunks of so many where a partition needs a bound.
+CHUNK_FRAMES = 32_768
+
+
+def clean_positions(positions: DataFrame) -> DataFrame:
+    """Counted rows of sources: the newest version of each key, numbers finite or NULL.
+
+    One shuffle by source and chunk of frames; the newest version is the first of its frame in that order."""
+    key = ["game_id", "clip", "player", F.floor(F.col("frame") / CHUNK_FRAMES)]
+    order = Window.partitionBy(*key).orderBy("frame", F.col("ingested_at").desc_nulls_last())
+    rows = of_sources(positions).withColumn("__before", F.lag("frame").over(order)).filter("__before IS NULL OR __before <> frame")
+    finite = lambda f: F.when(~F.isnan(f.name) & (F.abs(f.name) < float("inf")), F.col(f.name)).alias(f.name)
+    return rows.select(*(finite(f) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in positions.schema.fields if f.name != "ingested_at"))
+
+
+def clean_rallies(rallies: DataFrame) -> DataFrame:
+    """Rallies without copies, NaN as NULL."""
+    return nan_to_null(rallies).dropDuplicates(["game_id", "clip", "rally"])
