@@ -46,7 +46,8 @@ def interpolate(value: str | Column, limit: int | Column) -> Column:
     c, w = F.col(value).cast("double") if isinstance(value, str) else value, by_source()
     here = F.when(c.isNotNull(), F.struct(F.col("__n").alias("n"), c.alias("v")))
     before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # looking ahead from the other end: a frame that reaches to the end would be gone through anew for every row
+    after = F.last(here, ignorenulls=True).over(Window.partitionBy(*SOURCE).orderBy(F.col("frame").desc()).rowsBetween(Window.unboundedPreceding, 0))
     between = before["v"] + (after["v"] - before["v"]) * (F.col("__n") - before["n"]) / (after["n"] - before["n"])
     return F.when(c.isNotNull(), c).when(F.col("__n") - before["n"] <= limit, between)
 
@@ -65,14 +66,12 @@ def smooth_tracks(rows: DataFrame, rates: DataFrame, max_gap_s: float = 0.6, max
     weights, half = savgol_weights(), WINDOW // 2
 
     def smoothed(c: str) -> Column:
-        near = F.collect_list(c).over(inside.rowsBetween(-half, half))
-        dot = lambda values, row: sum((F.get(values, F.lit(i)) * float(x) for i, x in enumerate(row)), F.lit(0.0))
+        at = {0: F.col(c)} | {k: F.lead(c, k).over(inside) for k in range(1, WINDOW)} | {-k: F.lag(c, k).over(inside) for k in range(1, WINDOW)}
+        dot = lambda first, row: sum((at[first + i] * float(x) for i, x in enumerate(row)), F.lit(0.0))
         ahead, behind = F.col("__k") - F.col("__i"), F.col("__i") - 1
-        value = F.when((behind >= half) & (ahead >= half), dot(near, weights[half]))
+        value = F.when((behind >= half) & (ahead >= half), dot(-half, weights[half]))
         for j in range(half):
-            first = F.collect_list(c).over(inside.rowsBetween(-j, WINDOW - 1 - j))
-            last = F.collect_list(c).over(inside.rowsBetween(-(WINDOW - 1 - j), j))
-            value = value.when(behind == j, dot(first, weights[j])).when(ahead == j, dot(last, weights[WINDOW - 1 - j]))
+            value = value.when(behind == j, dot(-j, weights[j])).when(ahead == j, dot(j - WINDOW + 1, weights[WINDOW - 1 - j]))
         return F.when(F.col("valid") & (F.col("__k") >= WINDOW), value).otherwise(F.col(c))
 
     placed = runs.withColumn("sx", smoothed("x")).withColumn("sy", smoothed("y"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
 from rallyforge.operators import asof, features, identity, islands, metrics, rallies, regular_grid, serves, signals, spikes, track
+from rallyforge.plans.derived import positions_of_events
 from rallyforge.session import cut_lineage
 from rallyforge.sources.tables import clean_positions, clean_rallies, table
 
@@ -126,16 +127,16 @@ def court_lines(spark: SparkSession, d: str) -> DataFrame:
 def activity_signal(spark: SparkSession, d: str) -> DataFrame:
     wide = _wide(spark, d)
     active = signals.activity(wide, signals.sample_rate(_pos(spark, d)))
-    return rounded(active.select(*CLIP, "frame", "t", "activity"), "activity")
+    return rounded(active.select(*CLIP, "frame", "t", "activity"), "activity", digits=8)
 
 
 def sample_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(signals.sample_rate(_pos(spark, d)), "fps_eff", digits=4)
 
 
-def _active(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _active(spark: SparkSession, d: str, derived: bool = True) -> tuple[DataFrame, DataFrame]:
     """Frames with their activity, stored since several steps read them, and the thresholds of each clip."""
-    pos = _pos(spark, d)
+    pos = positions_of_events(table(spark, d, "events")) if derived else _pos(spark, d)
     active = cut_lineage(signals.activity(signals.side_by_side(pos), signals.sample_rate(pos)))
     return active, cut_lineage(signals.pace_parameters(active, pos))
 
@@ -158,7 +159,7 @@ def gradient_speed(spark: SparkSession, d: str) -> DataFrame:
 
 def trail_window(spark: SparkSession, d: str) -> DataFrame:
     t = signals.trail(_pos(spark, d))
-    return t.select(*WHO, "frame", F.size("trail").cast("bigint").alias("points"), F.round(F.aggregate("trail", F.lit(0.0), lambda a, p: a + p["x"]), 3).alias("sum_x"))
+    return t.select(*WHO, "frame", F.size("trail").cast("bigint").alias("points"), F.round(F.aggregate("trail", F.lit(0.0), lambda a, p: a + p["x"]), 4).alias("sum_x"))
 
 
 def hysteresis_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +221,7 @@ def infer_missed_serves(spark: SparkSession, d: str) -> DataFrame:
 
 def split_long_rallies(spark: SparkSession, d: str) -> DataFrame:
     """Long rallies of the table, split at serves in quiet moments."""
-    active, limits = _active(spark, d)
+    active, limits = _active(spark, d, derived=False)
     rows = _rallies(spark, d).select(*CLIP, "t_start", "t_end", "server", "box", F.coalesce("note", F.lit("")).alias("note"))
     return rallies.split_long(rows, active, limits)
 
@@ -299,7 +300,7 @@ def track_reliability(spark: SparkSession, d: str) -> DataFrame:
 def rally_table(spark: SparkSession, d: str) -> DataFrame:
     """Rallies as a report shows them."""
     return _rallies(spark, d).select(
-        *CLIP, "rally", text_fn.mmss(F.col("t_start")).alias("start"), text_fn.number(F.col("duration"), 1, " s").alias("length"), text_fn.percent(F.col("tshare_p1")).alias("t_p1"),
+        *CLIP, "rally", text_fn.mmss(F.col("t_start")).alias("start"), text_fn.number(F.col("duration"), 3, " s").alias("length"), text_fn.percent(F.col("tshare_p1"), 1).alias("t_p1"),
         text_fn.joined(F.initcap("server"), F.col("box"), by=" ").alias("serve"), F.coalesce(F.nullif("note", F.lit("")), F.lit(text_fn.DASH)).alias("note"),
     )
 
@@ -310,7 +311,7 @@ def rally_table(spark: SparkSession, d: str) -> DataFrame:
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
     rows = track.regular_frames(_pos(spark, d).select(*WHO, "frame", "x", "y")).withColumn("__n", F.row_number().over(track.by_source()))
     made = rows.select(*WHO, "frame", F.col("x").isNull().alias("interpolated"), track.interpolate("x", F.lit(6)).alias("x"), track.interpolate("y", F.lit(6)).alias("y"))
-    return rounded(made, "x", "y", digits=5)
+    return rounded(made, "x", "y", digits=10)
 
 
 def savgol_track(spark: SparkSession, d: str) -> DataFrame:
@@ -347,25 +348,25 @@ def review_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of a frame as tracklets (one per source) with a score: the side of the court, in whole hundredths."""
+    """Detections of a frame as tracklets (one per source) with a score: the side of the court."""
     rows = _pos(spark, d).filter("x IS NOT NULL AND y IS NOT NULL")
     return rows.select(
         "game_id", "clip", "frame", "x", "y", "conf", F.when(F.col("player") == "p1", 1).otherwise(2).cast("bigint").alias("det_id"),
-        (F.when(F.col("player") == "p1", 0).otherwise(1_000_000) + F.floor(F.col("frame") / 40)).alias("tracklet"), F.round((F.col("x") - court.T_X) / 3.2, 2).alias("score"),
+        (F.when(F.col("player") == "p1", 0).otherwise(1_000_000) + F.floor(F.col("frame") / 40)).alias("tracklet"), ((F.col("x") - court.T_X) / 3.0).alias("score"),
     )
 
 
 def tracklet_labels(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(identity.tracklet_labels(_scored(spark, d), CLIP), "s", "conf", "weight")
+    return rounded(identity.tracklet_labels(_scored(spark, d), CLIP), "s", "conf", "weight", digits=9)
 
 
 def tracklet_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(identity.tracklet_stats(identity.tracklet_labels(_scored(spark, d), CLIP), CLIP), "weighted_abs_score", digits=5)
+    return rounded(identity.tracklet_stats(identity.tracklet_labels(_scored(spark, d), CLIP), CLIP), "weighted_abs_score", digits=8)
 
 
 def conflict_resolver(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d)
-    labels = identity.tracklet_labels(rows, CLIP).select(*CLIP, "tracklet", "label", F.round("weight", 6).alias("weight"))
+    labels = identity.tracklet_labels(rows, CLIP).select(*CLIP, "tracklet", "label", F.round("weight", 8).alias("weight"))
     return identity.resolve_frames(rows.join(labels, [*CLIP, "tracklet"]), CLIP).select(*CLIP, "frame", "det_id", "label", "player")
 
 
@@ -391,7 +392,7 @@ def spectator_filter(spark: SparkSession, d: str) -> DataFrame:
     """Projection, filters and confidence of detections: who is kept, with what score and confidence."""
     rows = _pos(spark, d).withColumn("prob_p1", F.col("conf")).withColumn("prob_p2", (1 - F.col("conf")) / 2).withColumn("prob_other", (1 - F.col("conf")) / 2 + F.when(F.col("feet_cut"), 0.2).otherwise(0.0))
     kept = rows.filter(identity.players_only() & identity.in_court_window())
-    return kept.select(*WHO, "frame", F.round(identity.identity_score(), 4).alias("score"), F.round(identity.position_confidence(), 4).alias("pos_conf"))
+    return kept.select(*WHO, "frame", F.round(identity.identity_score(), 6).alias("score"), F.round(identity.position_confidence(), 12).alias("pos_conf"))
 
 
 # -- vectors

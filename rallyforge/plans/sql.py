@@ -1,16 +1,274 @@
-"""SQL that gives the same rows as the core's queries, where SQL can."""
+"""SQL that gives the same rows as the core's queries, where SQL can. Written apart from the DataFrame code: other join
+and window forms wherever there is a choice."""
 
-P4_FOUND = """
-WITH newest AS (
+_FINITE = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ("t", "x", "y", "speed", "dist_t", "conf", "fx", "fy", "x_raw", "y_raw"))
+POS = f"""newest AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY game_id, clip, player, frame ORDER BY ingested_at DESC NULLS LAST) AS rn
     FROM positions WHERE player <> '' AND frame IS NOT NULL) WHERE rn = 1),
-filled AS (
+pos AS (SELECT game_id, clip, player, frame, {_FINITE}, interpolated, ankle_vis, feet_cut FROM newest)"""
+RAL = "ral AS (SELECT DISTINCT ON (game_id, clip, rally) * REPLACE (" + ", ".join(
+    f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in ("rest_before", "dist_p1", "dist_p2", "tdist_p1", "tdist_p2", "tshare_p1", "tshare_p2", "maxspeed_p1", "maxspeed_p2", "closer_to_t_p1")
+) + ") FROM rallies)"
+_SIDES = ", ".join(f"max({c}) FILTER (WHERE player = 'p{p}') AS {n}{p}" for p in "12" for c, n in (("x", "x"), ("y", "y"), ("speed", "v"), ("dist_t", "d")))
+
+
+def wide(pos: str = "pos") -> str:
+    return f"""wide AS (
+  SELECT game_id, clip, frame, coalesce(max(t) FILTER (WHERE player = 'p1'), max(t) FILTER (WHERE player = 'p2')) AS t, {_SIDES}
+  FROM {pos} WHERE player IN ('p1', 'p2') GROUP BY game_id, clip, frame)"""
+
+
+INSIDE = """inside AS (
+  SELECT * FROM (
+    SELECT w.*, (SELECT max(r.rally) FROM ral r WHERE r.game_id = w.game_id AND r.clip = w.clip AND w.t BETWEEN r.t_start AND r.t_end) AS rally FROM wide w)
+  WHERE rally IS NOT NULL)"""
+PLAYERS = """players AS (
+  SELECT game_id, clip, frame, t, rally, 'p1' AS player, x1 AS x, y1 AS y, v1 AS speed, d1 AS dist_t, x2 AS ox, y2 AS oy, d2 AS od FROM inside
+  UNION ALL SELECT game_id, clip, frame, t, rally, 'p2', x2, y2, v2, d2, x1, y1, d1 FROM inside)"""
+
+
+def rates(pos: str = "pos") -> str:
+    return f"""times AS (SELECT DISTINCT game_id, clip, t FROM {pos} WHERE t IS NOT NULL),
+rates AS (
+  SELECT game_id, clip, 1 / median(gap) AS fps_eff
+  FROM (SELECT game_id, clip, t - lag(t) OVER (PARTITION BY game_id, clip ORDER BY t) AS gap FROM times) GROUP BY game_id, clip)"""
+
+
+ACTIVE = """active AS (
+  SELECT *, avg(coalesce(v1, 0) + coalesce(v2, 0)) OVER (PARTITION BY game_id, clip ORDER BY frame
+    ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING) AS activity
+  FROM (SELECT wide.*, fps_eff, greatest(3, CAST(round_even(fps_eff, 0) AS BIGINT)) AS w FROM wide JOIN rates USING (game_id, clip)))"""
+
+
+def pace(pos: str = "pos") -> str:
+    return f"""pace AS (
+  SELECT game_id, clip, fps_eff, greatest(0.8, 1.1 * a10) AS trough_lo, greatest(1.6, a25) AS lull_act, greatest(2.0, 0.85 * a50) AS act_play,
+    greatest(3.0, a75) AS min_play_act, greatest(0.8, 2.5 * s10) AS slow, greatest(1.0, 3.2 * s10) AS relax_slow, greatest(0.4, 4.0 / fps_eff) AS serve_min_s
+  FROM (SELECT game_id, clip, max(fps_eff) AS fps_eff, quantile_cont(activity, 0.1) AS a10, quantile_cont(activity, 0.25) AS a25,
+          quantile_cont(activity, 0.5) AS a50, quantile_cont(activity, 0.75) AS a75 FROM active GROUP BY game_id, clip)
+  LEFT JOIN (SELECT game_id, clip, quantile_cont(speed, 0.1) AS s10 FROM {pos} GROUP BY game_id, clip) USING (game_id, clip))"""
+
+
+#: Positions made from the event stream: serve stances, play and rest follow each other, by whole numbers only.
+DERIVED = """ev AS (
+  SELECT 'ev' || lpad(CAST((user_id // 2) % 16 AS VARCHAR), 2, '0') AS game_id, 0 AS clip, CASE WHEN user_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS player, event_id, user_id,
+    row_number() OVER (PARTITION BY (user_id // 2) % 16, user_id % 2 ORDER BY ts, event_id) - 1 AS frame FROM events),
+blocks AS (
+  SELECT game_id, frame // 120 AS block, CASE WHEN sum(user_id) % 2 = 0 THEN 'p1' ELSE 'p2' END AS server, CASE WHEN sum(event_id) % 3 = 0 THEN 'left' ELSE 'right' END AS box
+  FROM ev GROUP BY game_id, frame // 120),
+placed AS (
+  SELECT e.*, frame % 120 AS phase, b.server, b.box,
+    abs((17 * frame + user_id) % 1280 - 640) / 100.0::DOUBLE AS px, abs((29 * frame + user_id) % 1950 - 975) / 100.0::DOUBLE AS py
+  FROM ev e JOIN blocks b ON b.game_id = e.game_id AND b.block = e.frame // 120),
+seen AS (
+  SELECT game_id, clip, player, frame, frame / 10.0::DOUBLE AS t, event_id % 31 = 0 AS gone,
+    CASE WHEN phase >= 100 THEN 3.2 WHEN phase >= 30 THEN px WHEN player = server THEN (CASE box WHEN 'left' THEN 0.8 ELSE 5.6 END) ELSE (CASE box WHEN 'left' THEN 4.5 ELSE 1.9 END) END::DOUBLE AS x,
+    CASE WHEN phase >= 100 THEN 8.0 WHEN phase >= 30 THEN py ELSE 6.2 END::DOUBLE AS y FROM placed),
+spots AS (SELECT game_id, clip, player, frame, t, CASE WHEN NOT gone THEN x END AS x, CASE WHEN NOT gone THEN y END AS y FROM seen),
+moves AS (
+  SELECT *, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM spots WINDOW w AS (PARTITION BY game_id, clip, player ORDER BY frame)),
+dpos AS (
+  SELECT game_id, clip, player, frame, t, x, y, round(sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)) / 0.2, 4) AS speed,
+    round(sqrt((x - 3.2) * (x - 3.2) + (y - 5.44) * (y - 5.44)), 4) AS dist_t FROM moves)"""
+
+#: The service boxes with 0.35 m around them; bounds in double precision.
+_Y = f"BETWEEN {5.44 - 0.35!r}::DOUBLE AND {5.44 + 1.6 + 0.35!r}::DOUBLE"
+_BOX = f"CASE WHEN {{x}} BETWEEN -0.35 AND {1.6 + 0.35!r}::DOUBLE AND {{y}} {_Y} THEN 'left' WHEN {{x}} BETWEEN {6.4 - 1.6 - 0.35!r}::DOUBLE AND {6.4 + 0.35!r}::DOUBLE AND {{y}} {_Y} THEN 'right' END"
+EVENTS = f"""tests AS (
+  SELECT a.*, slow, serve_min_s, {_BOX.format(x='x1', y='y1')} AS b1, {_BOX.format(x='x2', y='y2')} AS b2 FROM active a JOIN pace USING (game_id, clip)),
+costs AS (
+  SELECT *, CASE WHEN ((b1 = 'left' AND x2 > 3.5) OR (b1 = 'right' AND x2 < 2.9000000000000004)) AND y2 > 3.9400000000000004 AND v1 < slow AND v2 < 4 THEN v1 + 0.2 * v2 END AS c1,
+    CASE WHEN ((b2 = 'left' AND x1 > 3.5) OR (b2 = 'right' AND x1 < 2.9000000000000004)) AND y1 > 3.9400000000000004 AND v2 < slow AND v1 < 4 THEN v2 + 0.2 * v1 END AS c2 FROM tests),
+served AS (
+  SELECT game_id, clip, frame, t, serve_min_s, CASE WHEN c2 < coalesce(c1, 1e9) THEN 'p2' WHEN c1 IS NOT NULL THEN 'p1' END AS server,
+    CASE WHEN c2 < coalesce(c1, 1e9) THEN b2 WHEN c1 IS NOT NULL THEN b1 END AS box FROM costs),
+stretches AS (
+  SELECT *, row_number() OVER (PARTITION BY game_id, clip ORDER BY frame) - row_number() OVER (PARTITION BY game_id, clip, server ORDER BY frame) AS stretch FROM served),
+events_found AS (
+  SELECT game_id, clip, server, CASE WHEN count(*) FILTER (WHERE box = 'left') >= count(*) FILTER (WHERE box = 'right') THEN 'left' ELSE 'right' END AS box, min(t) AS t0, max(t) AS t1
+  FROM stretches WHERE server IS NOT NULL GROUP BY game_id, clip, server, stretch HAVING max(t) - min(t) >= max(serve_min_s))"""
+CLUSTERS = """sessions AS (
+  SELECT *, sum(new) OVER (PARTITION BY game_id, clip ORDER BY t0, t1, server ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+    SELECT *, CASE WHEN t0 - lag(t1) OVER (PARTITION BY game_id, clip ORDER BY t0, t1, server) < 3.0 THEN 0 ELSE 1 END AS new FROM events_found)),
+weighed AS (SELECT game_id, clip, cluster, server, box, round(sum(t1 - t0 + 0.2), 6) AS w, min(t0) AS a FROM sessions GROUP BY ALL),
+spans AS (SELECT game_id, clip, cluster, min(t0) AS t0, arg_max(t1, t0) AS t1 FROM sessions GROUP BY ALL),
+named AS (
+  SELECT *, row_number() OVER o AS r, lead(w) OVER o AS second FROM weighed WINDOW o AS (PARTITION BY game_id, clip, cluster ORDER BY w DESC, a)),
+clusters AS (
+  SELECT s.game_id, s.clip, s.t0, s.t1, n.server, n.box, coalesce(n.w < round(1.5 * n.second, 6), FALSE) AS ambiguous
+  FROM spans s JOIN named n ON n.game_id = s.game_id AND n.clip = s.clip AND n.cluster = s.cluster AND n.r = 1)"""
+
+_ZROW = "CASE WHEN y < 3.0 THEN 0 WHEN y < 6.24 THEN 1 WHEN y IS NOT NULL THEN 2 END"
+_DIST = "sqrt((x - 3.2) * (x - 3.2) + (y - 5.44) * (y - 5.44))"
+_ISLAND = "row_number() OVER (PARTITION BY game_id, clip, player ORDER BY frame) - row_number() OVER (PARTITION BY game_id, clip, player, {s} ORDER BY frame)"
+
+
+def q(*parts: str, select: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+def shares(*pairs: tuple[str, str]) -> str:
+    return ", ".join(f"round({e}, 5) AS {n}" for e, n in pairs)
+
+
+_SERVE = (DERIVED, wide("dpos"), rates("dpos"), ACTIVE, pace("dpos"), EVENTS)
+
+ORACLE: dict[str, str] = {
+    "p4_found": q(POS, """filled AS (
   SELECT DISTINCT game_id, clip, player, CAST(floor(t * 2) AS BIGINT) AS k FROM newest
   WHERE isfinite(t) AND NOT isnan(x) AND NOT isnan(y) AND NOT coalesce(interpolated, FALSE)),
-gaps AS (
-  SELECT *, lead(k) OVER (PARTITION BY game_id, clip, player ORDER BY k) AS next_k FROM filled)
-SELECT game_id, clip, player, unnest(generate_series(k + 1, next_k - 1)) AS period_no FROM gaps WHERE next_k > k + 1
-"""
+gaps AS (SELECT *, lead(k) OVER (PARTITION BY game_id, clip, player ORDER BY k) AS next_k FROM filled)""",
+        select="SELECT game_id, clip, player, unnest(generate_series(k + 1, next_k - 1)) AS period_no FROM gaps WHERE next_k > k + 1"),
+    "court_zone_share": q(POS, f"z AS (SELECT game_id, player, ['front', 'mid', 'back'][{_ZROW} + 1] || CASE WHEN x >= 3.2 THEN '-right' ELSE '-left' END AS zone FROM pos WHERE x IS NOT NULL AND y IS NOT NULL)",
+        select="SELECT game_id, player, zone, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY game_id, player), 6) AS share FROM z GROUP BY game_id, player, zone"),
+    "court_points": q(POS, select=f"""SELECT game_id, clip, player, frame, {_ZROW} AS zone_row, CAST(x >= 3.2 AS INT) AS zone_col, round({_DIST}, 4) AS dist,
+  x BETWEEN 0 AND 1.6 AND y BETWEEN 5.44 AND 7.04 AS in_left, {_BOX.format(x='x', y='y')} AS box, x > 3.5 AND y > 3.9400000000000004 AS waits_for_left,
+  x < 4.5 AND y > 3.9400000000000004 AS past_line_right, round(least(greatest(x, 0.0), 6.4), 4) AS x_clipped FROM pos WHERE x IS NOT NULL AND y IS NOT NULL"""),
+    "foot_point_projection": q(POS, """det AS (SELECT *, coalesce(conf > 0.5, FALSE) AS l, coalesce(1 - conf > 0.5, FALSE) AS r FROM pos WHERE fx IS NOT NULL AND fy IS NOT NULL),
+ank AS (SELECT *, CASE WHEN l AND r THEN fx + 0.5 WHEN l THEN fx - 5 WHEN r THEN fx + 6 ELSE fx + 1 END AS ax, CASE WHEN l AND r THEN fy - 8.5 WHEN l THEN fy - 8 WHEN r THEN fy - 9 ELSE fy END AS ay FROM det)""",
+        select="""SELECT game_id, clip, player, frame, round(ax, 4) AS fx, round(CASE WHEN fy >= 427 THEN ay + (ay - 385) * 0.08 / 0.52 ELSE fy END, 4) AS fy,
+  l OR r AS ankle_vis, fy >= 427 AS feet_cut FROM ank"""),
+    "lens_undistort": q(POS, "u AS (SELECT *, 1 - 0.25 * (((fx - 288) * (fx - 288) + (fy - 320) * (fy - 320)) / (430.0 * 430.0)) AS s FROM pos)",
+        select="SELECT game_id, clip, player, frame, round(288 + (fx - 288) / s, 4) AS ux, round(320 + (fy - 320) / s, 4) AS uy FROM u"),
+    "lens_round_trip": q(POS, select="SELECT player, count(*) AS n, TRUE AS exact FROM pos WHERE sqrt((fx - 288) ** 2 + (fy - 320) ** 2) < 300 GROUP BY player"),
+    "homography_project": q(POS, """u AS (SELECT *, 1 - 0.25 * (((fx - 288) * (fx - 288) + (fy - 320) * (fy - 320)) / (430.0 * 430.0)) AS s FROM pos),
+v AS (SELECT *, 288 + (fx - 288) / s AS ux, 320 + (fy - 320) / s AS uy FROM u)""",
+        select="SELECT game_id, clip, player, frame, round((0.02 * ux - 2) / (0.001 * uy + 1), 4) AS cx, round((0.03 * uy - 5) / (0.001 * uy + 1), 4) AS cy FROM v"),
+    "court_to_pixels": q(POS, "v AS (SELECT *, (y + 5) / (0.03 - 0.001 * y) AS py FROM pos)",
+        select="SELECT game_id, clip, player, frame, round((x * (0.001 * py + 1) + 2) / 0.02, 4) AS px, CASE WHEN x IS NOT NULL THEN round(py, 4) END AS py FROM v"),
+    "court_lines": """SELECT * FROM (VALUES ('front wall', 0.0, 0.0, 6.4, 0.0), ('back wall', 0.0, 9.75, 6.4, 9.75), ('left wall', 0.0, 0.0, 0.0, 9.75), ('right wall', 6.4, 0.0, 6.4, 9.75),
+  ('short line', 0.0, 5.44, 6.4, 5.44), ('half line', 3.2, 5.44, 3.2, 9.75), ('left box', 0.0, 5.44, 1.6, 5.44), ('left box', 0.0, 7.04, 1.6, 7.04), ('left box', 0.0, 5.44, 0.0, 7.04),
+  ('left box', 1.6, 5.44, 1.6, 7.04), ('right box', 4.8, 5.44, 6.4, 5.44), ('right box', 4.8, 7.04, 6.4, 7.04), ('right box', 4.8, 5.44, 4.8, 7.04), ('right box', 6.4, 5.44, 6.4, 7.04)) v(name, x0, y0, x1, y1)""",
+    "sample_rate": q(POS, rates(), select="SELECT game_id, clip, round(fps_eff, 4) AS fps_eff FROM rates"),
+    "activity_signal": q(POS, wide(), rates(), ACTIVE, select="SELECT game_id, clip, frame, t, round(activity, 8) AS activity FROM active"),
+    "pace_percentiles": q(POS, wide(), rates(), ACTIVE, pace(), select="SELECT game_id, clip, " + ", ".join(
+        f"round({c}, 5) AS {c}" for c in ("fps_eff", "trough_lo", "lull_act", "act_play", "min_play_act", "slow", "relax_slow", "serve_min_s")) + " FROM pace"),
+    "both_players_still": q(POS, wide(), select="SELECT game_id, clip, frame, " + " AND ".join(
+        f"coalesce(CASE WHEN count({v}) OVER w >= 2 THEN avg({v}) OVER w END, 9.0) < 0.6" for v in ("v1", "v2"))
+        + " AS still FROM wide WINDOW w AS (PARTITION BY game_id, clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
+    "gradient_speed": q(POS, "n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY game_id, clip, player) AS k FROM pos WINDOW w AS (PARTITION BY game_id, clip, player ORDER BY frame))",
+        """g AS (SELECT a.game_id, a.clip, a.player, a.frame, CASE WHEN a.k > 1 THEN
+    sqrt(((c.x - b.x) / (c.t - b.t)) ** 2 + ((c.y - b.y) / (c.t - b.t)) ** 2) END AS v
+  FROM n a LEFT JOIN n b ON b.game_id = a.game_id AND b.clip = a.clip AND b.player = a.player AND b.i = greatest(a.i - 1, 1)
+  LEFT JOIN n c ON c.game_id = a.game_id AND c.clip = a.clip AND c.player = a.player AND c.i = least(a.i + 1, a.k))""",
+        select="SELECT game_id, clip, player, frame, CASE WHEN v <= 8 THEN round(v, 4) END AS v FROM g"),
+    "trail_window": q(POS, "ms AS (SELECT *, CAST(round(t * 1000) AS BIGINT) AS ms FROM pos WHERE t IS NOT NULL)",
+        select="""SELECT game_id, clip, player, frame, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) OVER w AS points,
+  round(coalesce(sum(x) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) OVER w, 0), 4) AS sum_x FROM ms
+  WINDOW w AS (PARTITION BY game_id, clip, player ORDER BY ms RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW)"""),
+    "serve_events": q(*_SERVE, select="SELECT game_id, clip, server, box, t0, t1 FROM events_found"),
+    "serve_clusters": q(*_SERVE, CLUSTERS, select="SELECT game_id, clip, t0, t1, server, box FROM clusters"),
+    "ambiguous_clusters": q(*_SERVE, CLUSTERS, select="SELECT game_id, count(*) AS clusters, CAST(sum(CAST(ambiguous AS INT)) AS BIGINT) AS ambiguous FROM clusters GROUP BY game_id"),
+    "score_progress": q(RAL, """n AS (SELECT *, lead(server) OVER w AS ns, lead(box) OVER w AS nb, lead(rally) OVER w IS NULL AS is_last FROM ral WINDOW w AS (PARTITION BY game_id, clip ORDER BY rally)),
+k AS (SELECT *, CASE WHEN server IS NULL OR is_last OR ns IS NULL OR (ns = server AND nb IS NOT DISTINCT FROM box) THEN NULL ELSE ns END AS w0 FROM n),
+b AS (SELECT *, coalesce(count(*) FILTER (WHERE w0 = 'p1') OVER u, 0) AS a1, coalesce(count(*) FILTER (WHERE w0 = 'p2') OVER u, 0) AS a2 FROM k
+  WINDOW u AS (PARTITION BY game_id, clip ORDER BY rally ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT * EXCLUDE (winner), CASE WHEN is_last AND server IS NOT NULL THEN (CASE WHEN a1 = 14 AND a2 < 14 THEN 'p1' WHEN a2 = 14 AND a1 < 14 THEN 'p2' END) ELSE w0 END AS winner FROM b)""",
+        select="""SELECT game_id, clip, rally, winner, a1 + CAST(coalesce(winner = 'p1', FALSE) AS BIGINT) AS score_p1, a2 + CAST(coalesce(winner = 'p2', FALSE) AS BIGINT) AS score_p2,
+  CASE WHEN server IS NULL THEN 'no serve seen' WHEN winner IS NOT NULL THEN '' WHEN is_last THEN 'last rally: winner unknown'
+    WHEN ns = server AND nb IS NOT DISTINCT FROM box THEN 'let: same server, same box' ELSE 'next serve not seen: winner unknown' END AS note FROM e"""),
+    "rest_before": q(RAL, select="SELECT game_id, clip, rally, round(t_start - lag(t_end) OVER (PARTITION BY game_id, clip ORDER BY rally), 3) AS rest FROM ral"),
+    "rally_interval_join": q(POS, RAL, wide(), INSIDE, select="SELECT game_id, clip, rally, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame FROM inside GROUP BY ALL"),
+    "rally_path_length": q(POS, RAL, wide(), "hits AS (SELECT w.*, r.rally FROM wide w JOIN ral r ON r.game_id = w.game_id AND r.clip = w.clip AND w.t BETWEEN r.t_start AND r.t_end)",
+        "s AS (SELECT *, " + ", ".join(f"sqrt((x{p} - lag(x{p}) OVER w) ** 2 + (y{p} - lag(y{p}) OVER w) ** 2) AS s{p}" for p in "12") + " FROM hits WINDOW w AS (PARTITION BY game_id, clip, rally ORDER BY frame))",
+        select="SELECT game_id, clip, rally, " + ", ".join(
+            f"round(coalesce(sum(s{p}), 0), 5) AS dist_p{p}, round(avg(d{p}), 5) AS tdist_p{p}, round(CASE WHEN count(d{p}) > 0 THEN count(*) FILTER (WHERE d{p} < 1.5) / count(*) END, 5) AS tshare_p{p}, round(max(v{p}), 5) AS maxspeed_p{p}" for p in "12")
+        + ", round(avg(CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL THEN CAST(d1 < d2 AS INT) END), 5) AS closer_to_t_p1 FROM s GROUP BY game_id, clip, rally"),
+    "player_movement": q(POS, RAL, wide(), INSIDE, PLAYERS, f"""m AS (SELECT *, {_ZROW} AS zr, CAST(x >= 3.2 AS INT) AS zc,
+  coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, x IS NOT NULL AND od IS NOT NULL AS both_seen FROM players WINDOW w AS (PARTITION BY game_id, clip, player ORDER BY frame))""",
+        select="SELECT game_id, clip, player, count(x) AS frames_in_rally, " + shares(
+            ("count(x) / count(*)", "tracked_share"), ("count(*) FILTER (WHERE dist_t < 1) / count(*)", "t_share_1m"), ("count(*) FILTER (WHERE dist_t < 1.5) / count(*)", "t_share_1_5m"),
+            ("avg(CASE WHEN both_seen THEN CAST(coalesce(dist_t < od, FALSE) AS INT) END)", "closer_to_t_share"), ("avg(dist_t)", "mean_dist_t"), ("median(dist_t)", "median_dist_t"),
+            ("avg(CAST(zr = 0 AS INT))", "front_share"), ("avg(CAST(zr = 1 AS INT))", "mid_share"), ("avg(CAST(zr = 2 AS INT))", "back_share"), ("avg(1 - zc)", "left_share"), ("avg(zc)", "right_share"),
+            ("avg(zc)", "forehand_side_share"), ("avg(1 - zc)", "backhand_side_share"), ("avg(CASE WHEN both_seen AND od < 1 THEN CAST(y > 6.24 AS INT) END)", "back_when_opponent_at_t"),
+            ("sum(step)", "distance_rally_m"), ("avg(speed)", "mean_speed"), ("quantile_cont(speed, 0.99)", "peak_speed")) + " FROM m GROUP BY game_id, clip, player"),
+    "heatmap_bins": q(POS, RAL, wide(), INSIDE, PLAYERS, select="""SELECT game_id, player, CAST(least(floor(y / 0.25), 38) AS BIGINT) AS yb, CAST(least(floor(x / 0.25), 25) AS BIGINT) AS xb, count(*) AS n
+  FROM players WHERE x BETWEEN 0 AND 6.5 AND y BETWEEN 0 AND 9.75 GROUP BY ALL"""),
+    "speed_histogram": q(POS, RAL, wide(), INSIDE, PLAYERS, "b AS (SELECT player, CAST(least(floor(speed / 0.25), 24) AS BIGINT) AS bin, count(*) AS n FROM players WHERE speed BETWEEN 0 AND 6.25 GROUP BY ALL)",
+        select="SELECT player, bin, n, round(n / (sum(n) OVER (PARTITION BY player) * 0.25), 8) AS density FROM b"),
+    "excursion_recovery": q(POS, RAL, wide(), INSIDE, PLAYERS, f"""o AS (SELECT *, coalesce(dist_t > 1.5, FALSE) AS away FROM players WHERE t IS NOT NULL),
+i AS (SELECT *, {_ISLAND.format(s='away')} AS k, lead(t) OVER (PARTITION BY game_id, clip, player ORDER BY frame) AS next_t FROM o),
+r AS (SELECT game_id, clip, player, away, k, arg_max(next_t, frame) FILTER (WHERE next_t IS NOT NULL) AS b0, max(frame) AS lf, arg_min(t, frame) AS a FROM i GROUP BY ALL),
+f AS (SELECT r.game_id, r.clip, r.player, i.next_t - r.a AS took FROM r JOIN i ON i.game_id = r.game_id AND i.clip = r.clip AND i.player = r.player AND i.frame = r.lf WHERE r.away)""",
+        select="""SELECT p.game_id, p.clip, p.player, coalesce(n, 0) AS n_excursions, recovery_s FROM (SELECT DISTINCT game_id, clip, player FROM o) p LEFT JOIN (
+  SELECT game_id, clip, player, count(*) FILTER (WHERE took < 15) AS n, round(median(took) FILTER (WHERE took < 15), 4) AS recovery_s FROM f GROUP BY ALL) USING (game_id, clip, player)"""),
+    "speed_bursts": q(POS, RAL, wide(), INSIDE, PLAYERS, f"""o AS (SELECT *, coalesce(speed, 0) > 3 AS fast FROM players WHERE t IS NOT NULL), i AS (SELECT *, {_ISLAND.format(s='fast')} AS k FROM o),
+r AS (SELECT game_id, clip, player, max(t) - min(t) AS s FROM i WHERE fast GROUP BY game_id, clip, player, k)""",
+        select="""SELECT p.game_id, p.clip, p.player, count(s) FILTER (WHERE s >= 0.499999) AS bursts FROM (SELECT DISTINCT game_id, clip, player FROM o) p LEFT JOIN r USING (game_id, clip, player) GROUP BY ALL"""),
+    "longest_streak": q(RAL, "n AS (SELECT *, row_number() OVER (PARTITION BY game_id, clip ORDER BY rally) - row_number() OVER (PARTITION BY game_id, clip, winner ORDER BY rally) AS k FROM ral)",
+        select="SELECT game_id, clip, player, max(n) AS longest_run FROM (SELECT game_id, clip, winner AS player, count(*) AS n FROM n WHERE winner IS NOT NULL GROUP BY game_id, clip, winner, k) GROUP BY ALL"),
+    "player_points": q(RAL, "r AS (SELECT *, 'p1' AS player, dist_p1 AS way FROM ral UNION ALL SELECT *, 'p2', dist_p2 FROM ral)",
+        select="""SELECT game_id, clip, player, count(*) FILTER (WHERE winner = player) AS points_won, count(*) FILTER (WHERE winner <> player) AS points_lost,
+  count(*) FILTER (WHERE server = player) AS rallies_served, count(*) FILTER (WHERE server = player AND winner = player) AS points_won_on_serve,
+  count(*) FILTER (WHERE server <> player) AS rallies_received, count(*) FILTER (WHERE server <> player AND winner = player) AS points_won_on_receive,
+  round(avg(duration) FILTER (WHERE winner = player), 5) AS mean_rally_won_s, round(avg(duration) FILTER (WHERE winner <> player), 5) AS mean_rally_lost_s, round(avg(way), 5) AS distance_per_rally_m,
+  round(avg(way) FILTER (WHERE winner = player), 5) AS distance_won_m, round(avg(way) FILTER (WHERE winner <> player), 5) AS distance_lost_m FROM r GROUP BY game_id, clip, player"""),
+    "serve_by_box": q(RAL, select="SELECT game_id, clip, server, box, count(*) AS served, count(*) FILTER (WHERE winner = server) AS won FROM ral WHERE server IS NOT NULL AND box IS NOT NULL GROUP BY ALL"),
+    "game_summary": q(RAL, "n AS (SELECT *, lead(server) OVER w AS ns, lead(box) OVER w AS nb FROM ral WINDOW w AS (PARTITION BY game_id, clip ORDER BY rally))",
+        select="""SELECT game_id, clip, min(t_start) AS t_first, max(t_end) AS t_last, count(*) AS n_rallies, count(winner) AS n_points,
+  count(*) FILTER (WHERE winner IS NULL AND note LIKE '%let%') AS n_lets, count(*) FILTER (WHERE winner IS NULL AND NOT coalesce(note LIKE '%let%', FALSE)) AS n_unknown,
+  round(avg(duration), 5) AS mean_rally_s, round(median(duration), 5) AS median_rally_s, max(duration) AS longest_rally_s, first(rally ORDER BY duration DESC, rally) AS longest_rally_no,
+  round(sum(duration), 5) AS total_rally_s, round(coalesce(sum(rest_before), 0), 5) AS total_rest_s, round(avg(rest_before), 5) AS mean_rest_s,
+  round(CASE WHEN sum(rest_before) > 0 THEN sum(duration) / sum(rest_before) END, 5) AS work_rest_ratio, arg_max(score_p1, rally) AS final_p1, arg_max(score_p2, rally) AS final_p2,
+  count(*) FILTER (WHERE ns = server AND winner = server AND nb <> box) AS alternations_ok, count(*) FILTER (WHERE ns = server AND winner = server) AS alternations FROM n GROUP BY game_id, clip"""),
+    "separation_crowding": q(POS, RAL, wide(), INSIDE, "a AS (SELECT *, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS apart FROM inside)",
+        select="SELECT game_id, clip, round(avg(apart), 5) AS mean_separation_m, round(count(*) FILTER (WHERE apart < 1) / count(*), 5) AS crowding_share FROM a GROUP BY ALL"),
+    "track_reliability": q(POS, select="""SELECT game_id, clip, player, count(*) AS n, round(count(*) FILTER (WHERE feet_cut) / count(*), 6) AS feet_cut_share,
+  round(count(*) FILTER (WHERE interpolated) / count(*), 6) AS interpolated_share, round(count(x) / count(*), 6) AS tracked_share FROM pos GROUP BY ALL"""),
+    "rally_table": q(RAL, select="""SELECT game_id, clip, rally, CAST(floor(t_start) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(t_start) % 60 AS BIGINT) AS VARCHAR), 2, '0') AS start,
+  coalesce(printf('%.3f s', duration), '–') AS length, coalesce(printf('%.1f %%', tshare_p1 * 100), '–') AS t_p1,
+  concat_ws(' ', upper(server[1]) || server[2:], box) AS serve, coalesce(nullif(note, ''), '–') AS note FROM ral"""),
+    "gap_interpolation": q(POS, """g AS (SELECT *, lead(frame) OVER (PARTITION BY game_id, clip, player ORDER BY frame) - frame AS gap FROM pos),
+c AS (SELECT game_id, clip, player, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY ALL),
+s AS (SELECT game_id, clip, player, first(gap ORDER BY n DESC, gap) AS step FROM c GROUP BY ALL),
+e AS (SELECT p.game_id, p.clip, p.player, min(frame) AS a, max(frame) AS b, max(coalesce(step, 1)) AS step FROM pos p LEFT JOIN s USING (game_id, clip, player) GROUP BY ALL),
+grid AS (SELECT game_id, clip, player, unnest(generate_series(a, b, step)) AS frame FROM e),
+r AS (SELECT grid.*, x, y, row_number() OVER (PARTITION BY grid.game_id, grid.clip, grid.player ORDER BY grid.frame) AS n FROM grid LEFT JOIN pos USING (game_id, clip, player, frame)),
+""" + ",\n".join(f"""{c}0 AS (SELECT *, max(CASE WHEN {c} IS NOT NULL THEN n END) OVER (PARTITION BY game_id, clip, player ORDER BY n ROWS UNBOUNDED PRECEDING) AS {c}p,
+  min(CASE WHEN {c} IS NOT NULL THEN n END) OVER (PARTITION BY game_id, clip, player ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}n FROM r),
+{c}1 AS (SELECT a.game_id, a.clip, a.player, a.n, CASE WHEN a.{c} IS NOT NULL THEN a.{c} WHEN a.n - {c}p <= 6 THEN b.{c} + (d.{c} - b.{c}) * (a.n - {c}p) / ({c}n - {c}p) END AS {c}f
+  FROM {c}0 a LEFT JOIN r b ON b.game_id = a.game_id AND b.clip = a.clip AND b.player = a.player AND b.n = a.{c}p LEFT JOIN r d ON d.game_id = a.game_id AND d.clip = a.clip AND d.player = a.player AND d.n = a.{c}n)""" for c in "xy"),
+        select="SELECT r.game_id, r.clip, r.player, frame, r.x IS NULL AS interpolated, round(xf, 10) AS x, round(yf, 10) AS y FROM r JOIN x1 USING (game_id, clip, player, n) JOIN y1 USING (game_id, clip, player, n)"),
+    "score_asof": q(POS, RAL, wide(), select="""SELECT w.game_id, w.clip, w.frame, w.t, coalesce(r.score_p1, 0) AS score_p1, coalesce(r.score_p2, 0) AS score_p2
+  FROM wide w ASOF LEFT JOIN ral r ON w.game_id = r.game_id AND w.clip = r.clip AND w.t >= r.t_end WHERE w.t IS NOT NULL"""),
+    "rally_asof": q(POS, RAL, wide(), select="""SELECT game_id, clip, frame, (SELECT min(r.rally) FROM ral r WHERE r.game_id = w.game_id AND r.clip = w.clip AND w.t BETWEEN r.t_start AND r.t_end) AS rally FROM wide w WHERE t IS NOT NULL"""),
+    "frames_near_rallies": q(POS, RAL, wide(), select="""SELECT game_id, clip, count(*) AS frames FROM wide w
+  WHERE EXISTS (SELECT 1 FROM ral r WHERE r.game_id = w.game_id AND r.clip = w.clip AND w.t >= r.t_start - 1.0 AND w.t <= r.t_end + 1.0) GROUP BY game_id, clip"""),
+    "review_topk": q(RAL, """l AS (
+  SELECT game_id, clip, rally, 1 AS seq, 'much running in a lost rally' AS reason FROM ral WHERE winner = 'p2' AND dist_p1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY dist_p1 DESC, rally) <= 3
+  UNION ALL SELECT game_id, clip, rally, 2, 'T held in a won rally' FROM ral WHERE winner = 'p1' AND tshare_p1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY tshare_p1 DESC, rally) <= 2
+  UNION ALL SELECT game_id, clip, rally, 3, 'longest rally' FROM ral WHERE duration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY duration DESC, rally) <= 1
+  UNION ALL SELECT game_id, clip, rally, 4, 'let' FROM ral WHERE note LIKE '%let%')""",
+        select="SELECT game_id, clip, rally, arg_min(reason, seq) AS reason, min(seq) AS seq FROM l GROUP BY ALL"),
+    "class_membership": """WITH l AS (SELECT DISTINCT game_id, det_id, tracklet FROM tracklets_tmp WHERE det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1),
+c AS (SELECT game_id, tracklet, CASE WHEN bool_or(n = 'p1') THEN 1 WHEN bool_or(n = 'p2') THEN 0 WHEN bool_or(n = 'other') THEN 2 ELSE -1 END AS class
+  FROM (SELECT *, lower(trim(label)) AS n FROM tracklet_labels) GROUP BY ALL)
+SELECT game_id, coalesce(class, -1) AS class, count(DISTINCT tracklet) AS tracklets, count(*) AS links FROM l LEFT JOIN c USING (game_id, tracklet) GROUP BY game_id, coalesce(class, -1)""",
+    "spectator_filter": q(POS, "p AS (SELECT *, (1 - conf) / 2 AS prob_p2, (1 - conf) / 2 + CASE WHEN feet_cut THEN 0.2 ELSE 0.0 END AS prob_other FROM pos)",
+        select="""SELECT game_id, clip, player, frame, round(conf - prob_p2, 6) AS score,
+  round(conf * CASE WHEN feet_cut THEN 0.5 ELSE 1.0 END * CASE WHEN ankle_vis THEN 1.0 ELSE 0.8 END * greatest(0.55, least(1.0, 1 - (y - 7.0) / 5.0)), 12) AS pos_conf
+  FROM p WHERE NOT coalesce(prob_other > 0.5, FALSE) AND x > -0.45 AND x < 6.4 + 0.45 AND y > -0.45 AND y < 9.75 + 0.8"""),
+}
 
-ORACLE: dict[str, str] = {"p4_found": P4_FOUND}
+_SCORED = """det AS (
+  SELECT game_id, clip, frame, conf, CAST(CASE player WHEN 'p1' THEN 1 ELSE 2 END AS BIGINT) AS det_id, CASE player WHEN 'p1' THEN 0 ELSE 1000000 END + frame // 40 AS tracklet, (x - 3.2) / 3.0 AS score
+  FROM pos WHERE x IS NOT NULL AND y IS NOT NULL)"""
+_LABELS = """lab AS (
+  SELECT game_id, clip, tracklet, min(frame) AS f0, max(frame) AS f1, count(*) AS n, avg(score) AS s, avg(conf) AS conf, CASE WHEN avg(score) > 0 THEN 'p1' ELSE 'p2' END AS label,
+    abs(coalesce(avg(score), 0)) * sqrt(count(*)) AS weight, coalesce(abs(avg(score)) < 0.25, FALSE) AS ambiguous FROM det GROUP BY game_id, clip, tracklet)"""
+ORACLE |= {
+    "tracklet_labels": q(POS, _SCORED, _LABELS, select="SELECT * REPLACE (round(s, 9) AS s, round(conf, 9) AS conf, round(weight, 9) AS weight) FROM lab"),
+    "tracklet_stats": q(POS, _SCORED, _LABELS, select="""SELECT game_id, clip, count(*) AS n_tracklets, round(sum(abs(s) * n) / sum(n), 8) AS weighted_abs_score,
+  CAST(coalesce(sum(n) FILTER (WHERE ambiguous), 0) AS BIGINT) AS ambiguous_rows FROM lab GROUP BY ALL"""),
+    "conflict_resolver": q(POS, _SCORED, _LABELS, """d AS (SELECT det.*, label, round(weight, 8) AS weight FROM det JOIN lab USING (game_id, clip, tracklet)),
+pair AS (SELECT a.*, b.det_id AS other_id, b.label AS other_label, b.weight AS other_weight FROM d a LEFT JOIN d b ON b.game_id = a.game_id AND b.clip = a.clip AND b.frame = a.frame AND b.det_id <> a.det_id)""",
+        select="""SELECT game_id, clip, frame, det_id, label, CASE WHEN other_label IS NULL OR other_label <> label OR weight > other_weight OR (weight = other_weight AND det_id < other_id) THEN label
+  WHEN label = 'p2' AND score > -0.8 THEN 'p1' WHEN label = 'p1' AND score < 0.8 THEN 'p2' END AS player FROM pair"""),
+    "frame_pairs": """WITH e AS (SELECT vec_id // 2 AS grp, vec_id, embedding::DOUBLE[] AS v, count(*) OVER (PARTITION BY vec_id // 2) AS n FROM embeddings)
+SELECT a.grp, a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.v, b.v), 4) AS dot FROM e a JOIN e b ON a.grp = b.grp AND a.vec_id < b.vec_id WHERE a.n = 2""",
+    "unit_vectors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT vec_id, round(list_inner_product(v, v) / (n * n), 6) AS norm2, round(v[1] / n, 5) AS first FROM e""",
+    "feature_z_scores": q(RAL, "f AS (SELECT game_id, clip, rally, duration, dist_p1, coalesce(rest_before, (SELECT median(rest_before) FROM ral)) AS rest_before FROM ral)",
+        select="SELECT game_id, clip, rally, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-9), 6) AS {c}" for c in ("duration", "dist_p1", "rest_before")) + " FROM f"),
+}
