@@ -12,7 +12,7 @@ Matching runs in the JVM, a few steps for each token.
 
 Why pieces keep the limit: they start and end where a token of the whole text does. Merges inside such a stretch happen
 in the same order whether or not there is text around it, and the splitting pattern cuts it in the same way. There are
-two exceptions. An apostrophe as first character could begin a contraction: no piece starts there. And several line
+two exceptions. An apostrophe before a letter could begin a contraction: no piece starts there. And several line
 ends at the end of a piece, of which the last was a token of its own before the next word, become one token when the
 piece is encoded alone: it then has fewer tokens than ``n_tokens``, which counts those of the whole text.
 
@@ -41,6 +41,8 @@ NAMES = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", CLAUSE: "cl
 #: A character has at most 4 bytes, so a start moves back by 3 tokens at most, and by one more at an apostrophe.
 SLACK, LEAST, MOST_LIMITS = 4, 16, 100
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: First letters of what an apostrophe takes with it (s, t, re, ve, m, ll, d).
+CONTRACTED = np.array([ord(c) for c in "strvmld"], np.uint32)
 #: Kinds of characters, as bits: white space, line end, what ends a sentence or a clause before white space, what ends
 #: them without it, closing quotes and brackets, marks that belong to the character before them.
 SPACE, LINE_END, ENDS, WIDE, PAUSES, WIDE_PAUSE, CLOSER, MARKS = (1 << i for i in range(8))
@@ -91,7 +93,8 @@ def shapes_of(texts: list[str], token_bytes: list[np.ndarray]) -> list[tuple[str
     out[(((last & ENDS) > 0) & next_space) | ((last & WIDE) > 0)] = ord(SENTENCE)
     out[after_line] = ord(LINE)
     out[after_line & (since >= 2)] = ord(PARAGRAPH)
-    out[~starts | (code[following] == 39)] = ord(NO_CUT)
+    contraction = (code[following] == 39) & np.isin(code[np.minimum(chars + 1, n - 1)], CONTRACTED)
+    out[~starts | contraction] = ord(NO_CUT)
     letters = out.tobytes().decode("ascii")
     made, token, byte = [], 0, 0
     for t in token_bytes:
