@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
-from rallyforge.operators import asof, features, identity, islands, metrics, rallies, regular_grid, serves, signals, spikes, track
+from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
 from rallyforge.plans.derived import positions_of_events
-from rallyforge.session import cut_lineage
+from rallyforge.session import cut_lineage, ensure_checkpoint_dir
+from rallyforge.sources import files
 from rallyforge.sources.tables import clean_positions, clean_rallies, table
+from rallyforge.streaming import live
 
 CLIP, WHO = signals.CLIP, metrics.WHO
 #: A calibration to project with (no table ships one).
@@ -423,13 +427,105 @@ def feature_z_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(made, "duration", "dist_p1", "rest_before")
 
 
+# -- identity model
+
+
+def identity_logreg(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-validated accuracy, per row and per group by majority, of a model of three classes on the vectors."""
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL")
+    rows = rows.select((F.floor(F.col("vec_id") / 5)).alias("grp"), (F.col("label") % 3).cast("double").alias("label"), learning.to_vector("embedding").alias("features"))
+    return learning.accuracy(learning.cross_validate(cut_lineage(rows), ["grp"]), ["grp"])
+
+
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and groups of each fold: tracklets as groups of links."""
+    links = table(spark, d, "tracklets_tmp").filter("det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1").distinct()
+    folds = learning.group_folds(links, ["game_id", "tracklet"])
+    return links.join(folds, ["game_id", "tracklet"]).groupBy("fold").agg(F.count("*").alias("links"), F.countDistinct("game_id", "tracklet").alias("tracklets"))
+
+
+# -- calibration numerics
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Foot points as a picture of 40-pixel squares for each frame's turn of three channels; the value is the confidence."""
+    p = _pos(spark, d).filter("fx IS NOT NULL AND fy IS NOT NULL AND conf IS NOT NULL")
+    return p.select(F.floor(F.col("fy") / 40).alias("py"), F.floor(F.col("fx") / 40).alias("px"), (F.col("frame") % 3).alias("channel"), F.col("conf").alias("v"))
+
+
+def background_median(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vision.background(_pixels(spark, d)), "v")
+
+
+def traced_line(spark: SparkSession, d: str) -> DataFrame:
+    """The fullest square of each row of the picture, if it is full enough and not at the row's end."""
+    counts = _pixels(spark, d).groupBy("py", "px").agg(F.count("*").cast("double").alias("v"))
+    return vision.trace(counts, "py", "px")
+
+
+def robust_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A line through the foot points of each source (grouped numpy; no SQL form)."""
+    points = _pos(spark, d).select(*WHO, F.col("fx").alias("x"), F.col("fy").alias("y"))
+    return vision.robust_lines(points, WHO, rounds=200)
+
+
+def region_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Rows inside a four-cornered region of the court, by point-in-polygon."""
+    region = [(0.5, 1.0), (6.0, 2.0), (5.0, 9.0), (1.0, 8.0)]
+    return _pos(spark, d).filter(vision.in_polygon("x", "y", region)).groupBy(*WHO).agg(F.count("*").alias("n"))
+
+
+def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pos(spark, d).select(*WHO, "frame")
+    return files.sampled(rows, 12.0, 3, 5.0, 60.0).select(*WHO, "frame", "t")
+
+
+def summary_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON document per clip: its record and its players'."""
+    return files.summary_json(game_summary(spark, d), player_points(spark, d), CLIP)
+
+
+# -- streams, drained: each reads its table as a stream, to its end, and returns what was written
+
+
+def _drain(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(base + "/out")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    # as a pattern: a stream reads a folder or what a pattern finds, and the table may be a single file
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of event time that the watermark has closed."""
+    readings = _event_stream(spark, d).select(F.format_string("u%02d", F.col("user_id") % 16).alias("game_id"), F.lit(0).alias("clip"), "ts", F.col("value").alias("speed"))
+    made = _drain(live.activity(readings, "1 hour", "6 hours", "3 hours"))
+    return made.select("game_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.round("activity", 6).alias("activity"), "n")
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of events that the watermark has closed; an event lasts its value in seconds."""
+    events = _event_stream(spark, d).select(
+        F.format_string("u%05d", "user_id").alias("game_id"), F.lit(0).alias("clip"), "ts", F.floor(F.col("value")).cast("double").alias("duration"), F.col("event_type").alias("server")
+    )
+    made = _drain(live.serve_sessions(events, 3600.0, "1 hour"))
+    return made.select("game_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "events", F.round("duration", 3).alias("duration"))
+
+
 QUERIES = (
     p2_found, p2_flags, p4_found, p4_grid, court_zone_share, court_points, foot_point_projection, lens_undistort, lens_round_trip, homography_project, court_to_pixels, court_lines,
     activity_signal, sample_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
     detected_rallies, segment_rallies, dropped_segments, infer_missed_serves, split_long_rallies, score_progress, rest_before, rally_interval_join, rally_path_length, player_movement,
     heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
     gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
-    build_tracklets, class_membership, spectator_filter, frame_pairs, unit_vectors, separating_axis, feature_z_scores,
+    build_tracklets, class_membership, spectator_filter, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
+    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, stream_activity, stream_sessions,
 )
 
 

@@ -272,3 +272,20 @@ SELECT vec_id, round(list_inner_product(v, v) / (n * n), 6) AS norm2, round(v[1]
     "feature_z_scores": q(RAL, "f AS (SELECT game_id, clip, rally, duration, dist_p1, coalesce(rest_before, (SELECT median(rest_before) FROM ral)) AS rest_before FROM ral)",
         select="SELECT game_id, clip, rally, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-9), 6) AS {c}" for c in ("duration", "dist_p1", "rest_before")) + " FROM f"),
 }
+_PIXELS = "pix AS (SELECT CAST(floor(fy / 40) AS BIGINT) AS py, CAST(floor(fx / 40) AS BIGINT) AS px, frame % 3 AS channel, conf AS v FROM pos WHERE fx IS NOT NULL AND fy IS NOT NULL AND conf IS NOT NULL)"
+#: Winding of a point around the region's corners: inside when it lies on one side of all edges (the region is convex).
+_SIDES_OF = " AND ".join(f"({x1} - {x0}) * (y - {y0}) - ({y1} - {y0}) * (x - {x0}) > 0" for (x0, y0), (x1, y1) in zip(
+    [(0.5, 1.0), (6.0, 2.0), (5.0, 9.0), (1.0, 8.0)], [(6.0, 2.0), (5.0, 9.0), (1.0, 8.0), (0.5, 1.0)]))
+ORACLE |= {
+    "background_median": q(POS, _PIXELS, select="SELECT py, px, channel, round(median(v), 6) AS v FROM pix GROUP BY ALL"),
+    "traced_line": q(POS, _PIXELS, "c AS (SELECT py, px, count(*) AS v FROM pix GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY py ORDER BY v DESC, px) AS k, min(px) OVER (PARTITION BY py) AS a, max(px) OVER (PARTITION BY py) AS b FROM c)",
+        select="SELECT py, px FROM r WHERE k = 1 AND v >= 20 AND px > a AND px < b"),
+    "region_filter": q(POS, select=f"SELECT game_id, clip, player, count(*) AS n FROM pos WHERE {_SIDES_OF} GROUP BY ALL"),
+    "sampled_frames": q(POS, select="SELECT game_id, clip, player, frame, frame / 12.0::DOUBLE AS t FROM pos WHERE frame BETWEEN 60 AND 720 AND (frame - 60) % 3 = 0"),
+    "stream_activity": """WITH w AS (SELECT 'u' || lpad(CAST(user_id % 16 AS VARCHAR), 2, '0') AS game_id, value, ts, unnest([time_bucket(INTERVAL 3 hours, ts), time_bucket(INTERVAL 3 hours, ts) - INTERVAL 3 hours]) AS start FROM events)
+SELECT game_id, start, round(avg(value), 6) AS activity, count(*) AS n FROM w GROUP BY game_id, start HAVING start + INTERVAL 6 hours <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
+    "stream_sessions": """WITH e AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS game_id, ts, floor(value) AS d, ts + to_seconds(3600 + CAST(floor(value) AS BIGINT)) AS stop FROM events),
+m AS (SELECT *, max(stop) OVER (PARTITION BY game_id ORDER BY ts, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+k AS (SELECT *, sum(CASE WHEN ts < before THEN 0 ELSE 1 END) OVER (PARTITION BY game_id ORDER BY ts, stop ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT game_id, min(ts) AS start, count(*) AS events, round(sum(d), 3) AS duration FROM k GROUP BY game_id, s HAVING max(stop) <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
+}
