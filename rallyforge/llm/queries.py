@@ -40,7 +40,7 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One combinable summary for each day, game, player and metric."""
-    return percentiles.summaries(percentiles.counted_values(table(spark, sf_dir, "positions")), ["day", "game_id", "player"])
+    return percentiles.summaries(table(spark, sf_dir, "positions"), ["day", "game_id", "player"])
 
 
 def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
