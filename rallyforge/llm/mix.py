@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
