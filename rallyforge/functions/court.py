@@ -61,4 +61,5 @@ def court_lines(spark: SparkSession) -> DataFrame:
     ]
     for name, (x0, y0, x1, y1) in BOXES.items():
         lines += [(f"{name} box", x0, y0, x1, y0), (f"{name} box", x0, y1, x1, y1), (f"{name} box", x0, y0, x0, y1), (f"{name} box", x1, y0, x1, y1)]
+    lines = [(name, *(round(v, 2) for v in ends)) for name, *ends in lines]
     return spark.createDataFrame(lines, "name string, x0 double, y0 double, x1 double, y1 double")

@@ -65,13 +65,16 @@ def smooth_tracks(rows: DataFrame, rates: DataFrame, max_gap_s: float = 0.6, max
     runs = runs.withColumn("__i", F.row_number().over(inside)).withColumn("__k", F.count("*").over(part))
     weights, half = savgol_weights(), WINDOW // 2
 
+    # one expression for all rows: the row's window within its run is a slice of the values around it, and its weights are
+    # those of its place in that window
+    ahead, behind = F.col("__k") - F.col("__i"), F.col("__i") - 1
+    place = F.when(behind < half, behind).when(ahead < half, WINDOW - 1 - ahead).otherwise(half).cast("int")
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in weights))
+
     def smoothed(c: str) -> Column:
-        at = {0: F.col(c)} | {k: F.lead(c, k).over(inside) for k in range(1, WINDOW)} | {-k: F.lag(c, k).over(inside) for k in range(1, WINDOW)}
-        dot = lambda first, row: sum((at[first + i] * float(x) for i, x in enumerate(row)), F.lit(0.0))
-        ahead, behind = F.col("__k") - F.col("__i"), F.col("__i") - 1
-        value = F.when((behind >= half) & (ahead >= half), dot(-half, weights[half]))
-        for j in range(half):
-            value = value.when(behind == j, dot(-j, weights[j])).when(ahead == j, dot(j - WINDOW + 1, weights[WINDOW - 1 - j]))
+        around = F.array(*(F.lag(c, -k).over(inside) for k in range(1 - WINDOW, WINDOW)))
+        products = F.zip_with(F.slice(around, WINDOW - place, F.lit(WINDOW)), F.get(table, place), lambda x, y: x * y)
+        value = F.aggregate(products, F.lit(0.0), lambda sum_, x: sum_ + x)
         return F.when(F.col("valid") & (F.col("__k") >= WINDOW), value).otherwise(F.col(c))
 
     placed = runs.withColumn("sx", smoothed("x")).withColumn("sy", smoothed("y"))

@@ -137,7 +137,7 @@ v AS (SELECT *, 288 + (fx - 288) / s AS ux, 320 + (fy - 320) / s AS uy FROM u)""
         select="SELECT game_id, clip, player, frame, round((0.02 * ux - 2) / (0.001 * uy + 1), 4) AS cx, round((0.03 * uy - 5) / (0.001 * uy + 1), 4) AS cy FROM v"),
     "court_to_pixels": q(POS, "v AS (SELECT *, (y + 5) / (0.03 - 0.001 * y) AS py FROM pos)",
         select="SELECT game_id, clip, player, frame, round((x * (0.001 * py + 1) + 2) / 0.02, 4) AS px, CASE WHEN x IS NOT NULL THEN round(py, 4) END AS py FROM v"),
-    "court_lines": """SELECT * FROM (VALUES ('front wall', 0.0, 0.0, 6.4, 0.0), ('back wall', 0.0, 9.75, 6.4, 9.75), ('left wall', 0.0, 0.0, 0.0, 9.75), ('right wall', 6.4, 0.0, 6.4, 9.75),
+    "court_lines": """SELECT name, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM (VALUES ('front wall', 0.0, 0.0, 6.4, 0.0), ('back wall', 0.0, 9.75, 6.4, 9.75), ('left wall', 0.0, 0.0, 0.0, 9.75), ('right wall', 6.4, 0.0, 6.4, 9.75),
   ('short line', 0.0, 5.44, 6.4, 5.44), ('half line', 3.2, 5.44, 3.2, 9.75), ('left box', 0.0, 5.44, 1.6, 5.44), ('left box', 0.0, 7.04, 1.6, 7.04), ('left box', 0.0, 5.44, 0.0, 7.04),
   ('left box', 1.6, 5.44, 1.6, 7.04), ('right box', 4.8, 5.44, 6.4, 5.44), ('right box', 4.8, 7.04, 6.4, 7.04), ('right box', 4.8, 5.44, 4.8, 7.04), ('right box', 6.4, 5.44, 6.4, 7.04)) v(name, x0, y0, x1, y1)""",
     "sample_rate": q(POS, rates(), select="SELECT game_id, clip, round(fps_eff, 4) AS fps_eff FROM rates"),

@@ -3,7 +3,7 @@
 import json
 import math
 import random
-from itertools import permutations
+from itertools import accumulate, groupby, permutations
 
 import numpy as np
 import pandas as pd
@@ -85,18 +85,9 @@ def test_excursions_bursts_and_streaks_against_loops(spark):
     keys = ["game_id", "clip", "player"]
     for _ in range(3):
         v = [rng.choice([None, 0.5, 1.0, 2.0, 2.0, 2.0, 4.0]) for _ in range(80)]
-        times, n, i = [], 0, 0
-        while i < len(v):
-            if v[i] is not None and v[i] > 1.5:
-                j = i
-                while j + 1 < len(v) and v[j + 1] is not None and v[j + 1] > 1.5:
-                    j += 1
-                if j + 1 < len(v):
-                    times.append((j + 1 - i) * 0.1)
-                n += (j - i) * 0.1 >= 0.2 - 1e-9
-                i = j + 1
-            else:
-                i += 1
+        stretches = [[i for i, _ in g] for far, g in groupby(enumerate(v), key=lambda x: x[1] is not None and x[1] > 1.5) if far]
+        times = [(g[-1] + 1 - g[0]) * 0.1 for g in stretches if g[-1] + 1 < len(v)]
+        n = sum((g[-1] - g[0]) * 0.1 >= 0.2 - 1e-9 for g in stretches)
         df = frames(spark, v)
         r = islands.excursions(df, keys, ["frame"], F.col("v") > 1.5).first()
         assert r["n_excursions"] == len(times) and r["recovery_s"] == pytest.approx(float(np.median(times)))
@@ -113,27 +104,14 @@ def test_hysteresis_against_loop(spark):
         for _ in range(150):
             x = min(3.0, max(0.0, x + rng.choice([-0.6, -0.3, 0.3, 0.6])))
             v.append(round(x, 2))
-        on, start, segs = False, None, []
-        for i, a in enumerate(v):
-            if not on and a > 1.8:
-                on, start = True, i
-            elif on and a < 0.9:
-                on = False
-                segs.append([start, i])
-        if on:
-            segs.append([start, len(v) - 1])
-        ext = []
-        for s, e in segs:
-            while s > 0 and v[s - 1] > 0.9:
-                s -= 1
-            ext.append([s, e])
-        merged = []
-        for s, e in ext:
-            if merged and (s - merged[-1][1]) * 0.5 < 1.2:
-                merged[-1][1] = e
-            else:
-                merged.append([s, e])
-        want = [(s * 0.5, e * 0.5) for s, e in merged if (e - s) * 0.5 >= 2.0]
+        states = list(accumulate(v, lambda was, x: 1 if x > 1.8 else 0 if x < 0.9 else was, initial=0))[1:]
+        spans = [[i for i, _ in g] for on, g in groupby(enumerate(states), key=lambda x: x[1]) if on]
+        low = lambda i: max([k for k in range(i) if v[k] <= 0.9], default=-1) + 1
+        spans = [(low(g[0]), min(g[-1] + 1, len(v) - 1)) for g in spans]
+        joined = [spans[0]] if spans else []
+        for a, b in spans[1:]:
+            joined[-1:] = [(joined[-1][0], b)] if (a - joined[-1][1]) * 0.5 < 1.2 else [joined[-1], (a, b)]
+        want = [(a * 0.5, b * 0.5) for a, b in joined if (b - a) * 0.5 >= 2.0]
         got = islands.hysteresis(frames(spark, v, 0.5), ["game_id", "clip"], ["frame"], "v", 1.8, 0.9)
         assert sorted((r["a"], r["b"]) for r in got.collect()) == want
 
