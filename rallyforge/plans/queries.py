@@ -322,11 +322,11 @@ def savgol_track(spark: SparkSession, d: str) -> DataFrame:
     pos = _pos(spark, d)
     rates = signals.sample_rate(pos)
     made = track.smooth_tracks(pos.select(*WHO, "frame", "t", "x", "y", "conf"), rates)
-    return rounded(made, "t", "x", "y", "speed", "dist_t", "conf", digits=4)
+    return rounded(rounded(rounded(made, "t", "conf", digits=10), "x", "y", "dist_t", digits=8), "speed", digits=7)
 
 
 def overlay_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(track.every_frame(_pos(spark, d)), "x", "y", digits=4)
+    return rounded(track.every_frame(_pos(spark, d)), "x", "y", digits=10)
 
 
 # -- lookups in time

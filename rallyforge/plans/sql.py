@@ -289,3 +289,64 @@ m AS (SELECT *, max(stop) OVER (PARTITION BY game_id ORDER BY ts, stop ROWS BETW
 k AS (SELECT *, sum(CASE WHEN ts < before THEN 0 ELSE 1 END) OVER (PARTITION BY game_id ORDER BY ts, stop ROWS UNBOUNDED PRECEDING) AS s FROM m)
 SELECT game_id, min(ts) AS start, count(*) AS events, round(sum(d), 3) AS duration FROM k GROUP BY game_id, s HAVING max(stop) <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
 }
+
+
+def between(source: str, column: str, limit: str, key: str = "game_id, clip, player") -> str:
+    """Rows of a numbered source (n) with the column interpolated by number, from its neighbours found by joins."""
+    same = " AND ".join(f"{{0}}.{k} = a.{k}" for k in key.split(", "))
+    return f"""{column}_near AS (
+  SELECT *, max(CASE WHEN {column} IS NOT NULL THEN n END) OVER (PARTITION BY {key} ORDER BY n ROWS UNBOUNDED PRECEDING) AS p,
+    min(CASE WHEN {column} IS NOT NULL THEN n END) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM {source}),
+{column}_full AS (
+  SELECT {", ".join("a." + k for k in key.split(", "))}, a.n, CASE WHEN a.{column} IS NOT NULL THEN a.{column} WHEN a.n - a.p <= {limit} THEN b.{column} + (c.{column} - b.{column}) * (a.n - a.p) / (a.q - a.p) END AS full_{column}
+  FROM {column}_near a LEFT JOIN {source} b ON {same.format("b")} AND b.n = a.p LEFT JOIN {source} c ON {same.format("c")} AND c.n = a.q)"""
+
+
+_KEYS = "game_id, clip, player"
+_STEPS = f"""gaps AS (SELECT *, lead(frame) OVER (PARTITION BY {_KEYS} ORDER BY frame) - frame AS gap FROM pos),
+modes AS (SELECT {_KEYS}, first(gap ORDER BY k DESC, gap) AS step FROM (SELECT {_KEYS}, gap, count(*) AS k FROM gaps WHERE gap IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ends AS (SELECT p.game_id, p.clip, p.player, min(frame) AS a, max(frame) AS b, max(coalesce(step, 1)) AS step FROM pos p LEFT JOIN modes USING ({_KEYS}) GROUP BY ALL),
+grid AS (SELECT {_KEYS}, unnest(generate_series(a, b, step)) AS frame FROM ends)"""
+
+
+def _savgol() -> str:
+    """Weights of a quadratic through 11 points: row i - p0 + 1 for the value at place i of the window from p0."""
+    import numpy as np
+
+    a = np.vander(np.arange(11) - 5, 3, increasing=True).astype(float)
+    return "[" + ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in row) + "]" for row in (a @ np.linalg.pinv(a)).tolist()) + "]"
+
+
+ORACLE |= {
+    "overlay_tracks": q(POS, f"""every AS (SELECT {_KEYS}, unnest(generate_series(a, b)) AS frame FROM (SELECT {_KEYS}, min(frame) AS a, max(frame) AS b FROM pos GROUP BY {_KEYS})),
+r AS (SELECT every.*, x, y, row_number() OVER (PARTITION BY {_KEYS} ORDER BY frame) AS n FROM every LEFT JOIN pos USING ({_KEYS}, frame))""", between("r", "x", "3"), between("r", "y", "3"),
+        select=f"SELECT game_id, clip, player, frame, round(full_x, 10) AS x, round(full_y, 10) AS y FROM r JOIN x_full USING ({_KEYS}, n) JOIN y_full USING ({_KEYS}, n)"),
+    "flip_parts": q(POS, _SCORED, """r AS (SELECT game_id, clip, det_id AS tracklet, frame, CASE WHEN count(score) OVER f >= 2 THEN avg(score) OVER f END AS s, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY game_id, clip, det_id) AS n
+  FROM det WINDOW o AS (PARTITION BY game_id, clip, det_id ORDER BY frame), f AS (PARTITION BY game_id, clip, det_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+l AS (SELECT *, lag(s) OVER (PARTITION BY game_id, clip, tracklet ORDER BY frame) AS before FROM r)""",
+        select="""SELECT game_id, clip, tracklet, count(*) FILTER (WHERE k >= 5 AND k < n - 5 AND n >= 10 AND ((before > 0.1001 AND s < -0.1001) OR (before < -0.1001 AND s > 0.1001))) AS cuts FROM l GROUP BY ALL"""),
+    "hysteresis_segments": q(POS, wide(), rates(), ACTIVE, """f AS (SELECT game_id, clip, t, round(activity, 6) AS a, row_number() OVER w AS i, count(*) OVER (PARTITION BY game_id, clip) AS n FROM active WHERE t IS NOT NULL WINDOW w AS (PARTITION BY game_id, clip ORDER BY frame)),
+st AS (SELECT *, coalesce(last_value(CASE WHEN a > 1.8 THEN 1 WHEN a < 0.9 THEN 0 END IGNORE NULLS) OVER (PARTITION BY game_id, clip ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS s,
+  max(CASE WHEN a <= 0.9 THEN i END) OVER (PARTITION BY game_id, clip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM f),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY game_id, clip, s ORDER BY i) AS k FROM st),
+sp AS (SELECT game_id, clip, k, coalesce(arg_min(low, i), 0) + 1 AS lo, least(max(i) + 1, max(n)) AS hi FROM isl WHERE s = 1 GROUP BY ALL),
+tm AS (SELECT sp.game_id, sp.clip, x.t AS a, y.t AS b FROM sp JOIN f x ON x.game_id = sp.game_id AND x.clip = sp.clip AND x.i = sp.lo JOIN f y ON y.game_id = sp.game_id AND y.clip = sp.clip AND y.i = sp.hi),
+g AS (SELECT *, sum(new) OVER (PARTITION BY game_id, clip ORDER BY a ROWS UNBOUNDED PRECEDING) AS m FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY game_id, clip ORDER BY a) < 1.2 THEN 0 ELSE 1 END AS new FROM tm))""",
+        select="SELECT game_id, clip, min(a) AS a, max(b) AS b FROM g GROUP BY game_id, clip, m HAVING max(b) - min(a) >= 2.0"),
+    "savgol_track": q(POS, rates(), _STEPS, f"""r AS (SELECT grid.*, t, x, y, conf, fps_eff, row_number() OVER (PARTITION BY {_KEYS} ORDER BY frame) AS n FROM grid LEFT JOIN pos USING ({_KEYS}, frame) LEFT JOIN rates USING (game_id, clip))""",
+        between("r", "t", "1e9"), between("r", "x", "floor(0.6 * a.fps_eff)"), between("r", "y", "floor(0.6 * a.fps_eff)"), between("r", "conf", "floor(0.6 * a.fps_eff)"),
+        f"""m AS (SELECT r.game_id, r.clip, r.player, r.frame, r.n, r.x IS NULL AS interpolated, full_t AS t, full_x AS x, full_y AS y, full_conf AS conf
+  FROM r JOIN t_full USING ({_KEYS}, n) JOIN x_full USING ({_KEYS}, n) JOIN y_full USING ({_KEYS}, n) JOIN conf_full USING ({_KEYS}, n)),
+v AS (SELECT *, n - row_number() OVER (PARTITION BY {_KEYS}, x IS NOT NULL ORDER BY n) AS run FROM m),
+w AS (SELECT {_KEYS}, run, min(n) AS first_n, count(*) AS k, list(x ORDER BY n) AS xs, list(y ORDER BY n) AS ys FROM v WHERE x IS NOT NULL GROUP BY ALL),
+u AS (SELECT v.*, k, xs, ys, v.n - first_n + 1 AS i FROM v LEFT JOIN w ON v.x IS NOT NULL AND w.game_id = v.game_id AND w.clip = v.clip AND w.player = v.player AND w.run = v.run),
+z AS (SELECT *, greatest(1, least(i - 5, k - 10)) AS p0, {_savgol()} AS wt FROM u),
+c AS (SELECT {_KEYS}, frame, n, t, conf, interpolated, least(greatest(CASE WHEN k >= 11 THEN list_inner_product(xs[p0:p0 + 10], wt[i - p0 + 1]) ELSE x END, 0.0), 6.4) AS x0,
+  least(greatest(CASE WHEN k >= 11 THEN list_inner_product(ys[p0:p0 + 10], wt[i - p0 + 1]) ELSE y END, 0.0), 9.75) AS y0, x IS NOT NULL AS ok FROM z),
+d AS (SELECT * REPLACE (CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END AS y0), count(*) OVER (PARTITION BY {_KEYS}) AS k FROM c),
+e AS (SELECT a.game_id, a.clip, a.player, a.n, CASE WHEN a.k > 1 AND a.ok THEN sqrt(((c.x0 - b.x0) / (c.t - b.t)) ** 2 + ((c.y0 - b.y0) / (c.t - b.t)) ** 2) END AS v0
+  FROM d a JOIN d b ON b.game_id = a.game_id AND b.clip = a.clip AND b.player = a.player AND b.n = greatest(a.n - 1, 1) JOIN d c ON c.game_id = a.game_id AND c.clip = a.clip AND c.player = a.player AND c.n = least(a.n + 1, a.k)),
+s AS (SELECT * EXCLUDE (v0), CASE WHEN v0 <= 8 THEN v0 END AS v1 FROM e)""", between("s", "v1", "2"),
+        select=f"""SELECT game_id, clip, player, frame, round(t, 10) AS t, round(x0, 8) AS x, round(y0, 8) AS y, round(full_v1, 7) AS speed, round(sqrt((x0 - 3.2) ** 2 + (y0 - 5.44) ** 2), 8) AS dist_t, round(conf, 10) AS conf, interpolated
+  FROM d JOIN v1_full USING ({_KEYS}, n)"""),
+}
