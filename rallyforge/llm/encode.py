@@ -35,6 +35,8 @@ BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered by a worker; beyond, the table starts anew.
 REMEMBERED = 400_000
+#: Longest word, in characters, that is remembered.
+LONGEST = 100
 #: Longest piece, in bytes, that is encoded together with others.
 TOGETHER = 64
 NONE = np.int64(1) << 40
@@ -246,8 +248,14 @@ class Encoder:
             pieces = self._learn({p for ps in split.values() for p in ps})
             for u, ps in split.items():
                 words[u] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+            for p in [p for u, ps in split.items() if len(u) > LONGEST for p in ps if len(p) > LONGEST]:
+                pieces.pop(p, None)
         get = words.__getitem__
-        return [b"".join(map(get, units)) for units in parts]
+        coded = [b"".join(map(get, units)) for units in parts]
+        for u in new:  # long stretches are rare and large: they are not remembered
+            if len(u) > LONGEST:
+                del words[u]
+        return coded
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], np.int32).tolist()

@@ -44,6 +44,9 @@ def test_memory_is_bounded(ref):
         text = f"word{i} and{i} more{i}"
         assert e.encode(text) == ref.encode_ordinary(text)
     assert len(e.words) < 20 and len(e.pieces) < 40
+    long = "x" * 5000 + "\n" + "漢" * 400
+    assert e.encode(long) == ref.encode_ordinary(long) == e.encode(long)
+    assert max(map(len, [*e.words, *e.pieces])) <= en.LONGEST
 
 
 def test_empty_table_and_extra_columns(spark):
