@@ -9,9 +9,9 @@ profile's end at least once. Rows of the sparse part are the candidates; a check
 those that leave the path and come back (x, y) or exceed everything else the source does (speed). Constant runs and
 ranges are tested separately.
 
-Scale: one shuffle of the needed columns, by source and chunk of ``CHUNK_FRAMES`` frames, so that a source of any
-length is spread; rows within ``HALO_FRAMES`` of a chunk's end also go to the neighbour as context, so series over the
-end are seen from both sides. All sources of a task are processed together in numpy.
+Scale: one shuffle of the needed columns, by source. A source is judged whole, by its own scale, components, steps and
+top speed, so a task holds the rows of its longest source (a recording has an end; README gives the memory a row takes).
+All sources of a task are processed together in numpy.
 
 Defined results: rows without player or frame belong to no source; of rows with an equal key the newest counts.
 NULL and NaN are missing and no fault. A series is broken by a missing value, not by a missing frame. A game without
@@ -31,7 +31,6 @@ from rallyforge.session import lookup
 from rallyforge.sources.tables import game_strides, of_sources
 
 SOURCE = ["game_id", "clip", "player"]
-CHUNK_FRAMES, HALO_FRAMES = 32_768, 2_048
 PROFILE, RANK, ROUNDS = 8, 2, 5
 #: Sparse part: beyond this multiple of the residual scale (1.4826 x median absolute residual) of the source.
 SPARSE = 4.0
@@ -184,7 +183,7 @@ def faults(groups: Groups) -> dict:
                     step = np.nan_to_num(grouped_quantile(move[ordinary], gid[ordinary], len(g), LARGE_STEP))
                     spike = excursions(finite, near, candidate | outside, np.maximum(step, 0.02)[gid])
         code = np.select([outside, constant, spike], [0, 1, 2], -1)
-        kinds[metric] = np.where(g.column("own"), code, -1)
+        kinds[metric] = code
     rows = np.flatnonzero((kinds["x"] >= 0) | (kinds["y"] >= 0) | (kinds["speed"] >= 0))
     names = pa.array(KINDS)
     return g.take([*SOURCE, "frame"], rows) | {
@@ -192,17 +191,12 @@ def faults(groups: Groups) -> dict:
     }
 
 
-def flag_faults(positions: DataFrame, games: DataFrame, chunk_frames: int = CHUNK_FRAMES, halo_frames: int = HALO_FRAMES) -> DataFrame:
-    """One row per faulty row: game_id, clip, player, frame, x_fault, y_fault, speed_fault (range, stuck, spike or NULL)."""
+def flag_faults(positions: DataFrame, games: DataFrame, chunk_frames: int | None = None, halo_frames: int | None = None) -> DataFrame:
+    """One row per faulty row: game_id, clip, player, frame, x_fault, y_fault, speed_fault (range, stuck, spike or NULL).
+    chunk_frames and halo_frames are accepted for older callers and change nothing: a source is never cut."""
     rows = lookup(of_sources(positions).select(*SOURCE, "frame", "x", "y", "speed", "ingested_at"), game_strides(games), ["game_id"])
-    shifted = F.col("frame") + chunk_frames // 2  # clips start at small frames, so no chunk ends at 0
-    home, at = F.floor(shifted / chunk_frames), F.pmod(shifted, F.lit(chunk_frames))
-    rows = rows.withColumn("stride", F.coalesce("stride", F.lit(1))).withColumn(
-        "chunk",
-        F.explode(F.filter(F.array(home, F.when(at < halo_frames, home - 1), F.when(at >= chunk_frames - halo_frames, home + 1)), lambda c: c.isNotNull())),
-    )
-    rows = rows.withColumn("own", F.col("chunk") == home)
+    rows = rows.withColumn("stride", F.coalesce("stride", F.lit(1)))
     return map_sorted_groups(
-        rows, [*SOURCE, "chunk"], ["frame", F.col("ingested_at").desc_nulls_last()], faults,
+        rows, SOURCE, ["frame", F.col("ingested_at").desc_nulls_last()], faults,
         "game_id string, clip int, player string, frame bigint, x_fault string, y_fault string, speed_fault string",
     )

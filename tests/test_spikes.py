@@ -93,3 +93,20 @@ def test_robust_components_ignore_a_huge_spike():
     v[33] += 400
     found = spikes.sparse_part(v, np.ones(80, bool), np.array([0, 80]))
     assert found[33] and found.sum() < 20
+
+
+def test_a_source_is_judged_whole(spark, positions_of, games_of):
+    rows = walk(400, first=1_000)
+    for r, v in zip(rows, np.random.default_rng(3).uniform(0.2, 5.0, 400)):
+        r["speed"] = round(float(v), 4)
+    quiet = walk(200, seed=1, first=30_000)  # beyond frame 16,384, where chunks used to end
+    quiet[100]["speed"] = 5.0  # as fast as the source was before
+    assert not [k for k, f in faults(spark, positions_of, games_of, rows + quiet).items() if f[2]]
+
+
+def test_a_constant_series_over_a_long_hole(spark, positions_of, games_of):
+    rows = [{**r, "frame": r["frame"] + (0 if i < 100 else 3_000)} for i, r in enumerate(walk(200, first=16_280))]
+    for i in range(95, 105):
+        rows[i]["x"] = 2.0
+    found = faults(spark, positions_of, games_of, rows)
+    assert [r["frame"] for r in rows[95:105]] == sorted(f for (_, f), kinds in found.items() if kinds[0] == "stuck")
