@@ -477,7 +477,7 @@ def region_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
     rows = _pos(spark, d).select(*WHO, "frame")
-    return files.sampled(rows, 12.0, 3, 5.0, 60.0).select(*WHO, "frame", "t")
+    return files.sampled_by_game(rows, table(spark, d, "games")).select(*WHO, "frame", "t")
 
 
 def summary_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -6,10 +6,13 @@ import os
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from rallyforge.session import lookup
+from rallyforge.sources.tables import nan_to_null
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """With a header and an explicit schema; empty fields are NULL."""
@@ -54,11 +57,21 @@ def pictures(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
-def sampled(frames: DataFrame, fps: float, stride: int, t_start: float, t_end: float) -> DataFrame:
-    """Every stride-th frame of [t_start, t_end], with its time."""
-    first, last = int(t_start * fps), int(t_end * fps)
-    inside = frames.filter((F.col("frame") >= first) & (F.col("frame") <= last) & ((F.col("frame") - first) % stride == 0))
-    return inside.withColumn("t", F.col("frame") / fps)
+def sampled(frames: DataFrame, fps: float | Column, stride: int | Column, t_start: float | Column, t_end: float | Column | None) -> DataFrame:
+    """Every stride-th frame of [t_start, t_end] (no end: to the last frame), with its time."""
+    first, last = (F.lit(t_start) * F.lit(fps)).cast("bigint"), (F.lit(t_end) * F.lit(fps)).cast("bigint")
+    first = F.coalesce(first, F.lit(0))
+    inside = frames.filter((F.col("frame") >= first) & (last.isNull() | (F.col("frame") <= last)) & ((F.col("frame") - first) % F.lit(stride) == 0))
+    return inside.withColumn("t", F.col("frame") / F.lit(fps))
+
+
+def sampled_by_game(frames: DataFrame, games: DataFrame) -> DataFrame:
+    """The frames of each game at its own fps, frame_stride, t_start and t_end. A game without stride takes 1, without start
+    0, without end all frames to come; without fps t is NULL and nothing is cut off."""
+    own = nan_to_null(games.select("game_id", "fps", "frame_stride", "t_start", "t_end")).filter("game_id IS NOT NULL").dropDuplicates(["game_id"])
+    own = own.select("game_id", *(F.col(c).alias(f"__{c}") for c in own.columns if c != "game_id"))
+    rows = lookup(frames, own, ["game_id"])
+    return sampled(rows, F.col("__fps"), F.coalesce("__frame_stride", F.lit(1)), F.col("__t_start"), F.col("__t_end")).drop("__fps", "__frame_stride", "__t_start", "__t_end")
 
 
 def load_config(path: str | None = None, variable: str = "RALLYFORGE_CONFIG") -> dict[str, Any]:
