@@ -1,5 +1,5 @@
-"""Positions made from the event stream, by whole numbers only: in turn a serve stance, play and rest. They hold the serve
-events, sessions and scores that recorded positions need not have."""
+"""Positions made from the event stream, by whole numbers only: in turn a serve stance, play and rest. They hold more
+serve events, sessions and scores than recorded positions do: a fixture for tests; no query reads them."""
 
 from __future__ import annotations
 
