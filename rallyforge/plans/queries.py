@@ -465,7 +465,7 @@ def traced_line(spark: SparkSession, d: str) -> DataFrame:
 def robust_lines(spark: SparkSession, d: str) -> DataFrame:
     """A line through the foot points of each source (grouped numpy; no SQL form)."""
     points = _pos(spark, d).select(*WHO, F.col("fx").alias("x"), F.col("fy").alias("y"))
-    return vision.robust_lines(points, WHO, rounds=200)
+    return vision.robust_lines(points, WHO)
 
 
 def region_filter(spark: SparkSession, d: str) -> DataFrame:
