@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
 from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
-from rallyforge.session import cut_lineage, ensure_checkpoint_dir
+from rallyforge.session import cut_lineage, ensure_checkpoint_dir, lookup
 from rallyforge.sources import files
-from rallyforge.sources.tables import clean_positions, clean_rallies, table
+from rallyforge.sources.tables import clean_positions, clean_rallies, game_strides, table
 from rallyforge.streaming import live
 
 CLIP, WHO = signals.CLIP, metrics.WHO
@@ -379,9 +379,9 @@ def flip_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def build_tracklets(spark: SparkSession, d: str) -> DataFrame:
-    """Tracklets from the readings of both players as unlabelled detections."""
-    rows = _scored(spark, d).drop("tracklet", "score")
-    return identity.build_tracklets(rows, CLIP, stride=3).select(*CLIP, "frame", "det_id", "tracklet")
+    """Tracklets from the readings of both players as unlabelled detections, at the stride of each game."""
+    rows = lookup(_scored(spark, d).drop("tracklet", "score"), game_strides(table(spark, d, "games")), ["game_id"])
+    return identity.build_tracklets(rows.withColumn("stride", F.coalesce("stride", F.lit(1))), CLIP).select(*CLIP, "frame", "det_id", "tracklet")
 
 
 def class_membership(spark: SparkSession, d: str) -> DataFrame:
