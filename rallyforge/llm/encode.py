@@ -39,7 +39,8 @@ REMEMBERED = 400_000
 LONGEST = 100
 #: Longest piece, in bytes, that is encoded together with others.
 TOGETHER = 64
-NONE = np.int64(1) << 40
+#: Above every rank (pairs are packed into 20 bits each); times the size of a tree it stays below 2**63 for any text.
+NONE = np.int64(1) << 21
 #: A space beside other white space (by the wider of the two common definitions) or at an end of the text.
 SPACE_BESIDE_SPACE = re.compile(r" \s|\s |\A | \Z").search
 #: Texts that are encoded together.

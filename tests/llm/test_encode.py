@@ -54,3 +54,15 @@ def test_empty_table_and_extra_columns(spark):
     assert en.encode_texts(df).count() == 0
     rows = spark.createDataFrame([(1, "a", [9]), (1, "a", None)], "doc_id bigint, text string, ids array<int>")
     assert [r["ids"] for r in en.encode_texts(rows).collect()] == [[64], [64]]
+
+
+def test_room_for_one_piece_of_any_length():
+    class Bytes:  # no pair is a token, so every byte stays
+        byte_id, pairs = np.arange(256), {}
+
+        def pair_ranks(self, a, b):
+            return np.full(len(a), en.NONE, np.int64)
+
+    data = b"ab" * (1 << 21) + b"c"
+    assert en.encode_long(data, Bytes()) == list(data)
+    assert max(en.encoder(en.BYTE_BPE_50K).vocab.rank.values()) < en.NONE
