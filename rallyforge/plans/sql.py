@@ -112,7 +112,9 @@ def shares(*pairs: tuple[str, str]) -> str:
     return ", ".join(f"round({e}, 5) AS {n}" for e, n in pairs)
 
 
-_SERVE = (DERIVED, wide("dpos"), rates("dpos"), ACTIVE, pace("dpos"), EVENTS)
+_SERVE = (POS, wide(), rates(), ACTIVE, pace(), EVENTS)
+#: The same chain over the positions made from events, for tests.
+SERVE_OF_EVENTS = (DERIVED, wide("dpos"), rates("dpos"), ACTIVE, pace("dpos"), EVENTS)
 
 ORACLE: dict[str, str] = {
     "p4_found": q(POS, """filled AS (
@@ -281,7 +283,9 @@ ORACLE |= {
     "traced_line": q(POS, _PIXELS, "c AS (SELECT py, px, count(*) AS v FROM pix GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY py ORDER BY v DESC, px) AS k, min(px) OVER (PARTITION BY py) AS a, max(px) OVER (PARTITION BY py) AS b FROM c)",
         select="SELECT py, px FROM r WHERE k = 1 AND v >= 20 AND px > a AND px < b"),
     "region_filter": q(POS, select=f"SELECT game_id, clip, player, count(*) AS n FROM pos WHERE {_SIDES_OF} GROUP BY ALL"),
-    "sampled_frames": q(POS, select="SELECT game_id, clip, player, frame, frame / 12.0::DOUBLE AS t FROM pos WHERE frame BETWEEN 60 AND 720 AND (frame - 60) % 3 = 0"),
+    "sampled_frames": q(POS, """own AS (SELECT DISTINCT ON (game_id) game_id, fps, coalesce(frame_stride, 1) AS step, coalesce(CAST(trunc(CASE WHEN NOT isnan(t_start) THEN t_start END * fps) AS BIGINT), 0) AS f0,
+  CAST(trunc(CASE WHEN NOT isnan(t_end) THEN t_end END * fps) AS BIGINT) AS f1 FROM games WHERE game_id IS NOT NULL)""",
+        select="SELECT game_id, clip, player, frame, frame / fps AS t FROM pos LEFT JOIN own USING (game_id) WHERE frame >= coalesce(f0, 0) AND (f1 IS NULL OR frame <= f1) AND (frame - coalesce(f0, 0)) % coalesce(step, 1) = 0"),
     "stream_activity": """WITH w AS (SELECT 'u' || lpad(CAST(user_id % 16 AS VARCHAR), 2, '0') AS game_id, value, ts, unnest([time_bucket(INTERVAL 3 hours, ts), time_bucket(INTERVAL 3 hours, ts) - INTERVAL 3 hours]) AS start FROM events)
 SELECT game_id, start, round(avg(value), 6) AS activity, count(*) AS n FROM w GROUP BY game_id, start HAVING start + INTERVAL 6 hours <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
     "stream_sessions": """WITH e AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS game_id, ts, floor(value) AS d, ts + to_seconds(3600 + CAST(floor(value) AS BIGINT)) AS stop FROM events),
