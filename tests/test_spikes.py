@@ -78,21 +78,33 @@ def test_no_source_and_empty(spark, positions_of, games_of):
     assert faults(spark, positions_of, games_of, []) == {}
 
 
-@pytest.mark.parametrize("chunk", [64, 100, 10_000])
-def test_chunks_do_not_change_stuck_series_and_excursions(spark, positions_of, games_of, chunk):
-    rows = walk(300)
-    for i in (*range(60, 70), *range(92, 110)):
-        rows[i]["x"] = 2.0
+@pytest.mark.parametrize("chunk", [4, 6, 600])
+def test_chunks_do_not_change_a_flag(spark, positions_of, games_of, chunk):
+    rng = np.random.default_rng(5)
+    rows = walk(300) + walk(260, seed=2, player="p2", first=37)
+    for r, v in zip(rows, rng.uniform(0.1, 4.0, 560)):
+        r["speed"] = round(float(v), 4)
+    for i in (*range(60, 70), *range(92, 110), *range(300, 480)):
+        rows[i]["x"] = 2.0  # two series over chunk ends, and one over whole chunks
     rows[200]["y"] = round(rows[200]["y"] + 2, 4)
-    found = faults(spark, positions_of, games_of, rows, chunk_frames=chunk, halo_frames=32)
-    assert {f for _, f in found} == {*range(60, 70), *range(92, 110), 200}
+    rows[128]["y"] = round(rows[128]["y"] - 2, 4)
+    rows[150]["speed"] = 30.0
+    rows[210]["speed"], rows[240]["x"], rows[530]["y"] = -1.0, 9.0, None
+    del rows[20:29]
+    whole = faults(spark, positions_of, games_of, rows)
+    found = faults(spark, positions_of, games_of, rows, chunk_profiles=chunk)
+    assert found == whole and {k for k, f in found.items() if f[2] == "spike"} == {("p1", 150)}
+    assert {f for (p, f), kinds in found.items() if p == "p1" and kinds[1] == "spike"} == {128, 200}
+    assert sum(kinds[0] == "stuck" for kinds in found.values()) == 10 + 18 + 180
 
 
 def test_robust_components_ignore_a_huge_spike():
     v = np.sin(np.arange(80) / 5) * 0.1
     v[33] += 400
-    found = spikes.sparse_part(v, np.ones(80, bool), np.array([0, 80]))
-    assert found[33] and found.sum() < 20
+    grids = [spikes.Profiles(v, np.zeros(80, np.int64), np.arange(80), offset, 1) for offset in (0, spikes.PROFILE // 2)]
+    gram = sum(p.gram(np.ones(len(p.gid), bool)) for p in grids)
+    off = spikes.rests(grids, spikes.components(gram, np.array([5.0])))
+    assert abs(off[33] - 400) < 1 and np.abs(np.delete(off, 33)).max() < 0.1
 
 
 def test_a_source_is_judged_whole(spark, positions_of, games_of):
