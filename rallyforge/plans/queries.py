@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
 from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
-from rallyforge.session import cut_lineage, ensure_checkpoint_dir, lookup
+from rallyforge.session import cut_lineage, lookup, own_folder
 from rallyforge.sources import files
 from rallyforge.sources.tables import clean_positions, clean_rallies, game_strides, table
 from rallyforge.streaming import live
@@ -489,7 +487,7 @@ def summary_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _drain(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = own_folder(spark, "stream")
     q = stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(base + "/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,37 @@ from pyspark.sql import functions as F
 
 #: Largest lookup table that is broadcast, in rows of two or three narrow columns.
 BROADCAST_ROWS = 500_000
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the cluster names, else a folder of this machine (tests only)."""
+    """The shared folder for checkpoints: what the cluster names, else a folder of this machine (tests only). Checkpoints
+    that nothing refers to any more are deleted, and what is left of them when the driver ends."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        settings = sc._jsc.sc().conf()
+        if not settings.contains(CLEAN):
+            settings.set(CLEAN, "true")
+        folder = _named_checkpoint_dir(spark)
+        delete_at_end(spark, sc.getCheckpointDir() or folder)
+        return folder
+    return _named_checkpoint_dir(spark)
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """A folder of this session's own goes when the driver ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder beside the checkpoints, deleted when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    return folder
+
+
+def _named_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -33,6 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table beside the checkpoints and read from there: smaller than a checkpoint, and read by columns."""
+    folder = own_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table; it is broadcast only when its counted rows stay within the bound, else joined by shuffle
     (with adaptive skew splitting)."""

@@ -40,15 +40,54 @@ def test_empty_single_and_without_source(spark, positions_of):
     assert [(r["period_no"], r["missing"]) for r in grid(positions_of, [dict(frame=1, t=-0.2)])] == [(-1, False)]
 
 
-@pytest.mark.parametrize("chunk", [4, 7, 64])
-def test_chunks_do_not_change_missing_periods(spark, positions_of, chunk):
+@pytest.mark.parametrize("block", [4, 24, 64])
+def test_blocks_of_a_long_source_do_not_change_its_periods(spark, positions_of, block):
     rng = np.random.default_rng(3)
-    t = np.sort(np.round(rng.uniform(0, 60, 60), 3))
+    t = np.sort(np.round(rng.uniform(-9, 60, 160), 3))
     t = t[(t < 20) | (t > 33)]
-    rows = [dict(frame=i, t=float(v), x=3 + float(v) / 100, y=5.0) for i, v in enumerate(t)]
-    whole, cut = grid(positions_of, rows), grid(positions_of, rows, chunk_periods=chunk, halo_periods=2)
-    assert [(r["period_no"], r["missing"], r["n_readings"]) for r in whole] == [(r["period_no"], r["missing"], r["n_readings"]) for r in cut]
-    assert max(abs(a["x"] - b["x"]) for a, b in zip(whole, cut)) < 0.5
+    rows = [dict(frame=i, t=float(v), x=3 + math.sin(v / 3), y=5.0 + (5.0 if i == 40 else 0.0)) for i, v in enumerate(t)]
+    whole, cut = grid(positions_of, rows), grid(positions_of, rows, block_periods=block, halo_periods=24, chunk_frames=16)
+    plain = [(r["period_no"], r["missing"], r["n_readings"]) for r in whole]
+    assert plain == [(r["period_no"], r["missing"], r["n_readings"]) for r in cut] and sum(r["missing"] for r in whole) > 20
+    if block >= 24:  # a block sees no further than the next one, so tiny ones forget what they should not
+        assert all(abs(a["x"] - b["x"]) < 0.05 * a["sd"] + 0.01 and abs(a["sd"] - b["sd"]) < 0.05 * a["sd"] + 0.01 for a, b in zip(whole, cut))
+
+
+def test_a_bridge_equals_the_smoother_at_times_without_a_reading():
+    rng = np.random.default_rng(2)
+    sizes = [40, 9, 1]
+    gid = np.repeat(np.arange(3), sizes)
+    t = np.concatenate([np.sort(rng.uniform(0, 20, n)) for n in sizes])
+    xy = np.cumsum(rng.normal(0, 0.05, (len(t), 2)), 0)
+    noise = np.array([0.02, 0.05, 0.03])
+    trend = rg.Trend(t, xy, gid, 3, noise)
+    extra = np.concatenate([np.sort(rng.uniform(t[gid == g].min(), t[gid == g].max() + 2, 15)) for g in range(3)])
+    owner = np.repeat(np.arange(3), 15)
+    x, y, variance = rg.bridge(trend.ends(owner, extra).T, extra)
+    times, groups, seen = np.r_[t, extra], np.r_[gid, owner], np.r_[np.ones(len(t), bool), np.zeros(45, bool)]
+    order = np.lexsort((times, groups))
+    start = np.r_[0, np.cumsum(np.bincount(groups))]
+    place, var = rg.smooth(times[order], np.r_[xy, np.zeros((45, 2))][order], seen[order], noise, start)
+    back = np.argsort(order)[len(t) :]
+    assert np.allclose(np.c_[x, y], place[back], atol=1e-6) and np.allclose(variance, var[back], rtol=1e-4, atol=1e-9)
+
+
+def test_a_clock_that_jumps(spark, positions_of):
+    rows = [dict(frame=i, t=i / 10) for i in range(20)] + [dict(frame=20 + i, t=2e6 + i / 10) for i in range(5)]
+    out = rg.regular_grid(positions_of(rows))
+    holes = out.filter("missing")
+    assert holes.count() == holes.select("period_no").distinct().count() == 4_000_000 - 4
+    low, high, known = holes.selectExpr("min(period_no)", "max(period_no)", "count(x)").first()
+    assert (low, high, known) == (4, 3_999_999, 4_000_000 - 4)
+
+
+def test_only_infinite_places(spark, positions_of):
+    out = grid(positions_of, [dict(frame=0, t=0.0, x=math.inf), dict(frame=1, t=1.2, x=math.inf)])
+    assert [(r["period_no"], r["missing"], r["x"], r["sd"]) for r in out] == [(0, False, None, None), (1, True, None, None), (2, False, None, None)]
+    out = grid(positions_of, [dict(frame=0, t=0.0), dict(frame=1, t=0.2), dict(frame=2, t=1.2, x=math.inf), dict(frame=3, t=3.2, y=-math.inf)])
+    assert [r["missing"] for r in out] == [False, True, False, True, True, True, False] and all(abs(r["x"] - 3) < 0.1 for r in out) and out[5]["sd"] > out[1]["sd"]
+    out = grid(positions_of, [dict(frame=0, t=0.0), dict(frame=1, t=0.1, x=1e200), dict(frame=2, t=1.2)])
+    assert all(abs(r["x"] - 3) < 0.1 for r in out)
 
 
 def test_smoother_equals_batch_least_squares():
