@@ -27,23 +27,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyforge.session import cut_lineage
+from rallyforge.session import cut_lineage, sized, stored
 
 BINS, GROUP_ROWS, FAN_IN, MOST_ROUNDS = 200, 50_000, 256, 100
 
 
-def links(tracklets: DataFrame) -> DataFrame:
-    """Distinct links: game_id, det_id, tracklet."""
-    return tracklets.filter("det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1").select("game_id", "det_id", "tracklet").distinct()
+def detections(tracklets: DataFrame) -> DataFrame:
+    """game_id, det_id, low, high: each detection with its least and greatest tracklet (NULL where it is linked to none).
+    Copies do no harm to either, so nothing has to be made distinct."""
+    valid = F.when(F.col("tracklet") != -1, F.col("tracklet"))
+    return tracklets.filter("det_id IS NOT NULL").groupBy("game_id", "det_id").agg(F.min(valid).alias("low"), F.max(valid).alias("high"))
 
 
-def tie_components(tracklets: DataFrame) -> DataFrame:
-    """game_id, tracklet, root for each tracklet of a group of two or more that is not its least one (root)."""
-    linked = links(tracklets)
-    shared = linked.groupBy("game_id", "det_id").agg(F.min("tracklet").alias("v"), F.max("tracklet").alias("top")).filter("v < top").drop("top")
-    a, b = linked.alias("a"), shared.alias("b")
+def tie_components(tracklets: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """game_id, tracklet, root for each tracklet of a group of two or more that is not its least one (root). records: the
+    detections of tracklets, if they are there already."""
+    records = detections(tracklets) if records is None else records
+    tied = cut_lineage(records.filter("low < high").select("game_id", "det_id", "low"))
+    rows = tracklets.filter("det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1")
+    a, b = rows.alias("a"), sized(tied).alias("b")
     same = F.col("a.game_id").eqNullSafe(F.col("b.game_id")) & (F.col("a.det_id") == F.col("b.det_id"))
-    edges = a.join(b, same).filter("a.tracklet > b.v").select("a.game_id", F.col("a.tracklet").alias("u"), "b.v").distinct()
+    edges = a.join(b, same).filter("a.tracklet > b.low").select("a.game_id", F.col("a.tracklet").alias("u"), F.col("b.low").alias("v")).distinct()
     edges = cut_lineage(edges)
     state = None
     for _ in range(MOST_ROUNDS):
@@ -166,20 +170,23 @@ def _pack_bins(bins: int):
     return fn
 
 
-def equal_bins(components: DataFrame, bins: int = BINS, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """components (game_id, kind, id, w) with their bin of `bins` nearly equal ones."""
+def equal_bins(components: DataFrame, bins: int = BINS, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
+    """Components (game_id, kind, id, w) in bins of their group, as (game_id, kind, id, w, grp, bin); and where each of these
+    bins goes among the `bins` nearly equal ones in the end, with its weight, as (grp, bin, w, to_bin)."""
     groups = max(1, -(-components.count() // group_rows))
     order = F.xxhash64("game_id", "kind", "id")
     spread = components.withColumn("order", order).withColumn("grp", F.pmod("order", F.lit(groups)))
-    packed = cut_lineage(
-        spread.groupBy("grp").applyInPandas(_pack_group(bins), "game_id string, kind string, id bigint, w bigint, grp bigint, bin bigint")
-    )
+    packed = stored(spread.groupBy("grp").applyInPandas(_pack_group(bins), "game_id string, kind string, id bigint, w bigint, grp bigint, bin bigint"))
+    # only the bins move from here on: a row for each bin of each group
+    moved = cut_lineage(packed.groupBy("grp", "bin").agg(F.sum("w").alias("w")).withColumns({"now": F.col("grp"), "to_bin": F.col("bin")}))
     while groups > 1:
-        sums = packed.groupBy("grp", "bin").agg(F.sum("w").alias("w")).withColumn("up", F.floor(F.col("grp") / fan_in))
+        sums = moved.groupBy("now", "to_bin").agg(F.sum("w").alias("w")).select(F.col("now").alias("grp"), F.col("to_bin").alias("bin"), "w", F.floor(F.col("now") / fan_in).alias("up"))
         moves = sums.groupBy("up").applyInPandas(_pack_bins(bins), "grp bigint, bin bigint, up bigint, to_bin bigint")
-        packed = cut_lineage(packed.join(moves, ["grp", "bin"]).select("game_id", "kind", "id", "w", F.col("up").alias("grp"), F.col("to_bin").alias("bin")))
+        moves = moves.select(F.col("grp").alias("now"), F.col("bin").alias("at"), "up", F.col("to_bin").alias("to"))
+        moved = moved.withColumnRenamed("to_bin", "at").join(moves, ["now", "at"])
+        moved = cut_lineage(moved.select("grp", "bin", "w", F.col("up").alias("now"), F.col("to").alias("to_bin")))
         groups = -(-groups // fan_in)
-    return packed.drop("grp")
+    return packed, moved.drop("now")
 
 
 def allot(sums: list[tuple[int, int]], targets: list[tuple[str, float]]) -> dict[int, str]:
@@ -200,23 +207,19 @@ def allot(sums: list[tuple[int, int]], targets: list[tuple[str, float]]) -> dict
 def assign_splits(tracklets: DataFrame, targets: DataFrame, bins: int = BINS, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """game_id, det_id, split: one row per distinct detection."""
     spark = tracklets.sparkSession
-    roots = tie_components(tracklets)
-    valid = F.when(F.col("tracklet") != -1, F.col("tracklet"))
-    records = tracklets.filter("det_id IS NOT NULL").groupBy("game_id", "det_id").agg(F.min(valid).alias("tracklet"))
-    a, b = records.alias("a"), roots.alias("b")
-    placed = cut_lineage(
-        a.join(b, F.col("a.game_id").eqNullSafe(F.col("b.game_id")) & (F.col("a.tracklet") == F.col("b.tracklet")), "left").select(
-            "a.game_id", "a.det_id", F.when(F.col("a.tracklet").isNull(), "record").otherwise("tracklet").alias("kind"),
-            F.coalesce("b.root", "a.tracklet", "a.det_id").alias("id"),
-        )
+    records = stored(detections(tracklets))
+    a, b = records.alias("a"), sized(tie_components(tracklets, records)).alias("b")
+    placed = a.join(b, F.col("a.game_id").eqNullSafe(F.col("b.game_id")) & (F.col("a.low") == F.col("b.tracklet")), "left").select(
+        "a.game_id", "a.det_id", F.when(F.col("a.low").isNull(), "record").otherwise("tracklet").alias("kind"), F.coalesce("b.root", "a.low", "a.det_id").alias("id")
     )
-    packed = equal_bins(placed.groupBy("game_id", "kind", "id").agg(F.count("*").alias("w")), bins, group_rows, fan_in)
-    sums = [(r["bin"], r["w"]) for r in packed.groupBy("bin").agg(F.sum("w").alias("w")).collect()]  # at most `bins` rows
+    packed, moved = equal_bins(placed.groupBy("game_id", "kind", "id").agg(F.count("*").alias("w")), bins, group_rows, fan_in)
+    sums = [(r["to_bin"], r["w"]) for r in moved.groupBy("to_bin").agg(F.sum("w").alias("w")).collect()]  # at most `bins` rows
     wanted = [(r["split"], r["share"]) for r in targets.filter("split IS NOT NULL").groupBy("split").agg(F.max("share").alias("share")).orderBy("split").collect()]
     if not wanted:
         raise ValueError("no split is wanted")
-    chosen = spark.createDataFrame(list(allot(sums, wanted).items()), "bin bigint, split string")
-    p, q = placed.alias("p"), packed.join(F.broadcast(chosen), "bin").alias("q")  # at most `bins` rows
+    chosen = spark.createDataFrame(list(allot(sums, wanted).items()), "to_bin bigint, split string")
+    of_bin = sized(cut_lineage(moved.join(F.broadcast(chosen), "to_bin").select("grp", "bin", "split")))  # at most `bins` rows in chosen
+    p, q = placed.alias("p"), packed.join(of_bin, ["grp", "bin"]).alias("q")
     same = F.col("p.game_id").eqNullSafe(F.col("q.game_id")) & (F.col("p.kind") == F.col("q.kind")) & (F.col("p.id") == F.col("q.id"))
     return p.join(q, same).select("p.game_id", "p.det_id", "q.split")
 
