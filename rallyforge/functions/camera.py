@@ -31,12 +31,12 @@ def undistort(px: Column, py: Column, lens: Lens) -> tuple[Column, Column]:
     return lens.cx + vx / scale, lens.cy + vy / scale
 
 
-def distort(ux: Column, uy: Column, lens: Lens, rounds: int = 30) -> tuple[Column, Column]:
-    """Inverse of undistort. The direction from the centre stays; its length solves p = u (1 + k p^2) by iteration."""
+def distort(ux: Column, uy: Column, lens: Lens) -> tuple[Column, Column]:
+    """Inverse of undistort. The direction from the centre stays; its length p solves p = u (1 + k p^2), the smaller root of a
+    quadratic. NULL where there is none (k > 0, far out)."""
     vx, vy = ux - lens.cx, uy - lens.cy
-    far = F.hypot(vx, vy) / lens.r0
-    length = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), far, lambda p, _: far * (1 + lens.k * p * p))
-    ratio = F.when(far > 0, length / far).when(far == 0, F.lit(1.0))
+    inside = 1 - 4 * lens.k * ((vx * vx + vy * vy) / (lens.r0 * lens.r0))
+    ratio = 2 / (1 + F.sqrt(F.when(inside >= 0, inside)))
     return lens.cx + vx * ratio, lens.cy + vy * ratio
 
 

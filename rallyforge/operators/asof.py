@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from rallyforge.operators.signals import CLIP
 
 
+def with_last(frames: DataFrame, marks: DataFrame, at: str, strictly: bool = False) -> DataFrame:
+    """Frames (with t) with the columns of the last mark of their clip at or before them (strictly: before them); frames
+    without one are left out. Union and one window over the clip; no pair of a frame and a mark is ever formed."""
+    columns = [c for c in marks.columns if c not in CLIP]
+    mark = marks.select(*CLIP, F.col(at).cast("double").alias("t"), F.lit(1 if strictly else 0).alias("__k"), F.struct(*columns).alias("__m"))
+    rows = frames.filter("t IS NOT NULL").withColumn("__k", F.lit(0 if strictly else 1)).withColumn("__m", F.lit(None).cast(mark.schema["__m"].dataType))
+    w = Window.partitionBy(*CLIP).orderBy("t", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(mark, allowMissingColumns=True).withColumn("__last", F.last("__m", ignorenulls=True).over(w))
+    kept = both.filter(F.col("__m").isNull() & F.col("__last").isNotNull())
+    return kept.select(*(c for c in frames.columns if c not in columns), *(F.col(f"__last.{c}").alias(c) for c in columns))
+
+
 def score_at(frames: DataFrame, rallies: DataFrame) -> DataFrame:
     """Adds score_p1, score_p2: those of the last rally that ended at or before the frame, else 0. Union and one window over
     the clip; no pair of a frame and a rally is ever formed."""

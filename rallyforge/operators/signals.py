@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from rallyforge.operators.islands import with_runs
 
 CLIP = ["game_id", "clip"]
+#: Length of a window in the numbering of rows that activity uses.
+SPAN = 1_000_000_000
 
 
 def by_frame():
@@ -37,11 +39,13 @@ def activity(wide: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds activity: the centred mean of v1 + v2 (missing: 0) over about a second of rows, and fps_eff.
 
     The number of rows, w = max(3, round(fps_eff)), differs from clip to clip, which a ROWS frame cannot express; rows
-    are numbered in units of w / 10,000 instead, so a RANGE frame of one width holds w rows in every clip."""
-    w = F.greatest(F.lit(3), F.rint("fps_eff").cast("int"))
+    are numbered in units of w / SPAN instead, so a RANGE frame of one width holds w rows in every clip (up to a hundred
+    million rows a second; a rate beyond counts as that)."""
+    w = F.greatest(F.lit(3), F.least(F.rint("fps_eff"), F.lit(1e8)).cast("bigint"))
     joined = wide.join(rates, CLIP)
-    numbered = joined.withColumn("at", F.round(F.row_number().over(by_frame()) * 10_000 / w).cast("bigint"))
-    frame = Window.partitionBy(*CLIP).orderBy("at").rangeBetween(-5_002, 4_995)  # half of w before, the rest after; w up to 1,000
+    # half of w before, the rest after; numbers are off by at most one, neighbours lie SPAN / w >= 10 apart
+    numbered = joined.withColumn("at", F.round(F.row_number().over(by_frame()).cast("double") * SPAN / w).cast("bigint"))
+    frame = Window.partitionBy(*CLIP).orderBy("at").rangeBetween(-(SPAN // 2 + 2), SPAN // 2 - 3)
     pace = F.coalesce("v1", F.lit(0.0)) + F.coalesce("v2", F.lit(0.0))
     return numbered.withColumn("pace", pace).withColumn("activity", F.avg("pace").over(frame)).drop("at", "pace")
 

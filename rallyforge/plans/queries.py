@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
 from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
-from rallyforge.session import cut_lineage, lookup, own_folder
+from rallyforge.session import cut_lineage, lookup, own_folder, stored
 from rallyforge.sources import files
 from rallyforge.sources.tables import clean_positions, clean_rallies, game_strides, table
 from rallyforge.streaming import live
 
 CLIP, WHO = signals.CLIP, metrics.WHO
 #: A calibration to project with (no table ships one).
-LENS = camera.Lens(-0.25, 288.0, 320.0, 430.0)
-CALIBRATION = camera.Calibration(((0.02, 0.0, -2.0), (0.0, 0.03, -5.0), (0.0, 0.001, 1.0)), LENS)
+LENS = camera.Lens(-0.18, 310.0, 236.0, 395.0)
+CALIBRATION = camera.Calibration(((0.018, 0.0, -1.5), (0.0, 0.027, -4.2), (0.0, 0.0012, 1.0)), LENS)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -101,11 +101,13 @@ def lens_undistort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lens_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Largest error, by player, of distorting the undistorted point (within the lens's reach)."""
+    """Points, their mean distance from where the lens shows them, and the largest error of distorting the undistorted point,
+    by player (within the lens's reach)."""
     near = _pos(spark, d).filter(F.hypot(F.col("fx") - LENS.cx, F.col("fy") - LENS.cy) < 300)
-    px, py = camera.distort(*camera.undistort(F.col("fx"), F.col("fy"), LENS), LENS)
-    error = F.hypot(px - F.col("fx"), py - F.col("fy"))
-    return near.groupBy("player").agg(F.count("*").alias("n"), (F.max(error) < 1e-3).alias("exact"))
+    ux, uy = camera.undistort(F.col("fx"), F.col("fy"), LENS)
+    px, py = camera.distort(ux, uy, LENS)
+    error, shift = F.hypot(px - F.col("fx"), py - F.col("fy")), F.hypot(ux - F.col("fx"), uy - F.col("fy"))
+    return near.groupBy("player").agg(F.count("*").alias("n"), F.round(F.avg(shift), 5).alias("mean_shift"), F.round(F.max(error), 6).alias("largest_error"))
 
 
 def homography_project(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +116,7 @@ def homography_project(spark: SparkSession, d: str) -> DataFrame:
 
 
 def court_to_pixels(spark: SparkSession, d: str) -> DataFrame:
-    x, y = camera.to_pixels(camera.Calibration(CALIBRATION.h), F.col("x"), F.col("y"))
+    x, y = camera.to_pixels(CALIBRATION, F.col("x"), F.col("y"))
     return _pos(spark, d).select(*WHO, "frame", F.round(x, 4).alias("px"), F.round(y, 4).alias("py"))
 
 
@@ -138,7 +140,7 @@ def sample_rate(spark: SparkSession, d: str) -> DataFrame:
 def _active(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Frames with their activity, stored since several steps read them, and the thresholds of each clip."""
     pos = _pos(spark, d)
-    active = cut_lineage(signals.activity(signals.side_by_side(pos), signals.sample_rate(pos)))
+    active = stored(signals.activity(signals.side_by_side(pos), signals.sample_rate(pos)))
     return active, cut_lineage(signals.pace_parameters(active, pos))
 
 

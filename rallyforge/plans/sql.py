@@ -99,6 +99,11 @@ clusters AS (
   SELECT s.game_id, s.clip, s.t0, s.t1, n.server, n.box, coalesce(n.w < round(1.5 * n.second, 6), FALSE) AS ambiguous
   FROM spans s JOIN named n ON n.game_id = s.game_id AND n.clip = s.clip AND n.cluster = s.cluster AND n.r = 1)"""
 
+#: Through the lens and back: by the model itself, and by solving it for the distance from the centre.
+_UNBENT = """unbent AS (SELECT *, 310 + (fx - 310) / s AS ux, 236 + (fy - 236) / s AS uy
+  FROM (SELECT *, 1 - 0.18 * (((fx - 310) ** 2 + (fy - 236) ** 2) / 156025.0) AS s FROM pos))"""
+_BENT = """bent AS (SELECT *, 310 + ({ux} - 310) * f AS bent_x, 236 + ({uy} - 236) * f AS bent_y
+  FROM (SELECT *, CASE WHEN u > 0 THEN (sqrt(1 + 0.72 * u * u) - 1) / (0.36 * u * u) ELSE 1 END AS f FROM (SELECT *, sqrt(({ux} - 310) ** 2 + ({uy} - 236) ** 2) / 395.0 AS u FROM {source})))"""
 _ZROW = "CASE WHEN y < 3.0 THEN 0 WHEN y < 6.24 THEN 1 WHEN y IS NOT NULL THEN 2 END"
 _DIST = "sqrt((x - 3.2) * (x - 3.2) + (y - 5.44) * (y - 5.44))"
 _ISLAND = "row_number() OVER (PARTITION BY game_id, clip, player ORDER BY frame) - row_number() OVER (PARTITION BY game_id, clip, player, {s} ORDER BY frame)"
@@ -131,14 +136,14 @@ gaps AS (SELECT *, lead(k) OVER (PARTITION BY game_id, clip, player ORDER BY k)
 ank AS (SELECT *, CASE WHEN l AND r THEN fx + 0.5 WHEN l THEN fx - 5 WHEN r THEN fx + 6 ELSE fx + 1 END AS ax, CASE WHEN l AND r THEN fy - 8.5 WHEN l THEN fy - 8 WHEN r THEN fy - 9 ELSE fy END AS ay FROM det)""",
         select="""SELECT game_id, clip, player, frame, round(ax, 4) AS fx, round(CASE WHEN fy >= 427 THEN ay + (ay - 385) * 0.08 / 0.52 ELSE fy END, 4) AS fy,
   l OR r AS ankle_vis, fy >= 427 AS feet_cut FROM ank"""),
-    "lens_undistort": q(POS, "u AS (SELECT *, 1 - 0.25 * (((fx - 288) * (fx - 288) + (fy - 320) * (fy - 320)) / (430.0 * 430.0)) AS s FROM pos)",
-        select="SELECT game_id, clip, player, frame, round(288 + (fx - 288) / s, 4) AS ux, round(320 + (fy - 320) / s, 4) AS uy FROM u"),
-    "lens_round_trip": q(POS, select="SELECT player, count(*) AS n, TRUE AS exact FROM pos WHERE sqrt((fx - 288) ** 2 + (fy - 320) ** 2) < 300 GROUP BY player"),
-    "homography_project": q(POS, """u AS (SELECT *, 1 - 0.25 * (((fx - 288) * (fx - 288) + (fy - 320) * (fy - 320)) / (430.0 * 430.0)) AS s FROM pos),
-v AS (SELECT *, 288 + (fx - 288) / s AS ux, 320 + (fy - 320) / s AS uy FROM u)""",
-        select="SELECT game_id, clip, player, frame, round((0.02 * ux - 2) / (0.001 * uy + 1), 4) AS cx, round((0.03 * uy - 5) / (0.001 * uy + 1), 4) AS cy FROM v"),
-    "court_to_pixels": q(POS, "v AS (SELECT *, (y + 5) / (0.03 - 0.001 * y) AS py FROM pos)",
-        select="SELECT game_id, clip, player, frame, round((x * (0.001 * py + 1) + 2) / 0.02, 4) AS px, CASE WHEN x IS NOT NULL THEN round(py, 4) END AS py FROM v"),
+    "lens_undistort": q(POS, _UNBENT, select="SELECT game_id, clip, player, frame, round(ux, 4) AS ux, round(uy, 4) AS uy FROM unbent"),
+    "lens_round_trip": q(POS, _UNBENT, "near AS (SELECT * FROM unbent WHERE sqrt((fx - 310) ** 2 + (fy - 236) ** 2) < 300)", _BENT.format(source="near", ux="ux", uy="uy"),
+        select="""SELECT player, count(*) AS n, round(avg(sqrt((ux - fx) ** 2 + (uy - fy) ** 2)), 5) AS mean_shift, round(max(sqrt((bent_x - fx) ** 2 + (bent_y - fy) ** 2)), 6) AS largest_error
+  FROM bent GROUP BY player"""),
+    "homography_project": q(POS, _UNBENT,
+        select="SELECT game_id, clip, player, frame, round((0.018 * ux - 1.5) / (0.0012 * uy + 1), 4) AS cx, round((0.027 * uy - 4.2) / (0.0012 * uy + 1), 4) AS cy FROM unbent"),
+    "court_to_pixels": q(POS, "v AS (SELECT *, (y + 4.2) / (0.027 - 0.0012 * y) AS fy0 FROM pos), w AS (SELECT *, (x * (0.0012 * fy0 + 1) + 1.5) / 0.018 AS fx0 FROM v)", _BENT.format(source="w", ux="fx0", uy="fy0"),
+        select="SELECT game_id, clip, player, frame, round(bent_x, 4) AS px, CASE WHEN x IS NOT NULL THEN round(bent_y, 4) END AS py FROM bent"),
     "court_lines": """SELECT name, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM (VALUES ('front wall', 0.0, 0.0, 6.4, 0.0), ('back wall', 0.0, 9.75, 6.4, 9.75), ('left wall', 0.0, 0.0, 0.0, 9.75), ('right wall', 6.4, 0.0, 6.4, 9.75),
   ('short line', 0.0, 5.44, 6.4, 5.44), ('half line', 3.2, 5.44, 3.2, 9.75), ('left box', 0.0, 5.44, 1.6, 5.44), ('left box', 0.0, 7.04, 1.6, 7.04), ('left box', 0.0, 5.44, 0.0, 7.04),
   ('left box', 1.6, 5.44, 1.6, 7.04), ('right box', 4.8, 5.44, 6.4, 5.44), ('right box', 4.8, 7.04, 6.4, 7.04), ('right box', 4.8, 5.44, 4.8, 7.04), ('right box', 6.4, 5.44, 6.4, 7.04)) v(name, x0, y0, x1, y1)""",

@@ -36,9 +36,9 @@ def test_zones_edges_and_boxes(spark):
 
 
 def test_camera_round_trips(spark):
-    lens = camera.Lens(-0.25, 288.0, 320.0, 430.0)
-    cal = camera.Calibration(((0.02, 0.0, -2.0), (0.0, 0.03, -5.0), (0.0, 0.001, 1.0)), camera.Lens(-0.2, 288.0, 320.0, 430.0))
-    df = spark.createDataFrame([(100.0, 200.0), (300.0, 500.0), (288.0, 320.0), (450.0, 250.0)], "x double, y double")
+    lens = camera.Lens(-0.18, 310.0, 236.0, 395.0)
+    cal = camera.Calibration(((0.017, 0.001, -1.4), (-0.0005, 0.026, -3.1), (0.0001, 0.0014, 1.0)), camera.Lens(-0.12, 310.0, 236.0, 395.0))
+    df = spark.createDataFrame([(90.0, 150.0), (420.0, 380.0), (310.0, 236.0), (512.0, 77.0)], "x double, y double")
     for a, b in ((lambda x, y: camera.undistort(x, y, lens), lambda x, y: camera.distort(x, y, lens)), (lambda x, y: camera.to_court(cal, x, y), lambda x, y: camera.to_pixels(cal, x, y))):
         u = df.select("x", "y", *(c.alias(n) for c, n in zip(a(F.col("x"), F.col("y")), ("u", "v"))))
         back = u.select("x", "y", *(c.alias(n) for c, n in zip(b(F.col("u"), F.col("v")), ("p", "q")))).collect()
@@ -47,9 +47,9 @@ def test_camera_round_trips(spark):
 
 def test_calibration_numerics():
     x = np.arange(50.0)
-    y = 0.5 * x + 10 + np.where(np.arange(50) % 7 == 0, 40, 0)
+    y = 23 - 0.8 * x + np.where(np.arange(50) % 6 == 2, -31, 0)
     a, b, share = vision.robust_line(x, y)
-    assert abs(a - 0.5) < 0.01 and abs(b - 10) < 0.5 and share > 0.8
+    assert abs(a + 0.8) < 0.01 and abs(b - 23) < 0.5 and 0.8 < share < 0.9
     assert math.isnan(vision.robust_line(np.zeros(3), np.arange(3.0))[0])
     assert vision.edge_runs(np.array([1, 2, 3, 30, 35, 41, 60]), 6, 10) == [(30, 41)]
     assert vision.intersections([(1.0, 0.0)], [(-1.0, 2.0), (1.0, 5.0)]) == [(0, 0, 1.0, 1.0)]
@@ -58,12 +58,12 @@ def test_calibration_numerics():
     h = np.array([[90.0, 8, 40], [3, 70, 60], [0.01, 0.02, 1]])
     p = np.c_[court_xy, np.ones(12)] @ h.T
     u = p[:, :2] / p[:, 2:]
-    c, r0, k = np.array([288.0, 320.0]), 430.0, -0.2
+    c, r0, k = np.array([305.0, 241.0]), 410.0, -0.16
     v = u - c
     d = v.copy()
     for _ in range(200):
         d = v * (1 + k * (d**2).sum(1) / r0**2)[:, None]
-    fit, _, rms = vision.fit_lens(c + d, court_xy, (288.0, 320.0), r0)
+    fit, _, rms = vision.fit_lens(c + d, court_xy, tuple(c), r0)
     assert abs(fit - k) < 1e-3 and rms < 1e-3
 
 
@@ -144,15 +144,44 @@ def test_serve_clusters(spark):
     assert [(r["server"], r["box"], r["t0"], r["t1"], r["ambiguous"]) for r in got] == [("p1", "left", 10.0, 12.5, False), ("p2", "right", 30.0, 30.6, False)]
 
 
+LIMITS = {"trough_lo": 0.8, "lull_act": 1.6, "act_play": 2.0, "min_play_act": 3.0, "relax_slow": 1.0}
+
+
 def test_cutting_at_pauses():
     t = np.arange(1, 300) / 10
-    act = np.where(t < 8, 4.0, np.where(t < 12, 0.1, 5.0))
-    rows = pd.DataFrame({"game_id": "g", "clip": 0, "frame": np.arange(len(t)), "t": t, "activity": act, "still": False, "ts": 0.0, "tn": 31.0, "server": "p1", "box": "left", "ambiguous": True})
-    for k, v in {"trough_lo": 0.8, "lull_act": 1.6, "act_play": 2.0, "min_play_act": 3.0, "relax_slow": 1.0}.items():
-        rows[k] = v
-    got = rallies.cut_cluster(rows.sample(frac=1, random_state=0))
-    assert [(round(a, 1), round(b, 1), s, n) for a, b, s, n in zip(got.t_start, got.t_end, got.server, got.note)] == [(0.0, 8.0, "p1", "serve ambiguous"), (11.9, 30.7, None, "serve not detected")]
-    assert len(rallies.cut_cluster(rows.assign(activity=0.5))) == 0
+    act, still = np.where(t < 8, 4.0, np.where(t < 12, 0.1, 5.0)), np.zeros(len(t), bool)
+    got = rallies.cuts(t, act, still, 0.0, 31.0, LIMITS)
+    assert [(round(a, 1), round(b, 1)) for a, b in got] == [(0.0, 8.0), (11.9, 30.7)]
+    assert rallies.cuts(t, np.full(len(t), 0.5), still, 0.0, 31.0, LIMITS) == rallies.cuts(t[:0], act[:0], still[:0], 0.0, 31.0, LIMITS) == []
+
+
+def test_pauses_of_each_kind_and_what_follows_them():
+    t = np.arange(1, 600) / 10
+    between = lambda a, b: (t > a) & (t < b)
+    act = np.full(len(t), 4.0)
+    act[between(10, 15)] = 1.2  # a lull of 5 s
+    act[between(20, 21)] = 0.1  # too short for a trough
+    act[between(1, 3)] = 0.1  # of which too little is left 1.5 s after the start
+    still = between(30, 33)
+    act[t > 45] = 2.5  # play, but not strong enough to begin with
+    act[between(43, 45.05)] = 0.1
+    got = rallies.cuts(t, act, still, 0.5, 70.0, LIMITS)
+    assert [(round(a, 1), round(b, 1)) for a, b in got] == [(0.5, 10.1), (14.9, 30.1), (32.9, 43.1)]
+
+
+def test_segments_of_many_clusters(spark):
+    t = np.arange(1, 300) / 10
+    rows = [(g, 0, i, float(v), 4.0 if v < 8 else 0.1 if v < 12 else 5.0) for g in "ab" for i, v in enumerate(t)]
+    active = spark.createDataFrame(rows, "game_id string, clip int, frame bigint, t double, activity double").withColumns({f"v{p}": F.lit(3.0) for p in "12"})
+    clusters = spark.createDataFrame([("a", 0, 0.0, 0.05, "p1", "left", True), ("b", 0, 0.0, 2.0, "p2", "right", False), ("b", 0, 20.0, 21.0, "p1", "left", False)], "game_id string, clip int, t0 double, t1 double, server string, box string, ambiguous boolean")
+    limits = spark.createDataFrame([(g, 0, *LIMITS.values()) for g in "ab"], "game_id string, clip int, " + ", ".join(f"{k} double" for k in LIMITS))
+    ends = spark.createDataFrame([("a", 0, 31.0), ("b", 0, 29.9)], "game_id string, clip int, clip_end double")
+    got = [(r["game_id"], round(r["t_start"], 2), round(r["t_end"], 2), r["server"], r["box"], r["note"]) for r in rallies.segment(active, clusters, limits, ends).orderBy("game_id", "t_start").collect()]
+    assert got == [
+        ("a", 0.05, 8.0, "p1", "left", "serve ambiguous"), ("a", 11.9, 30.7, None, None, "serve not detected"),
+        ("b", 2.0, 8.0, "p2", "right", ""), ("b", 11.9, 19.7, None, None, "serve not detected"), ("b", 21.0, 29.6, "p1", "left", ""),
+    ]
+    assert rallies.segment(active.limit(0), clusters, limits, ends).count() == 0
 
 
 # -- tracks
@@ -210,9 +239,17 @@ def test_linking_gaps_and_crossings(spark):
     df = spark.createDataFrame([("g", *r) for r in rows] + [("h", 0, None, 1.0, 0.5, 7)], "game_id string, frame bigint, x double, y double, conf double, det_id bigint")
     got = identity.build_tracklets(df, ["game_id"]).toPandas()
     assert got.groupby(got.det_id % 2).tracklet.nunique().tolist() == [1, 1] and set(got.game_id) == {"g"}
-    near = pd.DataFrame({"frame": [0, 0, 3, 3, 6, 6], "x": [1.0, 3.0, 1.9, 2.1, 1.0, 3.0], "y": 1.0, "conf": 0.9, "det_id": range(6)})
-    cut = identity.link_frames(near, gate=2.0)
-    assert len(set(cut.tracklet[cut.frame == 6]) & set(cut.tracklet[cut.frame == 3])) == 0
+    frame = np.array([0, 0, 3, 3, 6, 6])
+    cut = identity.link_clip(frame, np.array([1.0, 3.0, 1.9, 2.1, 1.0, 3.0]), np.ones(6), 3, gate=2.0)
+    assert set(cut[:2]) == set(cut[2:4]) and not set(cut[4:]) & set(cut[:4])
+    assert identity.link_clip(frame[:0], np.zeros(0), np.zeros(0), 3).tolist() == []
+
+
+def test_matching_prefers_more_pairs_then_less_way():
+    far = np.array([[0.1, 0.4], [0.2, 0.9]])
+    assert sorted(identity.matching(far, np.array([[True, True], [True, False]]))) == [(0, 1), (1, 0)]
+    assert sorted(identity.matching(far, np.ones((2, 2), bool))) == [(0, 1), (1, 0)]
+    assert identity.matching(far, np.zeros((2, 2), bool)) == [] and identity.matching(np.zeros((0, 2)), np.zeros((0, 2), bool)) == []
 
 
 def test_flips_keep_the_last_rows(spark):
