@@ -18,8 +18,11 @@ piece is encoded alone: it then has fewer tokens than ``n_tokens``, which counts
 
 Defined results: NULL and empty texts, and texts within a limit, give no piece for it. Pieces are numbered from 1. Every
 piece but the first starts ``overlap_tokens`` tokens before the end of the previous one, up to ``SLACK`` more where that
-is inside a character; an overlap of more than half the limit counts as half. A limit below ``LEAST`` tokens, or NULL,
-is none. Texts are never shortened: the pieces cover the whole text.
+is inside a character. Where those do not fit into the limit beside something new, it starts at the first place after that
+instead, so the overlap is a few tokens smaller; the column overlap has what it is. A NULL overlap is 0, one of the limit or
+more is the limit less one. Any limit from 1 is served: one that is smaller than a character's tokens cuts characters (cut
+'none'), and their bytes show as replacement characters in piece. A limit that is NULL or below 1 is none. Texts are never
+shortened: the pieces cover the whole text.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, MARK, NO_CUT = "PLSCWcmx"
 NAMES = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", CLAUSE: "clause", WORD: "word", CHARACTER: "character", MARK: "mark", NO_CUT: "none"}
 #: A character has at most 4 bytes, so a start moves back by 3 tokens at most, and by one more at an apostrophe.
-SLACK, LEAST, MOST_LIMITS = 4, 16, 100
+SLACK, MOST_LIMITS = 4, 100
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: First letters of what an apostrophe takes with it (s, t, re, ve, m, ll, d).
 CONTRACTED = np.array([ord(c) for c in "strvmld"], np.uint32)
@@ -104,13 +107,35 @@ def shapes_of(texts: list[str], token_bytes: list[np.ndarray]) -> list[tuple[str
     return made
 
 
-def taking(limit: int) -> str:
-    """Takes at most `limit` tokens of a shape: the rest if it fits, else up to the strongest boundary."""
+def taking(limit: int, reach: int) -> str:
+    """Takes at most `limit` tokens of a shape: the rest if it fits, else up to the strongest boundary; where there is no place
+    to cut at all, up to the next one within `reach` tokens, else `limit`."""
     half = max(1, limit // 2)
     upper = [f".{{{half - 1},{limit - 1}}}{c}" for c in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD)]
     lower = [f".{{0,{half - 1}}}{c}" for c in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD)]
     rest = [f".{{0,{limit - 1}}}{c}" for c in (CHARACTER, MARK)]
-    return "|".join([f".{{1,{limit}}}\\z", *upper, *lower, *rest, f".{{1,{limit}}}"])
+    beyond = [f"{NO_CUT}{{{limit},{reach - 1}}}[^{NO_CUT}]"] if reach > limit else []
+    return "|".join([f".{{1,{limit}}}\\z", *upper, *lower, *rest, *beyond, f".{{1,{limit}}}"])
+
+
+def running(sizes: Column) -> Column:
+    """Running sums of an array, in the time of n ** 1.5: by stretches of about the root of its length, each from the sum of
+    those before it. (An array grows by copying it, which is quadratic for a single stretch.)"""
+    none = F.array().cast("array<int>")
+
+    def from_(part: Column, base: Column) -> Column:
+        return F.aggregate(part, none, lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.get(acc, F.size(acc) - 1), base))))
+
+    def of(sizes: Column, span: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), ((F.size(sizes) - 1) / span).cast("int")), lambda g: F.slice(sizes, g * span + 1, span))
+
+        def summed(parts: Column) -> Column:
+            before = from_(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, n: a + n)), F.lit(0))
+            return _let(before, lambda sums: F.flatten(F.transform(parts, lambda p, g: from_(p, F.coalesce(F.get(sums, g - 1), F.lit(0))))))
+
+        return _let(stretches, summed)
+
+    return _let(sizes, lambda s: _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(s))).cast("int")), lambda span: of(s, span)))
 
 
 def shapes(documents: DataFrame, least: int, path: str = BYTE_BPE_50K, key: str = "doc_id") -> DataFrame:
@@ -142,7 +167,7 @@ def shapes(documents: DataFrame, least: int, path: str = BYTE_BPE_50K, key: str
 def cut(documents: DataFrame, limits: DataFrame, path: str = BYTE_BPE_50K, key: str = "doc_id") -> DataFrame:
     """key, limit_name, piece_no, n_tokens, overlap (tokens shared with the piece before), token_start, byte_start (in UTF-8), cut
     (the boundary at its end; 'end' for the last) and piece, for each text above each limit."""
-    wanted = limits.select("limit_name", "max_tokens", "overlap_tokens").filter(F.col("max_tokens") >= LEAST).distinct().limit(MOST_LIMITS + 1).collect()
+    wanted = limits.select("limit_name", "max_tokens", "overlap_tokens").filter(F.col("max_tokens") >= 1).distinct().limit(MOST_LIMITS + 1).collect()
     if len(wanted) > MOST_LIMITS:
         raise ValueError(f"more than {MOST_LIMITS} limits")
     least = min((r["max_tokens"] for r in wanted), default=2**31 - 1)
@@ -150,22 +175,21 @@ def cut(documents: DataFrame, limits: DataFrame, path: str = BYTE_BPE_50K, key:
     ways = []
     for r in wanted:
         most = r["max_tokens"]
-        overlap = max(0, min(r["overlap_tokens"] or 0, most // 2 - SLACK))
-        fresh = most - overlap - SLACK if overlap else most
-        pattern = f"\\A(?:{taking(most)})|{taking(fresh)}"
+        overlap = max(0, min(r["overlap_tokens"] or 0, most - 1))
+        fresh = max(1, most - overlap - SLACK) if overlap else most
+        pattern = f"\\A(?:{taking(most, most)})|{taking(fresh, most)}"
         matches = F.when(F.length("shape") > most, F.regexp_extract_all("shape", F.lit(pattern), F.lit(0)))
-        ways.append(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(overlap).alias("want"), matches.alias("matches")))
-    none = F.array().cast("array<struct<limit_name:string,want:int,matches:array<string>>>")
+        ways.append(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(overlap).alias("want"), F.lit(most).alias("most"), matches.alias("matches")))
+    none = F.array().cast("array<struct<limit_name:string,want:int,most:int,matches:array<string>>>")
     taken = described.select(key, "text", "shape", "ends", F.inline(F.array(*ways) if ways else none)).filter("matches IS NOT NULL")
     # Everything about the pieces is computed inside arrays; only finished pieces are made into rows, so no text is copied
     # for each of its pieces.
     sizes = F.transform("matches", lambda m: F.length(m))
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
     # Bytes are cut in the time of the piece, characters in that of the whole text: so text and shape are cut as bytes.
     each = lambda data, letters, upto: F.transform(
         upto, lambda stop, i: _let(F.coalesce(F.get(upto, i - 1), F.lit(0)), lambda before: _piece(data, letters, i, before, stop))
     )
-    made = _let(F.col("text"), lambda data: _let(F.col("shape").cast("binary"), lambda letters: _let(ends, lambda upto: each(data, letters, upto))))
+    made = _let(F.col("text"), lambda data: _let(F.col("shape").cast("binary"), lambda letters: _let(running(sizes), lambda upto: each(data, letters, upto))))
     return taken.select(key, "limit_name", made.alias("pieces")).select(key, "limit_name", F.inline("pieces"))
 
 
@@ -174,10 +198,14 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _start(letters: Column, back: Column) -> Column:
-    """Where a piece starts that should share the tokens from `back` on: before the tokens that no piece may start after."""
-    tail = F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string")
-    return F.when(back > 0, F.greatest(F.lit(0), back - F.length(F.regexp_extract(tail, f"({NO_CUT}*)\\z", 1)))).otherwise(F.lit(0))
+def _start(letters: Column, before: Column, stop: Column) -> Column:
+    """Where a piece starts that ends at `stop` and should share `want` tokens with the one that ends at `before`: in front of
+    the tokens that no piece may start after, or behind them if it would be longer than `most`."""
+    back, first = before - F.col("want"), stop - F.col("most")
+    none_before = F.length(F.regexp_extract(F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string"), f"({NO_CUT}*)\\z", 1))
+    none_after = F.length(F.regexp_extract(F.substring(letters, first, F.lit(8)).cast("string"), f"\\A({NO_CUT}*)", 1))
+    wished = F.when(back > 0, back - none_before).otherwise(F.lit(0))
+    return F.when(wished >= first, wished).otherwise(F.least(before, first + none_after))
 
 
 def _piece(data: Column, letters: Column, no: Column, before: Column, stop: Column) -> Column:
@@ -194,4 +222,4 @@ def _piece(data: Column, letters: Column, no: Column, before: Column, stop: Colu
             kind.alias("cut"), text.alias("piece"),
         )
 
-    return _let(_start(letters, before - F.col("want")), made)
+    return _let(_start(letters, before, stop), made)

@@ -50,7 +50,7 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
-    return mix.mix(mix.sized_records(table(spark, sf_dir, "documents"), targets), targets)
+    return mix.mix(mix.sized_records(table(spark, sf_dir, "documents"), targets, drawn_only=True), targets)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

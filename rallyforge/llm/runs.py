@@ -6,7 +6,8 @@ similar neighbours merge first, until no link meets the similarity and gap limit
 
 Scale: an entity may be of any length, so it is cut into chunks of ``CHUNK_FRAMES`` frames (frames are unique after
 the newest version of each key is chosen, which bounds a chunk). Runs that touch a chunk's end are few; a window over
-them alone joins those that go on in the next chunk. One shuffle of the needed columns, one of the boundary runs.
+them alone joins those that go on in the next chunk. One shuffle of the needed columns, one of the boundary runs; the runs
+are stored in between, so that Python runs once and complete runs are not shuffled at all.
 
 Defined results: rows without player or frame belong to no entity; of rows with equal key the newest counts; a
 missing or infinite speed or dist_t meets no limit, so such a row is a run of its own; a game without a stride takes
@@ -18,11 +19,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyforge.operators.grouped import Groups, map_sorted_groups, newest_of_key
-from rallyforge.session import lookup
+from rallyforge.session import lookup, stored
 from rallyforge.sources.tables import game_strides, of_sources
 
 CHUNK_FRAMES = 32_768
@@ -30,10 +32,12 @@ SOURCE = ["game_id", "clip", "player"]
 #: Limits of problem 1, in ten-thousandths and in strides.
 SPEED_LIMIT, DIST_LIMIT, GAP_STRIDES = 200, 200, 3
 UNIT = 10_000
+#: Up to here a number of ten-thousandths is a whole double.
+EXACT = 9e11
 
 RUN_SCHEMA = (
     "game_id string, clip int, player string, chunk bigint, stride int, frame_first bigint, frame_last bigint, n_rows bigint, "
-    "t_first double, t_last double, v_first bigint, d_first bigint, ok_first boolean, v_last bigint, d_last bigint, ok_last boolean, "
+    "t_first double, t_last double, v_first double, d_first double, v_last double, d_last double, "
     "at_start boolean, at_end boolean"
 )
 
@@ -58,22 +62,23 @@ def agglomerate(cost: np.ndarray, n: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ok = np.isfinite(v)
-    ok &= np.abs(np.where(ok, v, 0)) < 9e13
-    return np.rint(np.where(ok, v, 0) * UNIT).astype(np.int64), ok
+def apart(a, b, f=np):
+    """Distance in whole ten-thousandths; NaN if either is not finite. Numbers so large that their ten-thousandths are no whole
+    doubles any more are subtracted first. f: numpy, or functions of Columns."""
+    if f is np:
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.where(np.maximum(np.abs(a), np.abs(b)) < EXACT, np.abs(np.rint(a * UNIT) - np.rint(b * UNIT)), np.rint(np.abs(a - b) * UNIT))
+    return F.when(F.greatest(F.abs(a), F.abs(b)) < EXACT, F.abs(F.rint(a * UNIT) - F.rint(b * UNIT))).otherwise(F.rint(F.abs(a - b) * UNIT))
 
 
 def _runs(speed_limit: int, dist_limit: int, gap_strides: int):
     def fn(groups: Groups) -> dict:
         g = newest_of_key(groups)
-        v, v_ok = _scaled(g.column("speed"))
-        d, d_ok = _scaled(g.column("dist_t"))
-        ok, frame, t = v_ok & d_ok, g.column("frame"), g.column("t")
-        stride = g.column("stride")
-        a, b = np.abs(np.diff(v)), np.abs(np.diff(d))
-        fits = ok[1:] & ok[:-1] & (a <= speed_limit) & (b <= dist_limit) & (np.diff(frame) <= gap_strides * stride[1:])
-        cost = np.where(fits, a + b, -1)
+        v, d = (np.where(np.isfinite(c), c, np.nan) for c in (g.column("speed").astype(float), g.column("dist_t").astype(float)))
+        frame, t, stride = g.column("frame"), g.column("t").astype(float), g.column("stride")
+        a, b = apart(v[1:], v[:-1]), apart(d[1:], d[:-1])
+        fits = (a <= speed_limit) & (b <= dist_limit) & (np.diff(frame) <= gap_strides * stride[1:])
+        cost = np.where(fits, a + b, -1.0)
         starts = [s + agglomerate(cost[s : e - 1], e - s) for s, e in zip(g.start[:-1], g.start[1:]) if e > s]
         lo = np.concatenate(starts)
         hi = np.append(lo[1:], len(frame)) - 1
@@ -83,10 +88,11 @@ def _runs(speed_limit: int, dist_limit: int, gap_strides: int):
         ends[g.start[1:][some] - 1] = True
         known = np.where(np.isfinite(t), t, np.nan)
         down, up = np.fmin.reduceat(known, lo), np.fmax.reduceat(known, lo)
+        inner = ~(begins[lo] | ends[hi])  # complete: nothing of its ends is needed any more
+        at_end = lambda v: pa.array(v, mask=inner)
         return g.take(["game_id", "clip", "player", "chunk", "stride"], lo) | {
             "frame_first": frame[lo], "frame_last": frame[hi], "n_rows": hi - lo + 1, "t_first": down, "t_last": up,
-            "v_first": v[lo], "d_first": d[lo], "ok_first": ok[lo], "v_last": v[hi], "d_last": d[hi], "ok_last": ok[hi],
-            "at_start": begins[lo], "at_end": ends[hi],
+            "v_first": at_end(v[lo]), "d_first": at_end(d[lo]), "v_last": at_end(v[hi]), "d_last": at_end(d[hi]), "at_start": begins[lo], "at_end": ends[hi],
         }
 
     return fn
@@ -102,25 +108,21 @@ def collapse_runs(
     runs = map_sorted_groups(
         rows, [*SOURCE, "chunk"], ["frame", F.col("ingested_at").desc_nulls_last()], _runs(speed_limit, dist_limit, gap_strides), RUN_SCHEMA
     )
-    # A run inside its chunk is complete; the others, at most two a chunk, are joined over the chunks by a window of
-    # their own. The complete ones pass through the same plan, a chunk at a time, so that Python runs once.
     edge = F.col("at_start") | F.col("at_end")
-    runs = runs.filter(edge | (F.col("n_rows") >= least_rows)).withColumn("part", F.when(edge, -1).otherwise(F.col("chunk")))
-    w = Window.partitionBy(*SOURCE, "part").orderBy("frame_first")
-    goes_on = (
-        F.col("at_start") & F.lag("at_end").over(w) & F.col("ok_first") & F.lag("ok_last").over(w)
-        & (F.abs(F.col("v_first") - F.lag("v_last").over(w)) <= speed_limit)
-        & (F.abs(F.col("d_first") - F.lag("d_last").over(w)) <= dist_limit)
-        & (F.col("frame_first") - F.lag("frame_last").over(w) <= gap_strides * F.col("stride"))
-    )
+    runs = stored(runs.filter(edge | (F.col("n_rows") >= least_rows)))
     known = lambda c: F.when(~F.isnan(c), F.col(c))
-    return (
-        runs.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-        .groupBy(*SOURCE, "part", "run")
+    w = Window.partitionBy(*SOURCE).orderBy("frame_first")
+    near = lambda c, limit: apart(F.col(f"{c}_first"), F.lag(f"{c}_last").over(w), F) <= limit
+    both = ~F.isnan("v_first") & ~F.isnan("d_first") & ~F.isnan(F.lag("v_last").over(w)) & ~F.isnan(F.lag("d_last").over(w))
+    follows = F.col("at_start") & F.lag("at_end").over(w) & (F.col("frame_first") - F.lag("frame_last").over(w) <= gap_strides * F.col("stride"))
+    goes_on = follows & both & near("v", speed_limit) & near("d", dist_limit)
+    joined = (
+        runs.filter(edge).withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(w)).groupBy(*SOURCE, "run")
         .agg(
             F.min("frame_first").alias("frame_first"), F.max("frame_last").alias("frame_last"), F.sum("n_rows").alias("n_rows"),
-            F.round(F.max(known("t_last")) - F.min(known("t_first")), 6).alias("duration"),
+            F.min(known("t_first")).alias("t_first"), F.max(known("t_last")).alias("t_last"),
         )
-        .filter(F.col("n_rows") >= least_rows)
-        .select(*SOURCE, "frame_first", "frame_last", "n_rows", "duration")
+        .filter(F.col("n_rows") >= least_rows).drop("run")
     )
+    both_kinds = runs.filter(~edge).select(*joined.columns).unionByName(joined)
+    return both_kinds.select(*SOURCE, "frame_first", "frame_last", "n_rows", F.round(known("t_last") - known("t_first"), 6).alias("duration"))

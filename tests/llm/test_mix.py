@@ -59,3 +59,23 @@ def test_pfair_lags_stay_below_one_block():
             assert len(at) == rate
             for j, t in enumerate(at):
                 assert j * period // rate <= t < -(-(j + 1) * period // rate)
+
+
+def test_weights_of_any_size(spark):
+    assert mix.whole_rates({"a": 0.5, "b": 0.3, "c": 0.2}) == {"a": 5, "b": 3, "c": 2}
+    assert mix.whole_rates({"a": 1000.5, "b": 1.0}) == {"a": 2001, "b": 2}
+    assert mix.whole_rates({"a": 1e-9, "b": 3e-9}) == {"a": 1, "b": 3}
+    for weights in ({"a": 0.9999996, "b": 4e-7}, {"a": 1000.123457, "b": 1.0}, {f"s{i}": 1e-12 for i in range(500)} | {"big": 1e300}, {"a": 1 / 3, "b": 1 / 7, "c": 1 / 11}):
+        rates = mix.whole_rates(weights)
+        assert sum(rates.values()) <= mix.MOST_SLOTS and min(rates.values()) >= 1
+        if len(weights) < 10:
+            assert all(abs(rates[s] / sum(rates.values()) - w / sum(weights.values())) <= 1 / mix.MOST_SLOTS for s, w in weights.items())
+    out, share = mixed(spark, [("a", "w " * 10)] * 40 + [("b", "w")] * 3, [("a", 0.9999996, 1), ("b", 4e-7, 50), ("c", float("inf"), 1)])
+    assert share["a"]["mix_tokens"] > 0 and share["b"]["records"] == 3 and share["c"]["target_share"] == 0
+
+
+def test_only_what_can_be_drawn_is_sized(spark):
+    t = spark.createDataFrame([("a", 1.0, 1), ("b", 0.0, 1), ("c", 1.0, 0)], TARGETS)
+    d = docs(spark, [("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")])
+    assert [r["source"] for r in mix.sized_records(d, t, drawn_only=True).collect()] == ["a"]
+    assert mix.sized_records(d, t).count() == 3

@@ -60,3 +60,9 @@ def test_most_similar_neighbours_merge_first():
 
     assert runs.agglomerate(np.array([5, -1, 0, 3]), 5).tolist() == [0, 2]
     assert runs.agglomerate(np.array([], np.int64), 1).tolist() == [0]
+
+
+def test_very_large_values(spark, positions_of, games_of):
+    rows = [dict(frame=i, speed=v) for i, v in enumerate([1e14, 1e14, 1e14 + 0.5, 1e200, 1e200, 2e200, -1e308, 1e308])]
+    for chunk in (3, 1000):
+        assert [x[1:4] for x in found(positions_of, games_of, rows, chunk_frames=chunk)] == [(0, 1, 2), (2, 2, 1), (3, 4, 2), (5, 5, 1), (6, 6, 1), (7, 7, 1)]
