@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyforge.operators.signals import CLIP
+from rallyforge.session import lookup
 
 
 def with_last(frames: DataFrame, marks: DataFrame, at: str, strictly: bool = False) -> DataFrame:
@@ -46,22 +49,35 @@ def near_rallies(frames: DataFrame, rallies: DataFrame, pad_s: float = 1.0) -> D
     return f.join(r, on & (F.col("f.t") >= F.col("r.t_start") - pad_s) & (F.col("f.t") <= F.col("r.t_end") + pad_s), "left_semi")
 
 
-def top_rallies(rallies: DataFrame, by: str, k: int = 3, keys: list[str] = CLIP) -> DataFrame:
-    """The k rallies of each clip with the largest value (ties: the earlier), with their rank."""
-    w = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last(), "rally")
-    return rallies.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & F.col(by).isNotNull())
+#: Reasons to look at a rally, in their order; for a game with a user from that player's side, else from both.
+LONGEST, LOST_RUNNING, WON_AT_T, MADE_TO_RUN, LET = "longest rally", "lost after much running", "won while holding the T", "opponent made to run", "let"
 
 
-def review(rallies: DataFrame) -> DataFrame:
-    """Rallies worth a look, each once with the first of its reasons: lost with much running, won with the T held, the
-    longest one, lets."""
-    lost, won = rallies.filter("winner = 'p2'"), rallies.filter("winner = 'p1'")
-    lists = [
-        (1, "much running in a lost rally", top_rallies(lost, "dist_p1", 3)), (2, "T held in a won rally", top_rallies(won, "tshare_p1", 2)),
-        (3, "longest rally", top_rallies(rallies, "duration", 1)), (4, "let", rallies.filter(F.col("note").contains("let"))),
+def review(rallies: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Rallies worth a look, each once with the first of its reasons: game_id, clip, rally, seq, reason, player (whom it concerns;
+    NULL for the longest rally and lets). users: game_id, user_player. With a user: the longest rally, the two lost with most
+    running, the two won with most of the T, the one won in which the opponent ran most, lets. Without: the longest, for each
+    player the two lost and the one won, lets. Missing ways and shares come last, ties go to the earlier rally."""
+    named = rallies if users is None else lookup(rallies, users.groupBy("game_id").agg(F.min("user_player").alias("__user")), ["game_id"])
+    user = F.lit(None).cast("string") if users is None else F.when(F.col("__user").isin("p1", "p2"), F.col("__user"))
+    rows = named.withColumn("__user", user).select(*CLIP, "rally", "duration", "winner", "note", "dist_p1", "dist_p2", "tshare_p1", "tshare_p2", "__user")
+    sides = rows.withColumn("player", F.explode(F.when(F.col("__user").isNull(), F.array(F.lit("p1"), F.lit("p2"))).otherwise(F.array("__user"))))
+    first = F.col("player") == "p1"
+    of = lambda c, other=False: F.when(first != F.lit(other), F.col(f"{c}_p1")).otherwise(F.col(f"{c}_p2"))
+    won = F.col("winner") == F.col("player")
+    lists = [  # number in the order of reasons, which rallies, by what, how many with and without a user
+        (1, LOST_RUNNING, F.col("winner").isNotNull() & ~won, of("dist"), 2, 2), (2, WON_AT_T, won, of("tshare"), 2, 1), (3, MADE_TO_RUN, won, of("dist", True), 1, 0),
     ]
-    parts = [df.select(*CLIP, "rally", F.lit(no).alias("seq"), F.lit(why).alias("reason")) for no, why, df in lists]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy(*CLIP, "rally").agg(F.min_by("reason", "seq").alias("reason"), F.min("seq").alias("seq"))
+    found = []
+    for no, why, which, by, k_user, k_both in lists:
+        w = Window.partitionBy(*CLIP, "player").orderBy(F.col("__by").desc_nulls_last(), "rally")
+        ranked = sides.filter(which).withColumn("__by", by).withColumn("__r", F.row_number().over(w))
+        kept = ranked.filter(F.col("__r") <= F.when(F.col("__user").isNotNull(), k_user).otherwise(k_both))
+        seq = F.lit(no) + F.when(F.col("player") == "p2", 10).otherwise(0)
+        found.append(kept.select(*CLIP, "rally", seq.alias("seq"), F.lit(why).alias("reason"), "player"))
+    none = F.lit(None).cast("string").alias("player")
+    w = Window.partitionBy(*CLIP).orderBy(F.col("duration").desc_nulls_last(), "rally")
+    longest = rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1 AND duration IS NOT NULL")
+    found.append(longest.select(*CLIP, "rally", F.lit(0).alias("seq"), F.lit(LONGEST).alias("reason"), none))
+    found.append(rows.filter(F.col("note").contains("let")).select(*CLIP, "rally", F.lit(99).alias("seq"), F.lit(LET).alias("reason"), none))
+    return reduce(DataFrame.unionByName, found).groupBy(*CLIP, "rally").agg(F.min(F.struct("seq", "reason", "player")).alias("m")).select(*CLIP, "rally", "m.*")

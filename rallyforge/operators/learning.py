@@ -9,7 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyforge.session import sized
+
 C, FOLDS = 0.3, 5
+#: Hash parts that groups of one size are numbered in.
+PARTS = 64
 
 
 def to_vector(array: str):
@@ -27,14 +31,40 @@ def fit(rows: DataFrame, features: str = "features", label: str = "label", c: fl
 
 
 def group_folds(rows: DataFrame, group: list[str], folds: int = FOLDS) -> DataFrame:
-    """group..., fold: groups in descending size, dealt to and fro over the folds, so folds are nearly equal in rows. One
-    window over the groups' sizes (not over rows), ranked within hash parts first so that no task sorts all groups."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64(*group), F.lit(64))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.col("n").desc(), *group)) - 1
-    lap, place = F.floor(rank / folds), rank % folds
-    turned = F.when(lap % 2 == 0, place).otherwise(folds - 1 - place)
-    return sizes.select(*group, F.pmod(turned + part, F.lit(folds)).cast("int").alias("fold"))
+    """group..., fold: groups in descending size (ties: by key), each to the fold with the fewest rows so far (ties: the first).
+
+    Only a group's size matters for the fold that it gets, so the dealing is done for the sizes that occur: groups of one
+    size are numbered by windows within hash parts, and the driver deals the counts of groups of each size - as many rows as
+    there are different sizes, which is at most the root of twice the number of rows. Folds are those of dealing group by
+    group, up to which of equally large groups gets which."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("__p", F.pmod(F.xxhash64(*group), F.lit(PARTS)))
+    per_part = sizes.groupBy("n", "__p").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("n").orderBy("__p")) - F.col("k")  # at most PARTS rows of a size
+    number = F.row_number().over(Window.partitionBy("n", "__p").orderBy(*group)) - 1
+    placed = sizes.withColumn("__i", number).join(per_part.select("n", "__p", before.alias("__b")), ["n", "__p"]).withColumn("__i", F.col("__i") + F.col("__b"))
+    counted = {r["n"]: r["k"] for r in per_part.groupBy("n").agg(F.sum("k").alias("k")).collect()}
+    dealt = sized(rows.sparkSession.createDataFrame(deal(counted, folds), "n bigint, upto array<bigint>"))
+    fold = F.size(F.filter("upto", lambda u: u <= F.col("__i")))
+    return placed.join(dealt, "n").select(*group, fold.cast("int").alias("fold"))
+
+
+def deal(counts: dict[int, int], folds: int = FOLDS) -> list[tuple[int, list[int]]]:
+    """For each size, from the largest, how many of its groups the first, the first two, ... folds get, when each group goes to
+    the fold with the fewest rows (ties: the first). All folds below a level fill up to it; the level is searched."""
+    loads, out = [0] * folds, []
+    for size in sorted(counts, reverse=True):
+        below = lambda level: [max(0, -(-(level - load) // size)) for load in loads]  # noqa: B023, E731
+        low, high = min(loads), max(loads) + size * counts[size] + 1
+        while low < high:
+            level = (low + high + 1) // 2
+            low, high = (level, high) if sum(below(level)) <= counts[size] else (low, level - 1)
+        got = below(low)
+        for _ in range(counts[size] - sum(got)):  # fewer than there are folds
+            k = min(range(folds), key=lambda k: (loads[k] + got[k] * size, k))  # noqa: B023
+            got[k] += 1
+        loads = [load + n * size for load, n in zip(loads, got)]
+        out.append((size, [sum(got[: k + 1]) for k in range(folds)]))
+    return out
 
 
 def cross_validate(rows: DataFrame, group: list[str], folds: int = FOLDS, **parameters) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rallyforge.functions import court
 from rallyforge.operators import islands
+from rallyforge.operators.serves import LET_COUNTED
 from rallyforge.operators.signals import CLIP
 
 WHO = [*CLIP, "player"]
@@ -41,15 +42,16 @@ def by_player(inside: DataFrame) -> DataFrame:
     return inside.select(*CLIP, "frame", "t", "rally", F.inline(F.array(one, two)))
 
 
-def movement(rows: DataFrame, right_handed: bool = True) -> DataFrame:
-    """Per player of a clip: presence, T control, zones, sides, distance, speed."""
+def movement(rows: DataFrame, left_handed: tuple[str, ...] = ()) -> DataFrame:
+    """Per player of a clip: presence, T control, zones, sides, distance, speed. left_handed: the players whose forehand is
+    on the left."""
     x, y, d = F.col("x"), F.col("y"), F.col("dist_t")
     there = F.when(x.isNotNull(), True)
     row, col = court.zone_row(y), court.zone_col(x)
     w = Window.partitionBy(*WHO).orderBy("frame")
     step = F.coalesce(F.hypot(x - F.lag("x").over(w), y - F.lag("y").over(w)), F.lit(0.0))
     both = x.isNotNull() & F.col("od").isNotNull()
-    fore = 1 if right_handed else 0
+    fore = F.when(F.col("player").isin(*left_handed), 0).otherwise(1) if left_handed else F.lit(1)
     return rows.withColumn("step", step).groupBy(*WHO).agg(
         F.count("x").alias("frames_in_rally"), share(there).alias("tracked_share"), share(d < 1.0).alias("t_share_1m"), share(d < 1.5).alias("t_share_1_5m"),
         F.avg(F.when(both, F.coalesce((d < F.col("od")).cast("int"), F.lit(0)))).alias("closer_to_t_share"), F.avg("dist_t").alias("mean_dist_t"), F.median("dist_t").alias("median_dist_t"),
@@ -115,7 +117,7 @@ def longest_streaks(rallies: DataFrame) -> DataFrame:
 
 def game_summary(rallies: DataFrame) -> DataFrame:
     """One row per clip: counts, lengths, rest, the longest rally (the first of equals), final score."""
-    let = F.coalesce(F.col("note").contains("let"), F.lit(False))
+    let = F.coalesce(F.col("note").contains(LET_COUNTED), F.lit(False))
     w = Window.partitionBy(*CLIP).orderBy("rally")
     alternates = F.when((F.lead("server").over(w) == F.col("server")) & (F.col("winner") == F.col("server")), F.coalesce((F.lead("box").over(w) != F.col("box")).cast("int"), F.lit(0)))
     r = rallies.withColumn("__alt", alternates)
@@ -123,7 +125,7 @@ def game_summary(rallies: DataFrame) -> DataFrame:
     rest = F.sum("rest_before")
     return r.groupBy(*CLIP).agg(
         F.min("t_start").alias("t_first"), F.max("t_end").alias("t_last"), F.count("*").alias("n_rallies"), F.count("winner").alias("n_points"),
-        F.sum((F.col("winner").isNull() & let).cast("bigint")).alias("n_lets"), F.sum((F.col("winner").isNull() & ~let).cast("bigint")).alias("n_unknown"),
+        F.sum(let.cast("bigint")).alias("n_lets"), F.sum((F.col("winner").isNull() & ~let).cast("bigint")).alias("n_unknown"),
         F.avg("duration").alias("mean_rally_s"), F.median("duration").alias("median_rally_s"), F.max("duration").alias("longest_rally_s"),
         F.max_by("rally", F.struct("duration", -F.col("rally"))).alias("longest_rally_no"), total.alias("total_rally_s"), F.coalesce(rest, F.lit(0.0)).alias("total_rest_s"),
         F.avg("rest_before").alias("mean_rest_s"), F.when(rest > 0, total / rest).alias("work_rest_ratio"),
@@ -138,8 +140,12 @@ def separation(inside: DataFrame) -> DataFrame:
     return inside.withColumn("apart", apart).groupBy(*CLIP).agg(F.avg("apart").alias("mean_separation_m"), share(F.col("apart") < 1.0).alias("crowding_share"))
 
 
-def reliability(pos: DataFrame) -> DataFrame:
-    """Per player of a clip: rows, shares of cut-off feet, interpolated and tracked rows."""
-    return pos.groupBy(*WHO).agg(
+def reliability(pos: DataFrame, inside: DataFrame, rates: DataFrame) -> DataFrame:
+    """Per player (p1, p2) of a clip with rallies: frames in rallies, the shares of them where the player is tracked, with
+    cut-off feet and interpolated (a frame without a row of the player has none of these), readings a second."""
+    frames = inside.select(*CLIP, "frame", F.explode(F.array(F.lit("p1"), F.lit("p2"))).alias("player"))
+    rows = frames.join(pos.select(*WHO, "frame", "x", "feet_cut", "interpolated"), [*WHO, "frame"], "left")
+    made = rows.groupBy(*WHO).agg(
         F.count("*").alias("n"), share(F.col("feet_cut")).alias("feet_cut_share"), share(F.col("interpolated")).alias("interpolated_share"), share(F.col("x").isNotNull()).alias("tracked_share")
     )
+    return made.join(rates.select(*CLIP, F.rint("fps_eff").cast("bigint").alias("samples_per_s")), CLIP, "left")

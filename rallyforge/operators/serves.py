@@ -54,6 +54,11 @@ def serve_clusters(events: DataFrame, gap_s: float = 3.0) -> DataFrame:
     return ranked.filter("r = 1").select(*CLIP, "t0", "t1", "server", "box", ambiguous.alias("ambiguous"))
 
 
+#: Fixed value: the note of a let, as it is counted (a review lists any note with "let" in it).
+LET_COUNTED = "let (same"
+LET = f"{LET_COUNTED} server, same box)"
+
+
 def score(rallies: DataFrame, order: str = "t_start", keys: list[str] = CLIP, game_ball: int = 15) -> DataFrame:
     """Adds winner, score_p1, score_p2, score_note. The winner of a rally serves the next one; the same server from the
     same box is a let; the last rally of a clip is decided only when exactly one side stands one point before the end."""
@@ -69,7 +74,7 @@ def score(rallies: DataFrame, order: str = "t_start", keys: list[str] = CLIP, ga
     winner = F.when(F.col("__last") & F.col("server").isNotNull(), last).otherwise(F.col("__w"))
     note = (
         F.when(F.col("server").isNull(), "no serve seen").when(winner.isNotNull(), "").when(F.col("__last"), "last rally: winner unknown")
-        .when(F.coalesce("__let", F.lit(False)), "let: same server, same box").otherwise("next serve not seen: winner unknown")
+        .when(F.coalesce("__let", F.lit(False)), LET).otherwise("next serve not seen: winner unknown")
     )
     scored = known.withColumn("winner", winner).withColumn("score_note", note)
     run = lambda p: F.sum(F.coalesce((F.col("winner") == p).cast("bigint"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -35,6 +35,13 @@ def sample_rate(rows: DataFrame, keys: list[str] = CLIP) -> DataFrame:
     return times.withColumn("gap", gap).groupBy(*keys).agg((1 / F.median("gap")).alias("fps_eff"))
 
 
+def rate_of_frames(rows: DataFrame, keys: list[str] = CLIP) -> DataFrame:
+    """keys..., fps_eff: readings a second by the frame numbers themselves, median(frame / t) / stride (a column of rows); for
+    rows whose times are frame / fps."""
+    known = rows.filter("frame > 0 AND t <> 0")
+    return known.groupBy(*keys).agg((F.median(F.col("frame") / F.col("t")) / F.max("stride")).alias("fps_eff"))
+
+
 def activity(wide: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds activity: the centred mean of v1 + v2 (missing: 0) over about a second of rows, and fps_eff.
 

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyforge.functions import court
-from rallyforge.operators.islands import with_runs
 from rallyforge.operators.signals import gradient
 
 SOURCE = ["game_id", "clip", "player"]
 WINDOW, DEGREE = 11, 2
+#: Rows of the grid that are made at a time out of one gap.
+SLICE = 4_096
 
 
 def by_source():
@@ -25,70 +26,97 @@ def savgol_weights(window: int = WINDOW, degree: int = DEGREE) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def first_of_frame(rows: DataFrame) -> DataFrame:
-    """The earliest row (by t) of each frame of a source."""
-    w = Window.partitionBy(*SOURCE, "frame").orderBy("t")
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
-
+def following(value: str, order: str = "frame") -> Column:
+    """The next value of the column in the source that is not NULL, after this row. One pass: a frame that reaches to the end of
+    the source would be gone through anew for every row."""
+    return F.expr(f"lead({value}) IGNORE NULLS OVER (PARTITION BY {', '.join(SOURCE)} ORDER BY {order})")
 
-def regular_frames(rows: DataFrame, step: DataFrame | None = None) -> DataFrame:
-    """Every frame of the source's grid from its first to its last row; the grid's step is the source's most frequent one
-    (the smallest of several). Rows off the grid are left out."""
-    gaps = rows.select(*SOURCE, "frame", (F.lead("frame").over(by_source()) - F.col("frame")).alias("gap"))
-    spans = gaps.groupBy(*SOURCE).agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.mode("gap", deterministic=True).alias("step"))
-    grid = spans.select(*SOURCE, F.explode(F.sequence("a", "b", F.coalesce("step", F.lit(1)))).alias("frame"))
-    return grid.join(rows, [*SOURCE, "frame"], "left")
 
-
-def interpolate(value: str | Column, limit: int | Column) -> Column:
-    """Linear by row number between the neighbours with values; of a gap longer than the limit only its first rows are
-    filled; nothing before the first and after the last value. Needs __n, the row's number in its source."""
-    c, w = F.col(value).cast("double") if isinstance(value, str) else value, by_source()
-    here = F.when(c.isNotNull(), F.struct(F.col("__n").alias("n"), c.alias("v")))
-    before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # looking ahead from the other end: a frame that reaches to the end would be gone through anew for every row
-    after = F.last(here, ignorenulls=True).over(Window.partitionBy(*SOURCE).orderBy(F.col("frame").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    between = before["v"] + (after["v"] - before["v"]) * (F.col("__n") - before["n"]) / (after["n"] - before["n"])
-    return F.when(c.isNotNull(), c).when(F.col("__n") - before["n"] <= limit, between)
+def first_of_frame(rows: DataFrame) -> DataFrame:
+    """The earliest row (by t) of each frame of a source."""
+    before = F.lag("frame").over(Window.partitionBy(*SOURCE).orderBy("frame", "t"))
+    return rows.withColumn("__b", before).filter("__b IS NULL OR __b <> frame").drop("__b")
+
+
+def on_grid(rows: DataFrame, limits: dict[str, int | Column], step: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every frame of each source's grid from its first to its last row: SOURCE, keep..., frame, __n (number on the grid, from
+    1), there (a row stands behind it), and the columns of limits, interpolated linearly by number between the neighbours with
+    values; of a gap longer than its limit only the first rows are filled; nothing before the first and after the last value.
+
+    The grid's step is the source's most frequent one (the smallest of several) unless given; rows off the grid are left out.
+    No join: each row brings forth the grid's rows up to the next one, in slices, and knows the values around them."""
+    w = by_source()
+    if step is None:
+        gaps = rows.withColumn("__gap", F.lead("frame").over(w) - F.col("frame"))
+        gaps = gaps.withColumn("__c", F.count("__gap").over(Window.partitionBy(*SOURCE, "__gap")))
+        best = F.max(F.when(F.col("__gap").isNotNull(), F.struct("__c", (-F.col("__gap")).alias("g")))).over(Window.partitionBy(*SOURCE))
+        rows = gaps.withColumn("__step", F.coalesce(-best["g"], F.lit(1))).drop("__gap", "__c")
+    else:
+        rows = rows.withColumn("__step", F.lit(step))
+    rows = rows.withColumn("__n", (F.col("frame") - F.min("frame").over(Window.partitionBy(*SOURCE))) / F.col("__step") + 1).filter("__n = floor(__n)").withColumn("__n", F.col("__n").cast("bigint"))
+    for c in limits:
+        rows = rows.withColumn(f"__h_{c}", F.when(F.col(c).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(c).cast("double").alias("v"))))
+    rows = rows.select(
+        *SOURCE, *keep, "frame", "__n", "__step", (F.lead("__n").over(w) - F.col("__n") - 1).alias("__more"),
+        *(F.last(f"__h_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__b_{c}") for c in limits), *(following(f"__h_{c}").alias(f"__a_{c}") for c in limits),
+    )
+    more = F.coalesce("__more", F.lit(0))
+    slices = rows.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(more / SLICE)))).withColumn("__k", F.explode(F.sequence(F.col("__s") * SLICE, F.least(more, F.col("__s") * SLICE + (SLICE - 1)))))
+    grid = slices.select(*SOURCE, *keep, (F.col("frame") + F.col("__k") * F.col("__step")).alias("frame"), (F.col("__n") + F.col("__k")).alias("__n"), (F.col("__k") == 0).alias("there"), *(f"__{x}_{c}" for c in limits for x in "ba"))
+    return grid.select(*SOURCE, *keep, "frame", "__n", "there", *(_between(F.col(f"__b_{c}"), F.col(f"__a_{c}"), limit).alias(c) for c, limit in limits.items()))
+
+
+def _between(before: Column, after: Column, limit: int | Column) -> Column:
+    past = F.col("__n") - before["n"]
+    return F.when(past == 0, before["v"]).when((past <= limit) & after["n"].isNotNull(), before["v"] + (after["v"] - before["v"]) * past / (after["n"] - before["n"]))
+
+
+def interpolate(value: str, limit: int | Column) -> Column:
+    """The same within rows that are on a grid already (numbered __n); needs the column value + "__h" of `held`."""
+    w = by_source()
+    here = f"{value}__h"
+    return _between(F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), following(here), limit)
+
+
+def held(rows: DataFrame, value: str) -> DataFrame:
+    return rows.withColumn(f"{value}__h", F.when(F.col(value).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(value).cast("double").alias("v"))))
 
 
 def smooth_tracks(rows: DataFrame, rates: DataFrame, max_gap_s: float = 0.6, max_speed: float = 8.0) -> DataFrame:
     """rows (game_id, clip, player, frame, t, x, y, conf) on the regular grid: interpolated, smoothed, clipped to the court,
-    with speed and dist_t."""
-    grid = regular_frames(first_of_frame(rows)).join(rates, ["game_id", "clip"], "left").withColumn("__n", F.row_number().over(by_source()))
-    limit = F.floor(max_gap_s * F.col("fps_eff"))
-    filled = grid.withColumn("interpolated", F.col("x").isNull()).withColumn("t", interpolate("t", F.lit(2**31 - 1)))
-    filled = filled.select("*", *(interpolate(c, limit).alias("f" + c) for c in ("x", "y", "conf"))).drop("x", "y", "conf").withColumnsRenamed({"fx": "x", "fy": "y", "fconf": "conf"})
-    runs = with_runs(filled, SOURCE, ["frame"], F.when(F.col("x").isNotNull(), True), value="valid")
-    part = Window.partitionBy(*SOURCE, "run")
-    inside = part.orderBy("frame")
-    runs = runs.withColumn("__i", F.row_number().over(inside)).withColumn("__k", F.count("*").over(part))
-    weights, half = savgol_weights(), WINDOW // 2
-
-    # one expression for all rows: the row's window within its run is a slice of the values around it, and its weights are
-    # those of its place in that window
-    ahead, behind = F.col("__k") - F.col("__i"), F.col("__i") - 1
-    place = F.when(behind < half, behind).when(ahead < half, WINDOW - 1 - ahead).otherwise(half).cast("int")
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in weights))
+    with speed and dist_t. Rows are shuffled once, by source; all windows share that and one order."""
+    rated = rows.select(*SOURCE, "frame", "t", "x", "y", "conf").join(rates.select("game_id", "clip", F.floor(max_gap_s * F.col("fps_eff")).alias("__limit")), ["game_id", "clip"], "left")
+    limit, w = F.col("__limit"), by_source()
+    filled = on_grid(first_of_frame(rated).withColumn("__x", F.col("x")), {"t": 2**62, "x": limit, "y": limit, "conf": limit, "__x": 0}, keep=("__limit",))
+    filled = filled.withColumn("interpolated", F.col("__x").isNull()).withColumn("valid", F.col("x").isNotNull())
+    change = F.when(F.col("valid").eqNullSafe(F.lag("valid").over(w)), None).otherwise(F.col("__n"))
+    runs = filled.withColumn("__c", change).withColumn("__end", F.coalesce(following("__c"), F.max("__n").over(Window.partitionBy(*SOURCE)) + 1))
+    runs = runs.withColumn("__begin", F.last("__c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    half, weights = WINDOW // 2, savgol_weights()
+    behind, ahead = F.col("__n") - F.col("__begin"), F.col("__end") - 1 - F.col("__n")
+    # the row's place in the window that its value is fitted in: the middle, or nearer to an end of its run
+    place = F.when(~F.col("valid") | (behind + ahead + 1 < WINDOW), -1).when(behind < half, behind).when(ahead < half, WINDOW - 1 - ahead).otherwise(half).cast("int")
+    around = runs.select(*SOURCE, "frame", "__n", "t", "x", "y", "conf", "interpolated", "valid", place.alias("__p"), *(F.lag(c, -k).over(w).alias(f"__{c}{k}") for c in "xy" for k in range(1 - WINDOW, WINDOW) if k))
 
     def smoothed(c: str) -> Column:
-        around = F.array(*(F.lag(c, -k).over(inside) for k in range(1 - WINDOW, WINDOW)))
-        products = F.zip_with(F.slice(around, WINDOW - place, F.lit(WINDOW)), F.get(table, place), lambda x, y: x * y)
-        value = F.aggregate(products, F.lit(0.0), lambda sum_, x: sum_ + x)
-        return F.when(F.col("valid") & (F.col("__k") >= WINDOW), value).otherwise(F.col(c))
-
-    placed = runs.withColumn("sx", smoothed("x")).withColumn("sy", smoothed("y"))
-    placed = placed.withColumn("x", court.clip(F.col("sx"), 0.0, court.WIDTH)).withColumn("y", court.clip(F.col("sy"), 0.0, court.LENGTH))
-    dt = gradient("t", by_source())
-    speed = F.hypot(gradient("x", by_source()) / dt, gradient("y", by_source()) / dt)
-    timed = placed.withColumn("v", F.when(F.col("valid") & (speed <= max_speed), speed))
-    return timed.withColumn("speed", interpolate("v", F.lit(2))).select(
+        value = None
+        for p in sorted(range(WINDOW), key=lambda p: p != half):  # the middle is the rule
+            terms = [float(weights[p, j]) * (F.col(f"__{c}{j - p}") if j != p else F.col(c)) for j in range(WINDOW)]
+            fitted = terms[0]
+            for term in terms[1:]:
+                fitted = fitted + term
+            value = F.when(F.col("__p") == p, fitted) if value is None else value.when(F.col("__p") == p, fitted)
+        return value.otherwise(F.col(c))
+
+    placed = around.select(*SOURCE, "frame", "__n", "t", court.clip(smoothed("x"), 0.0, court.WIDTH).alias("x"), court.clip(smoothed("y"), 0.0, court.LENGTH).alias("y"), "conf", "interpolated", "valid")
+    dt = gradient("t", w)
+    speed = F.hypot(gradient("x", w) / dt, gradient("y", w) / dt)
+    timed = held(placed.withColumn("v", F.when(F.col("valid") & (speed <= max_speed), speed)), "v")
+    return timed.withColumn("speed", interpolate("v", 2)).select(
         *SOURCE, "frame", "t", "x", "y", "speed", court.dist_to_t(F.col("x"), F.col("y")).alias("dist_t"), "conf", "interpolated"
     )
 
 
 def every_frame(tracks: DataFrame, limit: int = 3) -> DataFrame:
     """Each frame number between a source's rows, with x and y interpolated over at most `limit` frames (for overlays)."""
-    spans = tracks.groupBy(*SOURCE).agg(F.sequence(F.min("frame"), F.max("frame")).alias("frames")).select(*SOURCE, F.explode("frames").alias("frame"))
-    grid = spans.join(tracks.select(*SOURCE, "frame", "x", "y"), [*SOURCE, "frame"], "left").withColumn("__n", F.row_number().over(by_source()))
-    return grid.select(*SOURCE, "frame", interpolate("x", F.lit(limit)).alias("x"), interpolate("y", F.lit(limit)).alias("y"))
+    return on_grid(tracks.select(*SOURCE, "frame", "x", "y"), {"x": limit, "y": limit}, step=1).select(*SOURCE, "frame", "x", "y")

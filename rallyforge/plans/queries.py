@@ -54,6 +54,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flags(spark, d).select("game_id", "clip", "player", "frame")
 
 
+def p2_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Of the flags those for ranges and constant series, which plain SQL can tell."""
+    kinds = {f"{m}_fault": F.when(F.col(f"{m}_fault") != "spike", F.col(f"{m}_fault")) for m in ("x", "y", "speed")}
+    return p2_flags(spark, d).withColumns(kinds).filter("coalesce(x_fault, y_fault, speed_fault) IS NOT NULL")
+
+
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_grid(table(spark, d, "positions"))
 
@@ -62,6 +68,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).filter("missing").select("game_id", "clip", "player", "period_no")
 
 
+def p4_periods(spark: SparkSession, d: str) -> DataFrame:
+    return p4_grid(spark, d).select("game_id", "clip", "player", "period_no", "n_readings", "missing")
+
+
 # -- geometry and projection
 
 
@@ -297,7 +307,14 @@ def separation_crowding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def track_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.reliability(_pos(spark, d)), "feet_cut_share", "interpolated_share", "tracked_share")
+    pos = _pos(spark, d)
+    return rounded(metrics.reliability(pos, _inside(spark, d), signals.sample_rate(pos)), "feet_cut_share", "interpolated_share", "tracked_share")
+
+
+def frame_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Readings a second by frame numbers and strides."""
+    rows = lookup(_pos(spark, d), game_strides(table(spark, d, "games")), ["game_id"]).withColumn("stride", F.coalesce("stride", F.lit(1)))
+    return rounded(signals.rate_of_frames(rows), "fps_eff")
 
 
 def rally_table(spark: SparkSession, d: str) -> DataFrame:
@@ -312,8 +329,8 @@ def rally_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
-    rows = track.regular_frames(_pos(spark, d).select(*WHO, "frame", "x", "y")).withColumn("__n", F.row_number().over(track.by_source()))
-    made = rows.select(*WHO, "frame", F.col("x").isNull().alias("interpolated"), track.interpolate("x", F.lit(6)).alias("x"), track.interpolate("y", F.lit(6)).alias("y"))
+    rows = _pos(spark, d).select(*WHO, "frame", "x", "y").withColumn("__x", F.col("x"))
+    made = track.on_grid(rows, {"x": 6, "y": 6, "__x": 0}).select(*WHO, "frame", F.col("__x").isNull().alias("interpolated"), "x", "y")
     return rounded(made, "x", "y", digits=10)
 
 
@@ -344,7 +361,7 @@ def frames_near_rallies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_topk(spark: SparkSession, d: str) -> DataFrame:
-    return asof.review(_rallies(spark, d))
+    return asof.review(_rallies(spark, d), table(spark, d, "games").select("game_id", "user_player"))
 
 
 # -- identity
@@ -484,6 +501,14 @@ def summary_documents(spark: SparkSession, d: str) -> DataFrame:
     return files.summary_json(game_summary(spark, d), player_points(spark, d), CLIP)
 
 
+def summary_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Some fields read back from the JSON documents."""
+    shape = "game struct<n_rallies: bigint, longest_rally_s: double>, players array<struct<player: string, points_won: bigint>>"
+    rows = summary_documents(spark, d).select(*CLIP, F.from_json("summary", shape).alias("s"))
+    won = lambda p: F.get(F.filter("s.players", lambda x: x["player"] == p), F.lit(0))["points_won"]
+    return rows.select(*CLIP, "s.game.n_rallies", F.round("s.game.longest_rally_s", 6).alias("longest_rally_s"), F.size("s.players").cast("bigint").alias("players"), won("p1").alias("won_p1"), won("p2").alias("won_p2"))
+
+
 # -- streams, drained: each reads its table as a stream, to its end, and returns what was written
 
 
@@ -518,13 +543,13 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    p2_found, p2_flags, p4_found, p4_grid, court_zone_share, court_points, foot_point_projection, lens_undistort, lens_round_trip, homography_project, court_to_pixels, court_lines,
-    activity_signal, sample_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
+    p2_found, p2_flags, p2_plain, p4_found, p4_grid, p4_periods, court_zone_share, court_points, foot_point_projection, lens_undistort, lens_round_trip, homography_project, court_to_pixels, court_lines,
+    activity_signal, sample_rate, frame_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
     detected_rallies, segment_rallies, dropped_segments, infer_missed_serves, split_long_rallies, score_progress, rest_before, rally_interval_join, rally_path_length, player_movement,
     heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
     gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
     build_tracklets, class_membership, spectator_filter, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
-    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, stream_activity, stream_sessions,
+    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, summary_fields, stream_activity, stream_sessions,
 )
 
 

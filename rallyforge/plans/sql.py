@@ -174,7 +174,7 @@ b AS (SELECT *, coalesce(count(*) FILTER (WHERE w0 = 'p1') OVER u, 0) AS a1, coa
 e AS (SELECT * EXCLUDE (winner), CASE WHEN is_last AND server IS NOT NULL THEN (CASE WHEN a1 = 14 AND a2 < 14 THEN 'p1' WHEN a2 = 14 AND a1 < 14 THEN 'p2' END) ELSE w0 END AS winner FROM b)""",
         select="""SELECT game_id, clip, rally, winner, a1 + CAST(coalesce(winner = 'p1', FALSE) AS BIGINT) AS score_p1, a2 + CAST(coalesce(winner = 'p2', FALSE) AS BIGINT) AS score_p2,
   CASE WHEN server IS NULL THEN 'no serve seen' WHEN winner IS NOT NULL THEN '' WHEN is_last THEN 'last rally: winner unknown'
-    WHEN ns = server AND nb IS NOT DISTINCT FROM box THEN 'let: same server, same box' ELSE 'next serve not seen: winner unknown' END AS note FROM e"""),
+    WHEN ns = server AND nb IS NOT DISTINCT FROM box THEN 'let (same server, same box)' ELSE 'next serve not seen: winner unknown' END AS note FROM e"""),
     "rest_before": q(RAL, select="SELECT game_id, clip, rally, round(t_start - lag(t_end) OVER (PARTITION BY game_id, clip ORDER BY rally), 3) AS rest FROM ral"),
     "rally_interval_join": q(POS, RAL, wide(), INSIDE, select="SELECT game_id, clip, rally, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame FROM inside GROUP BY ALL"),
     "rally_path_length": q(POS, RAL, wide(), "hits AS (SELECT w.*, r.rally FROM wide w JOIN ral r ON r.game_id = w.game_id AND r.clip = w.clip AND w.t BETWEEN r.t_start AND r.t_end)",
@@ -214,15 +214,19 @@ r AS (SELECT game_id, clip, player, max(t) - min(t) AS s FROM i WHERE fast GROUP
     "serve_by_box": q(RAL, select="SELECT game_id, clip, server, box, count(*) AS served, count(*) FILTER (WHERE winner = server) AS won FROM ral WHERE server IS NOT NULL AND box IS NOT NULL GROUP BY ALL"),
     "game_summary": q(RAL, "n AS (SELECT *, lead(server) OVER w AS ns, lead(box) OVER w AS nb FROM ral WINDOW w AS (PARTITION BY game_id, clip ORDER BY rally))",
         select="""SELECT game_id, clip, min(t_start) AS t_first, max(t_end) AS t_last, count(*) AS n_rallies, count(winner) AS n_points,
-  count(*) FILTER (WHERE winner IS NULL AND note LIKE '%let%') AS n_lets, count(*) FILTER (WHERE winner IS NULL AND NOT coalesce(note LIKE '%let%', FALSE)) AS n_unknown,
+  count(*) FILTER (WHERE note LIKE '%let (same%') AS n_lets, count(*) FILTER (WHERE winner IS NULL AND NOT coalesce(note LIKE '%let (same%', FALSE)) AS n_unknown,
   round(avg(duration), 5) AS mean_rally_s, round(median(duration), 5) AS median_rally_s, max(duration) AS longest_rally_s, first(rally ORDER BY duration DESC, rally) AS longest_rally_no,
   round(sum(duration), 5) AS total_rally_s, round(coalesce(sum(rest_before), 0), 5) AS total_rest_s, round(avg(rest_before), 5) AS mean_rest_s,
   round(CASE WHEN sum(rest_before) > 0 THEN sum(duration) / sum(rest_before) END, 5) AS work_rest_ratio, arg_max(score_p1, rally) AS final_p1, arg_max(score_p2, rally) AS final_p2,
   count(*) FILTER (WHERE ns = server AND winner = server AND nb <> box) AS alternations_ok, count(*) FILTER (WHERE ns = server AND winner = server) AS alternations FROM n GROUP BY game_id, clip"""),
     "separation_crowding": q(POS, RAL, wide(), INSIDE, "a AS (SELECT *, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS apart FROM inside)",
         select="SELECT game_id, clip, round(avg(apart), 5) AS mean_separation_m, round(count(*) FILTER (WHERE apart < 1) / count(*), 5) AS crowding_share FROM a GROUP BY ALL"),
-    "track_reliability": q(POS, select="""SELECT game_id, clip, player, count(*) AS n, round(count(*) FILTER (WHERE feet_cut) / count(*), 6) AS feet_cut_share,
-  round(count(*) FILTER (WHERE interpolated) / count(*), 6) AS interpolated_share, round(count(x) / count(*), 6) AS tracked_share FROM pos GROUP BY ALL"""),
+    "track_reliability": q(POS, RAL, wide(), INSIDE, rates(), "f AS (SELECT game_id, clip, frame, unnest(['p1', 'p2']) AS player FROM inside)",
+        select="""SELECT f.game_id, f.clip, f.player, count(*) AS n, round(count(*) FILTER (WHERE feet_cut) / count(*), 6) AS feet_cut_share,
+  round(count(*) FILTER (WHERE interpolated) / count(*), 6) AS interpolated_share, round(count(x) / count(*), 6) AS tracked_share, CAST(round_even(any_value(fps_eff), 0) AS BIGINT) AS samples_per_s
+  FROM f LEFT JOIN pos USING (game_id, clip, frame, player) LEFT JOIN rates USING (game_id, clip) GROUP BY ALL"""),
+    "frame_rate": q(POS, "r AS (SELECT p.*, coalesce(s.stride, 1) AS stride FROM pos p LEFT JOIN (SELECT game_id, max(frame_stride) AS stride FROM games GROUP BY game_id) s USING (game_id))",
+        select="SELECT game_id, clip, round(median(frame / t) / max(stride), 6) AS fps_eff FROM r WHERE frame > 0 AND t <> 0 GROUP BY game_id, clip"),
     "rally_table": q(RAL, select="""SELECT game_id, clip, rally, CAST(floor(t_start) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(t_start) % 60 AS BIGINT) AS VARCHAR), 2, '0') AS start,
   coalesce(printf('%.3f s', duration), '–') AS length, coalesce(printf('%.1f %%', tshare_p1 * 100), '–') AS t_p1,
   concat_ws(' ', upper(server[1]) || server[2:], box) AS serve, coalesce(nullif(note, ''), '–') AS note FROM ral"""),
@@ -242,16 +246,30 @@ r AS (SELECT grid.*, x, y, row_number() OVER (PARTITION BY grid.game_id, grid.cl
     "rally_asof": q(POS, RAL, wide(), select="""SELECT game_id, clip, frame, (SELECT min(r.rally) FROM ral r WHERE r.game_id = w.game_id AND r.clip = w.clip AND w.t BETWEEN r.t_start AND r.t_end) AS rally FROM wide w WHERE t IS NOT NULL"""),
     "frames_near_rallies": q(POS, RAL, wide(), select="""SELECT game_id, clip, count(*) AS frames FROM wide w
   WHERE EXISTS (SELECT 1 FROM ral r WHERE r.game_id = w.game_id AND r.clip = w.clip AND w.t >= r.t_start - 1.0 AND w.t <= r.t_end + 1.0) GROUP BY game_id, clip"""),
-    "review_topk": q(RAL, """l AS (
-  SELECT game_id, clip, rally, 1 AS seq, 'much running in a lost rally' AS reason FROM ral WHERE winner = 'p2' AND dist_p1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY dist_p1 DESC, rally) <= 3
-  UNION ALL SELECT game_id, clip, rally, 2, 'T held in a won rally' FROM ral WHERE winner = 'p1' AND tshare_p1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY tshare_p1 DESC, rally) <= 2
-  UNION ALL SELECT game_id, clip, rally, 3, 'longest rally' FROM ral WHERE duration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY duration DESC, rally) <= 1
-  UNION ALL SELECT game_id, clip, rally, 4, 'let' FROM ral WHERE note LIKE '%let%')""",
-        select="SELECT game_id, clip, rally, arg_min(reason, seq) AS reason, min(seq) AS seq FROM l GROUP BY ALL"),
+    "review_topk": q(RAL, """u AS (SELECT game_id, min(user_player) AS who FROM games GROUP BY game_id),
+r AS (SELECT ral.*, CASE WHEN who IN ('p1', 'p2') THEN who END AS who FROM ral LEFT JOIN u USING (game_id)),
+s AS (SELECT *, 'p1' AS me, 'p2' AS them, dist_p1 AS my_way, tshare_p1 AS my_share, dist_p2 AS their_way FROM r WHERE coalesce(who, 'p1') = 'p1'
+  UNION ALL SELECT *, 'p2', 'p1', dist_p2, tshare_p2, dist_p1 FROM r WHERE coalesce(who, 'p2') = 'p2'),
+l AS (
+  SELECT game_id, clip, rally, 0 AS seq, 'longest rally' AS reason, CAST(NULL AS VARCHAR) AS player FROM r WHERE duration IS NOT NULL QUALIFY row_number() OVER (PARTITION BY game_id, clip ORDER BY duration DESC, rally) = 1
+  UNION ALL SELECT game_id, clip, rally, CASE me WHEN 'p1' THEN 1 ELSE 11 END, 'lost after much running', me FROM s WHERE winner <> me
+    QUALIFY row_number() OVER (PARTITION BY game_id, clip, me ORDER BY my_way DESC NULLS LAST, rally) <= 2
+  UNION ALL SELECT game_id, clip, rally, CASE me WHEN 'p1' THEN 2 ELSE 12 END, 'won while holding the T', me FROM s WHERE winner = me
+    QUALIFY row_number() OVER (PARTITION BY game_id, clip, me ORDER BY my_share DESC NULLS LAST, rally) <= CASE WHEN who IS NULL THEN 1 ELSE 2 END
+  UNION ALL SELECT game_id, clip, rally, CASE me WHEN 'p1' THEN 3 ELSE 13 END, 'opponent made to run', me FROM s WHERE winner = me AND who IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY game_id, clip, me ORDER BY their_way DESC NULLS LAST, rally) <= 1
+  UNION ALL SELECT game_id, clip, rally, 99, 'let', NULL FROM r WHERE note LIKE '%let%')""",
+        select="SELECT game_id, clip, rally, min(seq) AS seq, arg_min(reason, seq) AS reason, first(player ORDER BY seq) AS player FROM l GROUP BY ALL"),
     "class_membership": """WITH l AS (SELECT DISTINCT game_id, det_id, tracklet FROM tracklets_tmp WHERE det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1),
 c AS (SELECT game_id, tracklet, CASE WHEN bool_or(n = 'p1') THEN 1 WHEN bool_or(n = 'p2') THEN 0 WHEN bool_or(n = 'other') THEN 2 ELSE -1 END AS class
   FROM (SELECT *, lower(trim(label)) AS n FROM tracklet_labels) GROUP BY ALL)
 SELECT game_id, coalesce(class, -1) AS class, count(DISTINCT tracklet) AS tracklets, count(*) AS links FROM l LEFT JOIN c USING (game_id, tracklet) GROUP BY game_id, coalesce(class, -1)""",
+    "fold_sizes": """WITH RECURSIVE l AS (SELECT DISTINCT game_id, det_id, tracklet FROM tracklets_tmp WHERE det_id IS NOT NULL AND tracklet IS NOT NULL AND tracklet <> -1),
+g AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM (SELECT count(*) AS n FROM l GROUP BY game_id, tracklet)),
+d AS (SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS k
+  UNION ALL SELECT g.i, list_transform(load, lambda v, j: v + CASE WHEN j = list_position(load, list_min(load)) THEN g.n ELSE 0 END),
+    list_transform(k, lambda v, j: v + CASE WHEN j = list_position(load, list_min(load)) THEN 1 ELSE 0 END) FROM d JOIN g ON g.i = d.i + 1)
+SELECT CAST(f AS INT) AS fold, load[f + 1] AS links, k[f + 1] AS tracklets FROM (SELECT * FROM d ORDER BY i DESC LIMIT 1), (SELECT unnest([0, 1, 2, 3, 4]) AS f)""",
     "spectator_filter": q(POS, "p AS (SELECT *, (1 - conf) / 2 AS prob_p2, (1 - conf) / 2 + CASE WHEN feet_cut THEN 0.2 ELSE 0.0 END AS prob_other FROM pos)",
         select="""SELECT game_id, clip, player, frame, round(conf - prob_p2, 6) AS score,
   round(conf * CASE WHEN feet_cut THEN 0.5 ELSE 1.0 END * CASE WHEN ankle_vis THEN 1.0 ELSE 0.8 END * greatest(0.55, least(1.0, 1 - (y - 7.0) / 5.0)), 12) AS pos_conf
@@ -301,14 +319,11 @@ SELECT game_id, min(ts) AS start, count(*) AS events, round(sum(d), 3) AS durati
 
 
 def between(source: str, column: str, limit: str, key: str = "game_id, clip, player") -> str:
-    """Rows of a numbered source (n) with the column interpolated by number, from its neighbours found by joins."""
-    same = " AND ".join(f"{{0}}.{k} = a.{k}" for k in key.split(", "))
-    return f"""{column}_near AS (
-  SELECT *, max(CASE WHEN {column} IS NOT NULL THEN n END) OVER (PARTITION BY {key} ORDER BY n ROWS UNBOUNDED PRECEDING) AS p,
-    min(CASE WHEN {column} IS NOT NULL THEN n END) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM {source}),
+    """Rows of a numbered source (n) with the column interpolated by number, from its neighbours looked up in each direction."""
+    near = lambda order: f"last_value(CASE WHEN {column} IS NOT NULL THEN {{'n': n, 'v': {column}}} END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY n {order} ROWS UNBOUNDED PRECEDING)"
+    return f"""{column}_near AS MATERIALIZED (SELECT *, {near("ASC")} AS p, {near("DESC")} AS q FROM {source}),
 {column}_full AS (
-  SELECT {", ".join("a." + k for k in key.split(", "))}, a.n, CASE WHEN a.{column} IS NOT NULL THEN a.{column} WHEN a.n - a.p <= {limit} THEN b.{column} + (c.{column} - b.{column}) * (a.n - a.p) / (a.q - a.p) END AS full_{column}
-  FROM {column}_near a LEFT JOIN {source} b ON {same.format("b")} AND b.n = a.p LEFT JOIN {source} c ON {same.format("c")} AND c.n = a.q)"""
+  SELECT {key}, n, CASE WHEN {column} IS NOT NULL THEN {column} WHEN n - p.n <= {limit.replace("a.", "")} THEN p.v + (q.v - p.v) * (n - p.n) / (q.n - p.n) END AS full_{column} FROM {column}_near)"""
 
 
 _KEYS = "game_id, clip, player"
@@ -359,3 +374,129 @@ s AS (SELECT * EXCLUDE (v0), CASE WHEN v0 <= 8 THEN v0 END AS v1 FROM e)""", bet
         select=f"""SELECT game_id, clip, player, frame, round(t, 10) AS t, round(x0, 8) AS x, round(y0, 8) AS y, round(full_v1, 7) AS speed, round(sqrt((x0 - 3.2) ** 2 + (y0 - 5.44) ** 2), 8) AS dist_t, round(conf, 10) AS conf, interpolated
   FROM d JOIN v1_full USING ({_KEYS}, n)"""),
 }
+
+# -- the chain from serve clusters to rallies
+
+#: Segments: where a rally begins depends on the pause before, hence the recursion over the cuts of all clusters at once.
+_STILL = " AND ".join(f"coalesce(CASE WHEN count({v}) OVER f >= 2 THEN avg({v}) OVER f END, 9.0) < 0.6" for v in ("v1", "v2"))
+_KINDS = (("trough", "act < trough_lo", 1.5), ("lull", "act < lull_act", 4.0), ("still", "still", 2.0))
+SEGMENTS = f"""stretches_of AS (
+  SELECT c.game_id, c.clip, c.t1 AS ts, coalesce(lead(c.t0) OVER (PARTITION BY c.game_id, c.clip ORDER BY c.t0), e.t_max) AS tn, c.server, c.box, c.ambiguous
+  FROM clusters c JOIN (SELECT game_id, clip, max(t) AS t_max FROM active GROUP BY ALL) e USING (game_id, clip)),
+frames AS MATERIALIZED (SELECT game_id, clip, frame, t, activity AS act, {_STILL} AS still FROM active WINDOW f AS (PARTITION BY game_id, clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+inner_rows AS MATERIALIZED (
+  SELECT s.game_id, s.clip, s.ts, s.tn, f.t, f.act, f.still, p.trough_lo, p.lull_act, p.act_play, p.min_play_act FROM stretches_of s JOIN frames f ON f.game_id = s.game_id AND f.clip = s.clip AND f.t > s.ts AND f.t < s.tn
+  JOIN pace p ON p.game_id = s.game_id AND p.clip = s.clip),
+plays AS (SELECT game_id, clip, ts, least(max(t) + 1.0, min(tn) - 0.3) AS over, max(t) FILTER (WHERE act > min_play_act) AS strong FROM inner_rows WHERE act > act_play GROUP BY ALL HAVING max(t) - ts >= 1.0),
+early AS (SELECT r.*, row_number() OVER (PARTITION BY game_id, clip, ts ORDER BY t) AS i FROM inner_rows r JOIN plays USING (game_id, clip, ts) WHERE t < over - 1.0),
+holding AS MATERIALIZED (""" + " UNION ALL ".join(
+    f"""
+  SELECT game_id, clip, ts, {no} AS kind, {least} AS least, t, lag(t) OVER w AS prev, max(t) OVER (PARTITION BY game_id, clip, ts, run) AS ends FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY game_id, clip, ts ORDER BY t) AS run FROM early WHERE {holds}) WINDOW w AS (PARTITION BY game_id, clip, ts, run ORDER BY t)"""
+    for no, (_, holds, least) in enumerate(_KINDS)) + """),
+starts AS (
+  SELECT game_id, clip, ts, ts AS a, 0 AS no FROM plays WHERE ts < over - 1.0
+  UNION ALL SELECT s.game_id, s.clip, s.ts, s.p.ends, s.no + 1 FROM (
+    SELECT x.game_id, x.clip, x.ts, x.no, arg_min({'ends': h.ends}, (h.t, h.kind)) AS p FROM starts x JOIN holding h ON h.game_id = x.game_id AND h.clip = x.clip AND h.ts = x.ts
+      AND h.t > x.a + 1.5 AND (h.prev IS NULL OR h.prev <= x.a + 1.5) AND h.ends - h.t >= h.least GROUP BY ALL) s
+  JOIN plays y ON y.game_id = s.game_id AND y.clip = s.clip AND y.ts = s.ts AND y.strong > s.p.ends AND s.p.ends < y.over - 1.0),
+broken AS (
+  SELECT x.game_id, x.clip, x.ts, x.a, x.no, min(h.t) AS b FROM starts x LEFT JOIN holding h ON h.game_id = x.game_id AND h.clip = x.clip AND h.ts = x.ts
+    AND h.t > x.a + 1.5 AND (h.prev IS NULL OR h.prev <= x.a + 1.5) AND h.ends - h.t >= h.least GROUP BY ALL),
+segments AS (
+  SELECT k.game_id, k.clip, k.a AS t_start, CASE WHEN k.b IS NULL THEN y.over ELSE coalesce(least(max(r.t) + 1.0, k.b), k.b) END AS t_end, CASE WHEN k.no = 0 THEN s.server END AS server,
+    CASE WHEN k.no = 0 THEN s.box END AS box, CASE WHEN k.no > 0 THEN 'serve not detected' WHEN s.ambiguous THEN 'serve ambiguous' ELSE '' END AS note
+  FROM broken k JOIN plays y USING (game_id, clip, ts) JOIN stretches_of s USING (game_id, clip, ts)
+  LEFT JOIN inner_rows r ON r.game_id = k.game_id AND r.clip = k.clip AND r.ts = k.ts AND r.act > r.act_play AND r.t > k.a AND r.t < k.b
+  GROUP BY k.game_id, k.clip, k.ts, k.a, k.no, k.b, y.over, s.server, s.box, s.ambiguous HAVING CASE WHEN k.b IS NULL THEN y.over ELSE coalesce(least(max(r.t) + 1.0, k.b), k.b) END - k.a >= 2.0)"""
+
+
+def ways(rallies: str, name: str) -> str:
+    """name: the rallies with the highest activity inside and the players' ways."""
+    step = lambda p: f"sqrt((x{p} - lag(x{p}) OVER w) ** 2 + (y{p} - lag(y{p}) OVER w) ** 2) AS s{p}"
+    return f"""{name}_rows AS (
+  SELECT r.game_id, r.clip, r.t_start, r.t_end, a.activity, {step(1)}, {step(2)} FROM {rallies} r JOIN active a ON a.game_id = r.game_id AND a.clip = r.clip AND a.t BETWEEN r.t_start AND r.t_end
+  WINDOW w AS (PARTITION BY r.game_id, r.clip, r.t_start, r.t_end ORDER BY a.frame)),
+{name} AS (
+  SELECT r.*, w.top, coalesce(w.way1, 0) AS way1, coalesce(w.way2, 0) AS way2, w.way1 AS known, p.act_play, p.min_play_act, p.relax_slow FROM {rallies} r
+  LEFT JOIN (SELECT game_id, clip, t_start, t_end, max(activity) AS top, coalesce(sum(s1), 0) AS way1, coalesce(sum(s2), 0) AS way2 FROM {name}_rows GROUP BY ALL) w USING (game_id, clip, t_start, t_end)
+  JOIN pace p USING (game_id, clip))"""
+
+
+_WIDE_Y = f"BETWEEN {5.44 - 0.6!r}::DOUBLE AND {5.44 + 1.6 + 0.6!r}::DOUBLE"
+_WIDE_BOX = f"CASE WHEN {{x}} BETWEEN -0.6 AND {1.6 + 0.6!r}::DOUBLE AND {{y}} {_WIDE_Y} THEN 'left' WHEN {{x}} BETWEEN {6.4 - 1.6 - 0.6!r}::DOUBLE AND {6.4 + 0.6!r}::DOUBLE AND {{y}} {_WIDE_Y} THEN 'right' END"
+
+
+def relaxed(s: str, o: str) -> str:
+    """Box of a relaxed serve of player s, where the other waits for it; else NULL."""
+    box = _WIDE_BOX.format(x="x" + s, y="y" + s)
+    return f"CASE WHEN (({box}) = 'left' AND x{o} > 3.5 OR ({box}) = 'right' AND x{o} < 2.9000000000000004) AND y{o} > 3.9400000000000004 THEN {box} END"
+
+
+INFERRED = ways("segments", "moved") + f""",
+idle AS (SELECT *, server IS NULL AND coalesce(coalesce(top, 0) < min_play_act OR t_end - t_start < 3.0 OR least(known, way2) < 2.5, TRUE) AS dropped FROM moved),
+tried AS (SELECT i.game_id, i.clip, i.t_start, i.t_end, i.min_play_act, a.* EXCLUDE (game_id, clip) FROM idle i JOIN active a ON a.game_id = i.game_id AND a.clip = i.clip
+  AND a.t BETWEEN i.t_start AND least(i.t_start + 12.0, i.t_end - 1.0) AND a.t <= i.t_end WHERE i.server IS NULL AND NOT i.dropped),
+upto AS (SELECT *, min(t) FILTER (WHERE activity > min_play_act) OVER (PARTITION BY game_id, clip, t_start, t_end) AS stop FROM tried),
+stances AS (SELECT *, CASE WHEN v1 < 4 THEN {relaxed("2", "1")} END AS two, CASE WHEN v2 < 4 THEN {relaxed("1", "2")} END AS one FROM upto WHERE stop IS NULL OR t <= stop),
+hits AS (SELECT game_id, clip, t_start, t_end, max(t) AS t, arg_max(CASE WHEN two IS NOT NULL THEN 'p2' ELSE 'p1' END, t) AS server, arg_max(coalesce(two, one), t) AS box FROM stances WHERE coalesce(two, one) IS NOT NULL GROUP BY ALL),
+inferred AS (
+  SELECT i.game_id, i.clip, coalesce(h.t, i.t_start) AS t_start, i.t_end, coalesce(i.server, h.server) AS server, coalesce(i.box, h.box) AS box,
+    CASE WHEN i.dropped THEN 'no serve detected and no two-player play' WHEN h.t IS NOT NULL THEN 'serve inferred' ELSE i.note END AS note, i.dropped FROM idle i LEFT JOIN hits h USING (game_id, clip, t_start, t_end))"""
+
+
+def split(rallies: str) -> str:
+    """parts: long rallies split at quiet moments, one accepted cut after the other."""
+    return f"""calm AS (SELECT *, max(activity) OVER (PARTITION BY game_id, clip ORDER BY CAST(round(t * 1000) AS BIGINT) RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS top FROM active JOIN pace USING (game_id, clip)),
+ready AS (SELECT *, CASE WHEN v1 <= relax_slow OR v1 IS NULL THEN {relaxed("1", "2")} END AS one, CASE WHEN v2 <= relax_slow OR v2 IS NULL THEN {relaxed("2", "1")} END AS two FROM calm WHERE top < act_play),
+quiet AS MATERIALIZED (
+  SELECT r.game_id, r.clip, r.t_start, r.t_end, q.t, CASE WHEN one IS NOT NULL THEN 'p1' ELSE 'p2' END AS server, coalesce(one, two) AS box FROM {rallies} r
+  JOIN ready q ON q.game_id = r.game_id AND q.clip = r.clip AND q.t BETWEEN r.t_start + 4.0 AND r.t_end - 3.0 WHERE r.t_end - r.t_start >= 16.0 AND coalesce(one, two) IS NOT NULL),
+taken AS (
+  SELECT game_id, clip, t_start, t_end, min(t) AS t, 1 AS no FROM quiet GROUP BY ALL
+  UNION ALL SELECT k.game_id, k.clip, k.t_start, k.t_end, min(q.t), k.no + 1 FROM taken k JOIN quiet q ON q.game_id = k.game_id AND q.clip = k.clip AND q.t_start = k.t_start AND q.t_end = k.t_end AND q.t - k.t >= 4.0 GROUP BY ALL),
+cut_at AS (SELECT k.*, q.server, q.box, lead(k.t) OVER (PARTITION BY k.game_id, k.clip, k.t_start, k.t_end ORDER BY k.t) AS next_t FROM taken k JOIN quiet q USING (game_id, clip, t_start, t_end, t)),
+parts AS (SELECT * FROM (
+  SELECT r.game_id, r.clip, r.t_start, coalesce(c.t - 0.5, r.t_end) AS t_end, r.server, r.box, r.note FROM {rallies} r LEFT JOIN cut_at c ON c.game_id = r.game_id AND c.clip = r.clip AND c.t_start = r.t_start AND c.t_end = r.t_end AND c.no = 1
+  UNION ALL SELECT game_id, clip, t, coalesce(next_t - 0.5, t_end), server, box, 'serve inferred (quiet moment)' FROM cut_at) WHERE t_end - t_start >= 2.0)"""
+
+
+REASON = "CASE WHEN t_end - t_start < 2.5 THEN 'too short' WHEN coalesce(top, 0) < 1.2 * act_play THEN 'never reached play' WHEN least(way1, way2) < 2.0 AND t_end - t_start < 4.0 THEN 'one player did not move' END"
+_CHAIN = (*_SERVE, CLUSTERS, SEGMENTS)
+_PART = "game_id, clip, t_start, t_end, server, box, note"
+
+
+def rec(*parts: str, select: str) -> str:
+    return q(*parts, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE |= {
+    "segment_rallies": rec(*_CHAIN, select=f"SELECT {_PART} FROM segments"),
+    "infer_missed_serves": rec(*_CHAIN, INFERRED, select=f"SELECT {_PART}, dropped FROM inferred"),
+    "dropped_segments": rec(*_CHAIN, ways("segments", "moved"), select=f"SELECT {_PART}, {REASON} AS reason FROM moved WHERE ({REASON}) IS NOT NULL"),
+    "split_long_rallies": rec(*_SERVE[:-1], RAL, "long AS (SELECT game_id, clip, t_start, t_end, server, box, coalesce(note, '') AS note FROM ral)", split("long"), select=f"SELECT {_PART} FROM parts"),
+    "detected_rallies": rec(*_CHAIN, INFERRED, "kept AS (SELECT * FROM inferred WHERE NOT dropped)", split("kept"), ways("parts", "seen_parts"), f"""good AS (
+  SELECT {_PART}, row_number() OVER (PARTITION BY game_id, clip ORDER BY t_start, t_end) AS rally FROM seen_parts WHERE ({REASON}) IS NULL),
+n AS (SELECT *, lead(server) OVER w AS ns, lead(box) OVER w AS nb, lead(rally) OVER w IS NULL AS is_last, t_start - lag(t_end) OVER w AS rest FROM good WINDOW w AS (PARTITION BY game_id, clip ORDER BY t_start)),
+k AS (SELECT *, CASE WHEN server IS NULL OR is_last OR ns IS NULL OR (ns = server AND nb IS NOT DISTINCT FROM box) THEN NULL ELSE ns END AS w0 FROM n),
+b AS (SELECT *, coalesce(count(*) FILTER (WHERE w0 = 'p1') OVER u, 0) AS a1, coalesce(count(*) FILTER (WHERE w0 = 'p2') OVER u, 0) AS a2 FROM k WINDOW u AS (PARTITION BY game_id, clip ORDER BY rally ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, CASE WHEN is_last AND server IS NOT NULL THEN (CASE WHEN a1 = 14 AND a2 < 14 THEN 'p1' WHEN a2 = 14 AND a1 < 14 THEN 'p2' END) ELSE w0 END AS winner FROM b)""",
+        select="""SELECT game_id, clip, round(t_start, 3) AS t_start, round(t_end, 3) AS t_end, server, box, concat_ws('; ', nullif(note, ''), nullif(CASE WHEN server IS NULL THEN 'no serve seen' WHEN winner IS NOT NULL THEN ''
+  WHEN is_last THEN 'last rally: winner unknown' WHEN ns = server AND nb IS NOT DISTINCT FROM box THEN 'let (same server, same box)' ELSE 'next serve not seen: winner unknown' END, '')) AS note, rally,
+  round(t_end - t_start, 3) AS duration, winner, a1 + CAST(coalesce(winner = 'p1', FALSE) AS BIGINT) AS score_p1, a2 + CAST(coalesce(winner = 'p2', FALSE) AS BIGINT) AS score_p2, round(rest, 3) AS rest_before FROM e"""),
+    "summary_fields": f"""SELECT g.game_id, g.clip, g.n_rallies, round(g.longest_rally_s, 6) AS longest_rally_s, count(p.player) AS players, max(p.points_won) FILTER (WHERE p.player = 'p1') AS won_p1,
+  max(p.points_won) FILTER (WHERE p.player = 'p2') AS won_p2 FROM ({ORACLE["game_summary"]}) g LEFT JOIN ({ORACLE["player_points"]}) p USING (game_id, clip) GROUP BY ALL""",
+    "p2_plain": q(POS, """long AS (
+  SELECT game_id, clip, player, frame, 'x' AS m, x AS v, 0.0 AS lo, 6.4::DOUBLE AS hi FROM newest UNION ALL SELECT game_id, clip, player, frame, 'y', y, 0.0, 9.75 FROM newest
+  UNION ALL SELECT game_id, clip, player, frame, 'speed', speed, 0.0, 1.7976931348623157e308::DOUBLE FROM newest),
+known AS (SELECT * REPLACE (CASE WHEN NOT isnan(v) THEN v END AS v) FROM long),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY game_id, clip, player, m ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY game_id, clip, player, m ORDER BY frame) THEN 0 ELSE 1 END AS new FROM known)),
+judged AS (SELECT *, CASE WHEN v < lo OR v > hi THEN 'range' WHEN v IS NOT NULL AND count(*) OVER (PARTITION BY game_id, clip, player, m, run) >= 8 THEN 'stuck' END AS fault FROM numbered)""",
+        select="""SELECT game_id, clip, player, frame, max(fault) FILTER (WHERE m = 'x') AS x_fault, max(fault) FILTER (WHERE m = 'y') AS y_fault, max(fault) FILTER (WHERE m = 'speed') AS speed_fault
+  FROM judged GROUP BY game_id, clip, player, frame HAVING count(fault) > 0"""),
+    "p4_periods": q(POS, """r AS (SELECT game_id, clip, player, CAST(floor(t * 2) AS BIGINT) AS k, count(*) AS n FROM newest
+  WHERE isfinite(t) AND NOT isnan(x) AND NOT isnan(y) AND NOT coalesce(interpolated, FALSE) GROUP BY ALL),
+e AS (SELECT game_id, clip, player, unnest(generate_series(min(k), max(k))) AS k FROM r GROUP BY game_id, clip, player)""",
+        select="SELECT e.game_id, e.clip, e.player, e.k AS period_no, coalesce(n, 0) AS n_readings, n IS NULL AS missing FROM e LEFT JOIN r USING (game_id, clip, player, k)"),
+}

@@ -189,7 +189,7 @@ def test_segments_of_many_clusters(spark):
 
 def test_interpolation_fills_the_first_rows_of_a_long_gap(spark):
     v = [None, 1.0, None, None, None, None, 6.0, None, 8.0, None]
-    df = frames(spark, v).withColumn("__n", F.row_number().over(track.by_source()))
+    df = track.held(frames(spark, v).withColumn("__n", F.row_number().over(track.by_source())), "v")
     got = [r["f"] for r in df.select("frame", track.interpolate("v", F.lit(2)).alias("f")).orderBy("frame").collect()]
     assert got == [None, 1.0, 2.0, 3.0, None, None, 6.0, 7.0, 8.0, None]
 
@@ -362,3 +362,47 @@ def test_running_score_stream(spark, tmp_path):
         q.option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("rally").collect()
     assert [(r["rally"], r["score_p1"], r["score_p2"]) for r in got] == [(0, 0, 1), (1, 0, 2), (2, 1, 2)]
+
+
+def test_folds_are_those_of_dealing_group_by_group():
+    rng = np.random.default_rng(0)
+    for sizes in (rng.integers(1, 30, 200).tolist(), [1000] + [1] * 700, [5], [7] * 12, rng.integers(1, 4, 50).tolist() + [500, 400]):
+        loads, counts = [0] * 5, {}
+        for n in sorted(sizes, reverse=True):
+            loads[loads.index(min(loads))] += n
+            counts[n] = counts.get(n, 0) + 1
+        dealt = learning.deal(counts)
+        got = [sum(n * (upto[k] - (upto[k - 1] if k else 0)) for n, upto in dealt) for k in range(5)]
+        assert got == loads and all(upto[-1] == counts[n] for n, upto in dealt)
+
+
+def test_lets_are_counted_by_one_predicate_and_listed_by_another(spark):
+    cols = "game_id string, clip int, rally int, t_start double, t_end double, duration double, server string, box string, winner string, score_p1 int, score_p2 int, note string, rest_before double"
+    rows = [("g", 0, i, float(i), i + 0.5, 0.5, "p1", "left", w, 0, 0, note, None) for i, (w, note) in enumerate([("p1", None), (None, "let"), (None, serves.LET), (None, "outlet"), ("p2", serves.LET)])]
+    got = metrics.game_summary(spark.createDataFrame(rows, cols)).first()
+    assert (got["n_lets"], got["n_unknown"], got["n_points"]) == (2, 2, 2)
+
+
+def test_review_by_user_and_from_both_sides(spark):
+    cols = "game_id string, clip int, rally int, duration double, winner string, note string, dist_p1 double, dist_p2 double, tshare_p1 double, tshare_p2 double"
+    #        rally, duration, winner, note, ways, shares
+    rows = [
+        (1, 9.0, "p1", None, 5.0, 90.0, 0.9, 0.1), (2, 30.0, "p1", "let", 6.0, 20.0, 0.5, 0.2), (3, 5.0, "p2", None, 50.0, 7.0, 0.1, 0.8),
+        (4, 6.0, "p2", None, 40.0, 8.0, 0.2, 0.9), (5, 7.0, "p2", None, 30.0, 9.0, 0.3, 0.4), (6, 8.0, "p1", None, None, 95.0, None, 0.3), (7, 1.0, None, "a let", 1.0, 1.0, 0.0, 0.0),
+    ]
+    df = spark.createDataFrame([(g, 0, *r) for g in ("mine", "both", "p2s") for r in rows], cols)
+    users = spark.createDataFrame([("mine", "p1"), ("both", None), ("p2s", "p2")], "game_id string, user_player string")
+    got = {g: {r["rally"]: (r["reason"], r["player"]) for r in asof.review(df, users).collect() if r["game_id"] == g} for g in ("mine", "both", "p2s")}
+    lost, won, ran = asof.LOST_RUNNING, asof.WON_AT_T, asof.MADE_TO_RUN
+    assert got["mine"] == {1: (won, "p1"), 2: (asof.LONGEST, None), 3: (lost, "p1"), 4: (lost, "p1"), 6: (ran, "p1"), 7: (asof.LET, None)}
+    assert got["both"] == {1: (won, "p1"), 2: (asof.LONGEST, None), 3: (lost, "p1"), 4: (lost, "p1"), 6: (lost, "p2"), 7: (asof.LET, None)}
+    assert got["p2s"] == {1: (lost, "p2"), 2: (asof.LONGEST, None), 3: (won, "p2"), 4: (won, "p2"), 6: (lost, "p2"), 7: (asof.LET, None)}
+
+
+def test_handedness_and_rate_of_frames(spark):
+    rows = [("g", 0, p, i, float(i), 1, x, 5.0, 1.0, 1.0, x, 5.0, 1.0) for p in ("p1", "p2") for i, x in enumerate([1.0, 1.5, 5.0, 2.0])]
+    df = spark.createDataFrame(rows, "game_id string, clip int, player string, frame bigint, t double, rally int, x double, y double, speed double, dist_t double, ox double, oy double, od double")
+    got = {r["player"]: r["forehand_side_share"] for r in metrics.movement(df, left_handed=("p2",)).collect()}
+    assert got == {"p1": 0.25, "p2": 0.75}
+    timed = spark.createDataFrame([("g", 0, i, i / 30, 3) for i in range(0, 30, 3)] + [("g", 0, 5, 0.0, 3)], "game_id string, clip int, frame bigint, t double, stride int")
+    assert signals.rate_of_frames(timed).first()["fps_eff"] == pytest.approx(10.0)
