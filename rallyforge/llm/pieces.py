@@ -202,8 +202,9 @@ def _start(letters: Column, before: Column, stop: Column) -> Column:
     """Where a piece starts that ends at `stop` and should share `want` tokens with the one that ends at `before`: in front of
     the tokens that no piece may start after, or behind them if it would be longer than `most`."""
     back, first = before - F.col("want"), stop - F.col("most")
-    none_before = F.length(F.regexp_extract(F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string"), f"({NO_CUT}*)\\z", 1))
-    none_after = F.length(F.regexp_extract(F.substring(letters, first, F.lit(8)).cast("string"), f"\\A({NO_CUT}*)", 1))
+    tail, head = F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string"), F.substring(letters, first, F.lit(8)).cast("string")
+    none_before = F.length(tail) - F.length(F.rtrim(tail, F.lit(NO_CUT)))
+    none_after = F.length(head) - F.length(F.ltrim(head, F.lit(NO_CUT)))
     wished = F.when(back > 0, back - none_before).otherwise(F.lit(0))
     return F.when(wished >= first, wished).otherwise(F.least(before, first + none_after))
 
