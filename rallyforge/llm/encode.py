@@ -41,8 +41,8 @@ LONGEST = 100
 TOGETHER = 64
 #: Above every rank (pairs are packed into 20 bits each); times the size of a tree it stays below 2**63 for any text.
 NONE = np.int64(1) << 21
-#: A space beside other white space (by the wider of the two common definitions) or at an end of the text.
-SPACE_BESIDE_SPACE = re.compile(r" \s|\s |\A | \Z").search
+#: Marks each space with no white space beside it and not at an end of the text (white space: what str.isspace says).
+SPACE_BETWEEN = re.compile(r" (?=\S)(?<=\S )").sub
 #: Texts that are encoded together.
 SLICE = 512
 
@@ -264,8 +264,8 @@ class Encoder:
     @staticmethod
     def units(text: str) -> list[str]:
         """Stretches of the text between which the pattern always cuts; their concatenation is the text."""
-        if "\0" not in text and not SPACE_BESIDE_SPACE(text):
-            return text.replace(" ", "\0 ").split("\0")
+        if "\0" not in text:
+            return SPACE_BETWEEN("\0 ", text).split("\0")
         words = text.split(" ")
         out = [words[0]]
         add = out.append

@@ -202,18 +202,15 @@ def _start(letters: Column, before: Column, stop: Column) -> Column:
     """Where a piece starts that ends at `stop` and should share `want` tokens with the one that ends at `before`: in front of
     the tokens that no piece may start after, or behind them if it would be longer than `most`."""
     back, first = before - F.col("want"), stop - F.col("most")
-    tail, head = F.substring(letters, F.greatest(F.lit(1), back - 7), F.least(back, F.lit(8))).cast("string"), F.substring(letters, first, F.lit(8)).cast("string")
-    none_before = F.length(tail) - F.length(F.rtrim(tail, F.lit(NO_CUT)))
-    none_after = F.length(head) - F.length(F.ltrim(head, F.lit(NO_CUT)))
-    wished = F.when(back > 0, back - none_before).otherwise(F.lit(0))
-    return F.when(wished >= first, wished).otherwise(F.least(before, first + none_after))
+    seen = F.least(back, F.lit(8))
+    tail, head = F.substring(letters, back - seen + 1, seen).cast("string"), F.substring(letters, first, F.lit(8)).cast("string")
+    wished = F.when(back > 0, back - seen + F.length(F.rtrim(tail, F.lit(NO_CUT)))).otherwise(F.lit(0))
+    return F.when(wished >= first, wished).otherwise(F.least(before, first + F.length(head) - F.length(F.ltrim(head, F.lit(NO_CUT)))))
 
 
 def _piece(data: Column, letters: Column, no: Column, before: Column, stop: Column) -> Column:
-    letter = F.substring(letters, stop, F.lit(1)).cast("string")
-    kind = F.when(stop == F.size("ends"), "end")
-    for c, name in NAMES.items():
-        kind = kind.when(letter == c, name)
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    kind = F.when(stop == F.size("ends"), "end").otherwise(F.element_at(names, F.substring(letters, stop, F.lit(1)).cast("string")))
 
     def made(start: Column) -> Column:
         a = F.coalesce(F.get("ends", start - 1), F.lit(0))
