@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
 from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
+from rallyforge.plans.derived import identity_tables
 from rallyforge.session import cut_lineage, lookup, own_folder, stored
 from rallyforge.sources import files
-from rallyforge.sources.tables import clean_positions, clean_rallies, game_strides, table
+from rallyforge.sources.tables import clean_positions, clean_rallies, game_strides, of_sources, table
 from rallyforge.streaming import live
 
 CLIP, WHO = signals.CLIP, metrics.WHO
@@ -409,12 +410,48 @@ def class_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectator_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Projection, filters and confidence of detections: who is kept, with what score and confidence."""
-    rows = _pos(spark, d).withColumn("prob_p1", F.col("conf")).withColumn("prob_p2", (1 - F.col("conf")) / 2).withColumn("prob_other", (1 - F.col("conf")) / 2 + F.when(F.col("feet_cut"), 0.2).otherwise(0.0))
+    """Detections joined with their identity probabilities: who is kept, with what score and confidence."""
+    pos = _pos(spark, d)
+    rows = pos.withColumn("det_id", F.col("frame") * 2 + F.when(F.col("player") == "p1", 0).otherwise(1)).filter(F.col("player").isin("p1", "p2"))
+    rows = rows.join(identity_tables(pos)["probs"], [*CLIP, "det_id"], "left")
     kept = rows.filter(identity.players_only() & identity.in_court_window())
     return kept.select(*WHO, "frame", F.round(identity.identity_score(), 6).alias("score"), F.round(identity.position_confidence(), 12).alias("pos_conf"))
 
 
+DET, SHOWN = [*CLIP, "det_id"], ["chest_s", "th_h", "th_v", "shorts_s", "d2", "d9", "c1"]
+
+
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Features of all detections as z-scores of their game, with tracklet and class, and their names."""
+    made = identity_tables(_pos(spark, d))
+    table_, by_hand, learned = features.feature_table(made["detections"], made["patches"], made["appearance"], made["cnn"], DET, n_c=4)
+    scored = features.z_scores(table_, by_hand + learned, tuple(by_hand), ("game_id",))
+    return features.with_labels(scored, made["tracklets"], identity.class_of(made["labels"], CLIP), DET, [*CLIP, "tracklet"]), by_hand + learned
+
+
+def identity_features(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _features(spark, d)
+    return rounded(rows.select(*DET, "tracklet", "class", *SHOWN), *SHOWN, digits=6)
+
+
+def identity_model(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the identity model on tracklets that it has not seen, for each detection and each tracklet."""
+    rows, names = _features(spark, d)
+    known = rows.filter(F.col("class") >= 0).select(
+        *CLIP, "tracklet", F.col("class").cast("double").alias("label"), learning.to_vector(F.array(*(F.coalesce(n, F.lit(0.0)) for n in names))).alias("features")
+    )
+    return learning.accuracy(learning.cross_validate(cut_lineage(known), [*CLIP, "tracklet"]), [*CLIP, "tracklet"])
+
+
+def patch_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Colours around the chest in pictures of 8 by 6 pixels that are made from the detections' numbers."""
+    made = identity_tables(_pos(spark, d))["detections"]
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.chr((F.col("det_id") * 7 + i * (i % 3 + 5)) % 120).cast("binary"))
+    rows = made.withColumn("pixels", F.aggregate(pixel, F.lit(b""), lambda a, x: F.concat(a, x)))
+    rows = rows.select(*DET, "pixels", F.lit(8).alias("height"), F.lit(6).alias("width"), F.lit(1.0).alias("radius"), F.when(F.col("det_id") % 10 != 0, F.col("det_id") % 6).cast("double").alias("x"), F.lit(4.0).alias("y"))
+    return features.patch_colours(rows, DET, {"chest": ("x", "y")})
+
+
 # -- vectors
 
 
@@ -520,10 +557,14 @@ def _drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = table(spark, d, name).schema
     # as a pattern: a stream reads a folder or what a pattern finds, and the table may be a single file
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/{name}.parque[t]")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -542,14 +583,26 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return made.select("game_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "events", F.round("duration", 3).alias("duration"))
 
 
+def stream_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions as a stream of versions; the newest of each key in what was written."""
+    rows = of_sources(_stream(spark, d, "positions")).select(*WHO, "frame", "x", "speed", F.col("ingested_at").cast("timestamp").alias("ingested_at"))
+    return live.newest_of(_drain(live.versions(rows))).select(*WHO, "frame", "x", "speed")
+
+
+def stream_score(spark: SparkSession, d: str) -> DataFrame:
+    """The running score of rallies as they come, but for the last rally of a clip, which waits for its end."""
+    rows = _stream(spark, d, "rallies").select(*CLIP, "rally", "server", "box", F.timestamp_seconds("t_start").alias("ts"))
+    return _drain(live.running_score(rows)).filter("NOT final").drop("final")
+
+
 QUERIES = (
     p2_found, p2_flags, p2_plain, p4_found, p4_grid, p4_periods, court_zone_share, court_points, foot_point_projection, lens_undistort, lens_round_trip, homography_project, court_to_pixels, court_lines,
     activity_signal, sample_rate, frame_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
     detected_rallies, segment_rallies, dropped_segments, infer_missed_serves, split_long_rallies, score_progress, rest_before, rally_interval_join, rally_path_length, player_movement,
     heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
     gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
-    build_tracklets, class_membership, spectator_filter, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
-    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, summary_fields, stream_activity, stream_sessions,
+    build_tracklets, class_membership, spectator_filter, identity_features, identity_model, patch_colours, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
+    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, summary_fields, stream_activity, stream_sessions, stream_versions, stream_score,
 )
 
 

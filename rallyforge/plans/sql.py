@@ -270,10 +270,6 @@ d AS (SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0
   UNION ALL SELECT g.i, list_transform(load, lambda v, j: v + CASE WHEN j = list_position(load, list_min(load)) THEN g.n ELSE 0 END),
     list_transform(k, lambda v, j: v + CASE WHEN j = list_position(load, list_min(load)) THEN 1 ELSE 0 END) FROM d JOIN g ON g.i = d.i + 1)
 SELECT CAST(f AS INT) AS fold, load[f + 1] AS links, k[f + 1] AS tracklets FROM (SELECT * FROM d ORDER BY i DESC LIMIT 1), (SELECT unnest([0, 1, 2, 3, 4]) AS f)""",
-    "spectator_filter": q(POS, "p AS (SELECT *, (1 - conf) / 2 AS prob_p2, (1 - conf) / 2 + CASE WHEN feet_cut THEN 0.2 ELSE 0.0 END AS prob_other FROM pos)",
-        select="""SELECT game_id, clip, player, frame, round(conf - prob_p2, 6) AS score,
-  round(conf * CASE WHEN feet_cut THEN 0.5 ELSE 1.0 END * CASE WHEN ankle_vis THEN 1.0 ELSE 0.8 END * greatest(0.55, least(1.0, 1 - (y - 7.0) / 5.0)), 12) AS pos_conf
-  FROM p WHERE NOT coalesce(prob_other > 0.5, FALSE) AND x > -0.45 AND x < 6.4 + 0.45 AND y > -0.45 AND y < 9.75 + 0.8"""),
 }
 
 _SCORED = """det AS (
@@ -500,3 +496,33 @@ judged AS (SELECT *, CASE WHEN v < lo OR v > hi THEN 'range' WHEN v IS NOT NULL
 e AS (SELECT game_id, clip, player, unnest(generate_series(min(k), max(k))) AS k FROM r GROUP BY game_id, clip, player)""",
         select="SELECT e.game_id, e.clip, e.player, e.k AS period_no, coalesce(n, 0) AS n_readings, n IS NULL AS missing FROM e LEFT JOIN r USING (game_id, clip, player, k)"),
 }
+ORACLE |= {
+    "stream_versions": q(POS, select="SELECT game_id, clip, player, frame, x, speed FROM newest"),
+    "stream_score": q(RAL, """n AS (SELECT *, lead(server) OVER w AS ns, lead(box) OVER w AS nb, lead(rally) OVER w AS next_rally FROM ral WINDOW w AS (PARTITION BY game_id, clip ORDER BY rally)),
+k AS (SELECT game_id, clip, rally, CASE WHEN ns <> server OR (ns = server AND nb IS DISTINCT FROM box) THEN ns END AS winner FROM n WHERE next_rally IS NOT NULL)""",
+        select="""SELECT game_id, clip, rally, winner, CAST(count(*) FILTER (WHERE winner = 'p1') OVER w AS INT) AS score_p1, CAST(count(*) FILTER (WHERE winner = 'p2') OVER w AS INT) AS score_p2
+  FROM k WINDOW w AS (PARTITION BY game_id, clip ORDER BY rally ROWS UNBOUNDED PRECEDING)"""),
+}
+
+_DETECTED = """det_rows AS (
+  SELECT *, frame * 2 + side AS det_id, frame * 7 + clip * 3 + side * 5 AS k FROM (SELECT *, CASE player WHEN 'p1' THEN 0 ELSE 1 END AS side FROM pos WHERE player IN ('p1', 'p2')))"""
+_D = ", ".join(f"CASE WHEN k % 8 <> 0 THEN (k * {3 + i}) % 83 / 83.0 END AS d{i}" for i in (2, 9))
+ORACLE |= {
+    "spectator_filter": q(POS, _DETECTED, """p AS (SELECT *, CASE WHEN k % 10 <> 0 THEN (k * 29) % 101 / 101.0 END AS prob_p1, CASE WHEN k % 10 <> 0 THEN (k * 37) % 59 / 118.0 END AS prob_p2,
+  CASE WHEN k % 10 <> 0 THEN (k * 31) % 53 / 90.0 END AS prob_other FROM det_rows)""",
+        select="""SELECT game_id, clip, player, frame, round(prob_p1 - prob_p2, 6) AS score,
+  round(conf * CASE WHEN feet_cut THEN 0.5 ELSE 1.0 END * CASE WHEN ankle_vis THEN 1.0 ELSE 0.8 END * greatest(0.55, least(1.0, 1 - (y - 7.0) / 5.0)), 12) AS pos_conf
+  FROM p WHERE NOT coalesce(prob_other > 0.5, FALSE) AND x > -0.45 AND x < 6.4 + 0.45 AND y > -0.45 AND y < 9.75 + 0.8"""),
+    "identity_features": q(POS, _DETECTED, f"""raw AS (
+  SELECT game_id, clip, det_id, k, side, frame, CASE WHEN k % 9 <> 0 THEN k * 5 % 97 + (1 - side) * 60 END AS chest_s,
+    CASE WHEN k % 9 <> 0 THEN [CASE WHEN k % 4 <> 0 THEN k * 3 % 180 END, CASE WHEN k % 6 <> 0 THEN k * 17 % 180 END] END AS hs, CASE WHEN k % 9 <> 0 THEN [CASE WHEN k % 4 <> 0 THEN k * 5 % 89 END, CASE WHEN k % 6 <> 0 THEN k * 19 % 89 END] END AS vs,
+    CASE WHEN k % 8 <> 0 THEN k * 23 % 67 END AS shorts_s, {_D}, CASE WHEN k % 5 <> 0 THEN k * 11 % 53 / 53.0 END AS c1, CASE WHEN k % 7 <> 0 THEN frame // 40 * 2 + side END AS tracklet FROM det_rows),
+f AS (SELECT * REPLACE (chest_s::DOUBLE AS chest_s, shorts_s::DOUBLE AS shorts_s), list_avg(hs)::DOUBLE AS th_h, list_avg(vs)::DOUBLE AS th_v FROM raw),
+m AS (SELECT *, {", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY game_id)) AS f_{c}" for c in ("chest_s", "th_h", "th_v", "shorts_s", "d2", "d9"))}, c1 AS f_c1 FROM f)""",
+        select="SELECT game_id, clip, det_id, tracklet, CASE WHEN tracklet IS NULL OR tracklet % 3 = 2 THEN -1 WHEN tracklet % 5 = 0 THEN 2 WHEN tracklet % 2 = 0 THEN 1 ELSE 0 END AS class, "
+        + ", ".join(f"round((f_{c} - avg(f_{c}) OVER g) / (stddev_samp(f_{c}) OVER g + 1e-9), 6) AS {c}" for c in ("chest_s", "th_h", "th_v", "shorts_s", "d2", "d9", "c1")) + " FROM m WINDOW g AS (PARTITION BY game_id)"),
+    "patch_colours": q(POS, _DETECTED, """cells AS (SELECT game_id, clip, det_id, r.i * 18 + c.i * 3 AS byte_no FROM det_rows, (SELECT unnest([3, 4, 5]) AS i) r, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) c
+  WHERE det_id % 10 <> 0 AND abs(c.i - det_id % 6) <= 1),
+v AS (SELECT game_id, clip, det_id, """ + ", ".join(f"median((det_id * 7 + (byte_no + {j}) * ((byte_no + {j}) % 3 + 5)) % 120)::DOUBLE AS chest_{c}" for j, c in enumerate("hsv")) + " FROM cells GROUP BY ALL)",
+        select="SELECT game_id, clip, det_id, chest_h, chest_s, chest_v FROM det_rows LEFT JOIN v USING (game_id, clip, det_id)"),
+}

@@ -406,3 +406,37 @@ def test_handedness_and_rate_of_frames(spark):
     assert got == {"p1": 0.25, "p2": 0.75}
     timed = spark.createDataFrame([("g", 0, i, i / 30, 3) for i in range(0, 30, 3)] + [("g", 0, 5, 0.0, 3)], "game_id string, clip int, frame bigint, t double, stride int")
     assert signals.rate_of_frames(timed).first()["fps_eff"] == pytest.approx(10.0)
+
+
+# -- colours of pictures
+
+
+def test_colours_of_regions_and_bodies():
+    picture = np.zeros((40, 20, 3), np.uint8)
+    picture[:20] = (30, 100, 200)
+    picture[20:] = (90, 60, 50)
+    sure, unsure = np.array([[8.0, 10.0, 0.9], [12.0, 10.0, 0.9]]), np.array([[8.0, 10.0, 0.1], [12.0, 10.0, 0.2]])
+    hips, knees = np.array([[9.0, 20.0, 0.9], [11.0, 20.0, 0.9]]), np.array([[9.0, 32.0, 0.8], [11.0, 32.0, 0.1]])
+    box = (0.0, 0.0, 20.0, 40.0)
+    assert features.shorts_colour(picture, box, hips, knees) == [90, 60, 50]
+    assert features.shorts_colour(picture, (0.0, 0.0, 20.0, 30.0), hips * [1, 1, 0.1], knees) == [30, 100, 200]  # rows 13 to 20 of the box
+    assert all(math.isnan(v) for v in features.shorts_colour(picture, (0.0, 0.0, 3.0, 3.0), unsure, unsure))
+    d = features.descriptor(picture, box, sure, hips, knees)
+    assert len(d) == 31 and d[28:] == [200, 60, 50] and sum(d[:12]) == pytest.approx(1) and sum(d[12:20]) == pytest.approx(1)
+    assert d[2] == pytest.approx(10 * 100 / (10 * 100 + 12 * 60)) and features.descriptor(picture, (0.0, 0.0, 3.0, 40.0), sure, hips, knees) is None
+    whole = features.descriptor(picture, box, unsure, unsure, unsure)  # 20 % to 70 % of the box, its middle as the waist
+    assert whole[28:] == pytest.approx([np.mean([200] * 10), 60 * 8 / 10 + 100 * 2 / 10, 50 * 8 / 10 + 200 * 2 / 10])
+    assert features.patch_colour(picture, 10, 5, 2) == [30, 100, 200] and all(math.isnan(v) for v in features.patch_colour(picture, 30, 5, 2))
+
+
+def test_feature_table_keeps_every_detection(spark):
+    key = ["game_id", "det_id"]
+    det = spark.createDataFrame([("g", 1), ("g", 2), ("h", 1)], "game_id string, det_id bigint")
+    patches = spark.createDataFrame([("g", 1, 1.0, 2.0, 3.0, None, 4.0, 5.0, 6.0, 7.0, 9.0)], "game_id string, det_id bigint, chest_h double, chest_s double, chest_v double, lth_h double, rth_h double, lth_s double, rth_s double, lth_v double, rth_v double")
+    app = spark.createDataFrame([("h", 1, [0.5, 0.25], 1.0, 2.0, 3.0)], "game_id string, det_id bigint, d array<double>, shirt_v double, shorts_s double, shorts_v double")
+    cnn = spark.createDataFrame([("g", 2, [0.1, 0.2])], "game_id string, det_id bigint, embedding array<double>")
+    made, by_hand, learned = features.feature_table(det, patches, app, cnn, key, 2, 2)
+    got = {(r["game_id"], r["det_id"]): r for r in made.collect()}
+    assert len(got) == 3 and got["g", 1]["th_h"] == 4.0 and got["g", 1]["th_s"] == 5.5 and got["h", 1]["d1"] == 0.25 and got["g", 2]["c0"] == 0.1 and got["h", 1]["c0"] is None
+    scored = {(r["game_id"], r["det_id"]): r for r in features.z_scores(made, by_hand + learned, tuple(by_hand), ("game_id",)).collect()}
+    assert scored["g", 2]["th_s"] == pytest.approx(0) and scored["h", 1]["d0"] is None  # the deviation of one row is not known
