@@ -54,6 +54,11 @@ SELECT game_id, min(v) AS tracklet_a, u AS tracklet_b FROM reach GROUP BY game_i
 """
 
 ORACLE = {
+    # what the checks must find: nothing wrong, on as many rows as the tables have
+    "p3_checks": "SELECT count(*) AS records, CAST(0 AS BIGINT) AS parted_tracklets, TRUE AS near FROM (SELECT DISTINCT game_id, det_id FROM tracklets_tmp WHERE det_id IS NOT NULL)",
+    "p5_checks": _P5.replace("SELECT level, game_id, player, metric, q, n, v AS value, CAST(0 AS BIGINT) AS rank_error", "SELECT player, metric, q, n, TRUE AS within") + " AND level = 'player'",
+    "p7_checks": "SELECT DISTINCT lower(trim(source, chr(32) || chr(9) || chr(10) || chr(13))) AS source, FALSE AS over_repeated, TRUE AS in_share FROM mix_targets WHERE source IS NOT NULL",
+    "p8_checks": "SELECT DISTINCT limit_name, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS unfinished FROM piece_limits",
     "p3_found": _P3_FOUND,
     "p5_percentiles": _P5,
     "p1_found": _P1 + "SELECT game_id, clip, player, frame_first, frame_last FROM runs WHERE n_rows >= 4",
