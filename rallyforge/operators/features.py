@@ -78,10 +78,11 @@ def axis_scores(rows: DataFrame, vector: str, axis: np.ndarray, rounds: int = 20
     return placed.withColumn("score", (F.col("__p") - (c0 + c1) / 2) / width * 2).drop("__p")
 
 
-def pair_quality(scored: DataFrame, keys: list[str], id_: str = "vec_id") -> DataFrame:
-    """How well the score tells the two of a frame apart: pairs, quartiles of the gap, share with opposite signs."""
-    two = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("score", id_).alias("a"), F.max_by("score", id_).alias("b")).filter("n = 2")
-    return two.agg(
+def pair_quality(scored: DataFrame, keys: list[str], id_: str = "vec_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """How well the score tells the two of a frame (keys) apart, for each `by`: pairs, quantiles of the gap, share with opposite
+    signs."""
+    two = scored.groupBy(*{k: None for k in (*by, *keys)}).agg(F.count("*").alias("n"), F.min_by("score", id_).alias("a"), F.max_by("score", id_).alias("b")).filter("n = 2")
+    return two.groupBy(*by).agg(
         F.count("*").alias("pairs"), F.percentile(F.abs(F.col("a") - F.col("b")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("gaps"),
         F.avg((F.signum("a") * F.signum("b") < 0).cast("int")).alias("opposite_share"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rallyforge.functions import camera, court
 from rallyforge.functions import text as text_fn
-from rallyforge.operators import asof, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
+from rallyforge.operators import asof, charts, features, identity, islands, learning, metrics, rallies, regular_grid, serves, signals, spikes, track, vision
 from rallyforge.plans.derived import identity_tables
 from rallyforge.session import cut_lineage, lookup, own_folder, stored
 from rallyforge.sources import files
@@ -326,6 +326,27 @@ def rally_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# -- charts
+
+
+def smoothed_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(charts.smoothed_heatmap(heatmap_bins(spark, d), ["game_id", "player"]), "percent", digits=8)
+
+
+def t_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return charts.t_timeline(_pos(spark, d), _rallies(spark, d))
+
+
+def trajectories(spark: SparkSession, d: str) -> DataFrame:
+    made = charts.trajectories(_pos(spark, d), _rallies(spark, d))
+    return made.select(*WHO, "rally", "row", "column", F.size("path").cast("bigint").alias("points"), F.col("at_serve.x").alias("x"), F.col("at_serve.y").alias("y"))
+
+
+def comparison(spark: SparkSession, d: str) -> DataFrame:
+    made = player_movement(spark, d)  # as shown, so differences are those of the shown numbers
+    return rounded(charts.comparison(made, ["t_share_1_5m", "mean_dist_t", "distance_rally_m", "mean_speed"]), "p1", "p2", "difference", digits=5)
+
+
 # -- tracks
 
 
@@ -466,6 +487,20 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.round(features.dot("u", "u"), 6).alias("norm2"), F.round(F.get("u", F.lit(0)), 5).alias("first"))
 
 
+def pair_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How well the side of the court tells the two players of a frame apart, by clip."""
+    made = features.pair_quality(_scored(spark, d), ["frame"], "det_id", tuple(CLIP))
+    gap = lambda i: F.round(F.get("gaps", F.lit(i)), 6)
+    return made.select(*CLIP, "pairs", gap(0).alias("gap_10"), gap(1).alias("gap_50"), gap(2).alias("gap_90"), F.round("opposite_share", 6).alias("opposite_share"))
+
+
+def frame_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame of an overlay with the detections that belong to it."""
+    grid = track.every_frame(_pos(spark, d)).groupBy(*CLIP, "frame").agg(F.count("x").alias("tracked"))
+    found = identity_tables(_pos(spark, d))["detections"].groupBy(*CLIP, "frame").agg(F.count("*").alias("detections"), F.min("det_id").alias("first"))
+    return grid.join(found, [*CLIP, "frame"], "left").select(*CLIP, "frame", "tracked", F.coalesce("detections", F.lit(0)).alias("detections"), "first")
+
+
 def separating_axis(spark: SparkSession, d: str) -> DataFrame:
     """Two means along the axis that separates the vectors of a pair."""
     rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL").withColumn("grp", F.floor(F.col("vec_id") / 2))
@@ -533,6 +568,10 @@ def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
     return files.sampled_by_game(rows, table(spark, d, "games")).select(*WHO, "frame", "t")
 
 
+def background_frames(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(files.sample_frames(table(spark, d, "games")), "t")
+
+
 def summary_documents(spark: SparkSession, d: str) -> DataFrame:
     """One JSON document per clip: its record and its players'."""
     return files.summary_json(game_summary(spark, d), player_points(spark, d), CLIP)
@@ -600,9 +639,9 @@ QUERIES = (
     activity_signal, sample_rate, frame_rate, pace_percentiles, both_players_still, gradient_speed, trail_window, hysteresis_segments, serve_events, serve_clusters, ambiguous_clusters,
     detected_rallies, segment_rallies, dropped_segments, infer_missed_serves, split_long_rallies, score_progress, rest_before, rally_interval_join, rally_path_length, player_movement,
     heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
-    gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
-    build_tracklets, class_membership, spectator_filter, identity_features, identity_model, patch_colours, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
-    background_median, traced_line, robust_lines, region_filter, sampled_frames, summary_documents, summary_fields, stream_activity, stream_sessions, stream_versions, stream_score,
+    smoothed_heatmap, t_timeline, trajectories, comparison, gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
+    build_tracklets, class_membership, spectator_filter, identity_features, identity_model, patch_colours, pair_quality, frame_detections, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
+    background_median, traced_line, robust_lines, region_filter, sampled_frames, background_frames, summary_documents, summary_fields, stream_activity, stream_sessions, stream_versions, stream_score,
 )
 
 

@@ -526,3 +526,34 @@ m AS (SELECT *, {", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY game_i
 v AS (SELECT game_id, clip, det_id, """ + ", ".join(f"median((det_id * 7 + (byte_no + {j}) * ((byte_no + {j}) % 3 + 5)) % 120)::DOUBLE AS chest_{c}" for j, c in enumerate("hsv")) + " FROM cells GROUP BY ALL)",
         select="SELECT game_id, clip, det_id, chest_h, chest_s, chest_v FROM det_rows LEFT JOIN v USING (game_id, clip, det_id)"),
 }
+
+
+def _blur(axis: str, size: int) -> str:
+    """Weights of a Gaussian blur (deviation 1.2) from each cell to each other, mirrored at the ends."""
+    return f"""blur_{axis} AS (SELECT CASE WHEN m < {size} THEN m ELSE {2 * size - 1} - m END AS a, b, sum(w) AS w FROM (
+  SELECT (b + o + {2 * size}) % {2 * size} AS m, b, exp(-0.5 * (o / 1.2) ** 2) / (SELECT sum(exp(-0.5 * (i / 1.2) ** 2)) FROM range(-5, 6) r(i)) AS w FROM range({size}) c(b), range(-5, 6) k(o)) GROUP BY ALL)"""
+
+
+_SHOWN = ("t_share_1_5m", "mean_dist_t", "distance_rally_m", "mean_speed")
+ORACLE |= {
+    "smoothed_heatmap": f"WITH bins AS ({ORACLE['heatmap_bins']}),\n" + _blur("y", 39) + ",\n" + _blur("x", 26) + """,
+h AS (SELECT game_id, player, y.b AS yb, x.b AS xb, sum(n * y.w * x.w) AS v FROM bins JOIN blur_y y ON y.a = bins.yb JOIN blur_x x ON x.a = bins.xb GROUP BY ALL)
+SELECT game_id, player, yb, xb, round(v / sum(v) OVER (PARTITION BY game_id, player) * 100, 8) AS percent FROM h""",
+    "t_timeline": q(POS, RAL, "s AS (SELECT game_id, clip, min(t_start) - 5 AS a, max(t_end) + 5 AS b FROM ral GROUP BY ALL)",
+        select="""SELECT p.game_id, p.clip, p.player, p.frame, p.t, p.dist_t, CAST(k AS INT) AS panel, r.rally FROM pos p JOIN s USING (game_id, clip) JOIN range(3) g(k) ON p.t >= a + (b - a) * k / 3 AND p.t <= a + (b - a) * (k + 1) / 3
+  LEFT JOIN ral r ON r.game_id = p.game_id AND r.clip = p.clip AND p.t BETWEEN r.t_start AND r.t_end"""),
+    "trajectories": q(POS, RAL, "r AS (SELECT *, row_number() OVER (PARTITION BY game_id, clip ORDER BY rally) - 1 AS i FROM ral)",
+        select="""SELECT p.game_id, p.clip, p.player, r.rally, i // 6 AS row, i % 6 AS column, count(*) AS points, first(p.x ORDER BY p.frame) AS x, first(p.y ORDER BY p.frame) AS y
+  FROM pos p JOIN r ON r.game_id = p.game_id AND r.clip = p.clip AND p.t BETWEEN r.t_start AND r.t_end GROUP BY p.game_id, p.clip, p.player, r.rally, i"""),
+    "comparison": f"WITH m AS ({ORACLE['player_movement']})\n" + " UNION ALL ".join(
+        f"SELECT game_id, clip, '{c}' AS metric, max({c}) FILTER (WHERE player = 'p1') AS p1, max({c}) FILTER (WHERE player = 'p2') AS p2, round(max({c}) FILTER (WHERE player = 'p1') - max({c}) FILTER (WHERE player = 'p2'), 5) AS difference FROM m GROUP BY ALL"
+        for c in _SHOWN),
+    "pair_quality": q(POS, _SCORED, "two AS (SELECT game_id, clip, frame, min(score) FILTER (WHERE det_id = 1) AS a, min(score) FILTER (WHERE det_id = 2) AS b FROM det GROUP BY ALL HAVING count(*) = 2)",
+        select="SELECT game_id, clip, count(*) AS pairs, " + ", ".join(f"round(quantile_cont(abs(a - b), {v / 100}), 6) AS gap_{v}" for v in (10, 50, 90)) + ", round(avg(CAST(sign(a) * sign(b) < 0 AS INT)), 6) AS opposite_share FROM two GROUP BY game_id, clip"),
+    "frame_detections": f"WITH o AS ({ORACLE['overlay_tracks']}),\n" + POS + ",\n" + _DETECTED + """,
+g AS (SELECT game_id, clip, frame, count(x) AS tracked FROM o GROUP BY ALL), f AS (SELECT game_id, clip, frame, count(*) AS detections, min(det_id) AS first FROM det_rows GROUP BY ALL)
+SELECT game_id, clip, frame, tracked, coalesce(detections, 0) AS detections, first FROM g LEFT JOIN f USING (game_id, clip, frame)""",
+    "background_frames": """WITH g AS (SELECT DISTINCT ON (game_id) game_id, fps, coalesce(CASE WHEN NOT isnan(t_start) THEN t_start END, 0) + 10 AS a, CASE WHEN NOT isnan(t_end) THEN t_end END - 10 AS b FROM games WHERE game_id IS NOT NULL),
+s AS (SELECT game_id, fps, CAST(i AS INT) AS sample, a + (b - a) * i / 59 AS t FROM g, range(60) r(i) WHERE fps IS NOT NULL AND NOT isnan(fps) AND b IS NOT NULL)
+SELECT game_id, sample, round(t, 6) AS t, CAST(floor(t * fps) AS BIGINT) AS frame FROM s""",
+}

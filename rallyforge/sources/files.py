@@ -57,6 +57,56 @@ def pictures(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """Rows of numpy files: path, row (from 0), values. A file is read whole, where it is found."""
+
+    def rows(parts):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for part in parts:
+            for name, content in zip(part["path"], part["content"]):
+                made = np.load(io.BytesIO(content), allow_pickle=False)
+                made = made.reshape(len(made), -1).astype(float)
+                yield pd.DataFrame({"path": name, "row": range(len(made)), "values": list(made)})
+
+    return pictures(spark, path, pattern).select("path", "content").mapInPandas(rows, "path string, row bigint, values array<double>")
+
+
+def write_arrays(df: DataFrame, folder: str, key: str, values: str) -> DataFrame:
+    """Array columns of one length to numpy files, two for each partition: <no>.ids.npy and <no>.values.npy, in a folder that all
+    executors can write to. Lazy, as a read is: file names and rows come back, and collecting them does the writing."""
+
+    def write(parts):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        kept = [p for p in parts if len(p)]
+        if kept:
+            no = TaskContext.get().partitionId()
+            os.makedirs(folder, exist_ok=True)
+            ids, rows = np.concatenate([p[key].to_numpy() for p in kept]), np.concatenate([np.stack(p[values].to_list()) for p in kept])
+            for kind, data in (("ids", ids), ("values", rows)):
+                unfinished = f"{folder}/.{no:05d}.{kind}.{TaskContext.get().taskAttemptId()}.npy"
+                np.save(unfinished, data)
+                os.replace(unfinished, f"{folder}/{no:05d}.{kind}.npy")  # a repeated task writes the same file
+            yield pd.DataFrame({"file": [f"{no:05d}"], "rows": [len(ids)]})
+
+    return df.select(key, values).mapInPandas(write, "file string, rows bigint")
+
+
+def sample_frames(games: DataFrame, n: int = 60, margin_s: float = 10.0) -> DataFrame:
+    """game_id, sample, t, frame: n times spread evenly over a game less a margin at both ends, for a background picture. A game
+    without start begins at 0; without end or fps it has none."""
+    own = nan_to_null(games.select("game_id", "fps", "t_start", "t_end")).filter("game_id IS NOT NULL AND fps IS NOT NULL AND t_end IS NOT NULL").dropDuplicates(["game_id"])
+    a, b = F.coalesce("t_start", F.lit(0.0)) + margin_s, F.col("t_end") - margin_s
+    rows = own.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", a + (b - a) * F.col("sample") / max(1, n - 1))
+    return rows.select("game_id", "sample", "t", F.floor(F.col("t") * F.col("fps")).alias("frame"))
+
+
 def sampled(frames: DataFrame, fps: float | Column, stride: int | Column, t_start: float | Column, t_end: float | Column | None) -> DataFrame:
     """Every stride-th frame of [t_start, t_end] (no end: to the last frame), with its time."""
     first, last = (F.lit(t_start) * F.lit(fps)).cast("bigint"), (F.lit(t_end) * F.lit(fps)).cast("bigint")
