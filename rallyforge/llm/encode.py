@@ -8,8 +8,9 @@ many at a time (one numpy step does the next merge of all of them), long ones by
 piece's bytes: a text with hardly a space is no special case.
 
 Scale: no shuffle; each Arrow batch is encoded where it is read. Words are remembered in a table of bounded size for
-each Python worker, so a frequent word costs one lookup. The vocabulary file is read by each worker from its path
-(a parameter); nothing about the corpus is gathered anywhere.
+each Python worker, so a frequent word costs one lookup. The vocabulary file is read by each worker from its path (a
+parameter), or, where an executor's machine does not have it, from the copy that the driver has sent along; nothing about the
+corpus is gathered anywhere.
 
 Defined results: NULL, empty text: an empty list. Names of special tokens in a text are ordinary text. Equal texts get
 equal ids.
@@ -282,12 +283,22 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(path: str = BYTE_BPE_50K) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    return Encoder(path)
+    from pyspark import SparkFiles
+
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def sent_along(df: DataFrame, path: str) -> DataFrame:
+    """df as it is; on a cluster, executors can get the driver's copy of the vocabulary from now on."""
+    sc = df.sparkSession.sparkContext
+    if not sc.master.startswith("local") and os.path.exists(path) and not any(f.endswith("/" + os.path.basename(path)) for f in sc.listFiles):
+        sc.addFile(path)
+    return df
 
 
 def encode_texts(documents: DataFrame, path: str = BYTE_BPE_50K, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The kept columns and ids, an array of integers; ids is never NULL."""
-    rows = documents.select(*keep, F.col(text).alias("__text"))
+    rows = sent_along(documents, path).select(*keep, F.col(text).alias("__text"))
     schema = StructType([*rows.select(*keep).schema.fields, StructField(ids, ArrayType(IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

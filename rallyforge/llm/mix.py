@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder
+from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder, sent_along
 from rallyforge.session import cut_lineage
 
 BLOCK, BUCKET_ROWS, STRETCH, MOST_TARGETS, MOST_SLOTS = 1_024, 20_000, 1_000, 10_000, 100_000
@@ -48,7 +48,7 @@ def source_name(c: str | Column) -> Column:
 
 def token_sizes(documents: DataFrame, path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """keep..., n_tokens of each text; NULL and empty texts have 0."""
-    rows = documents.select(*keep, F.col("text").alias("__text"))
+    rows = sent_along(documents, path).select(*keep, F.col("text").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder
+from rallyforge.llm.encode import BYTE_BPE_50K, SLICE, encoder, sent_along
 
 #: Letters of the shape, strongest boundary first: paragraph, line, sentence, clause, word, character, before a mark, none.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, MARK, NO_CUT = "PLSCWcmx"
@@ -140,7 +140,7 @@ def running(sizes: Column) -> Column:
 
 def shapes(documents: DataFrame, least: int, path: str = BYTE_BPE_50K, key: str = "doc_id") -> DataFrame:
     """key, text (UTF-8 bytes), shape, ends (bytes up to each token's end) of the texts of more than `least` tokens."""
-    rows = documents.select(F.col(key).alias("key"), F.col("text").alias("text")).filter(F.octet_length("text") > least)
+    rows = sent_along(documents, path).select(F.col(key).alias("key"), F.col("text").alias("text")).filter(F.octet_length("text") > least)
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
