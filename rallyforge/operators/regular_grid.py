@@ -41,8 +41,8 @@ from rallyforge.sources.tables import of_sources
 SOURCE = ["game_id", "clip", "player"]
 PERIOD = 0.5
 CHUNK_FRAMES, BLOCK_PERIODS, HALO_PERIODS, SLICE_PERIODS = 32_768, 4_096, 64, 4_096
-#: Times beyond this are no place on the grid (half seconds must be countable in a bigint, and distinct as doubles).
-MOST_SECONDS = 1e15
+#: Times beyond this are no place on the grid (half seconds must be countable in a bigint).
+MOST_SECONDS = 4e18
 #: Intensity of the velocity's noise (m^2/s^3), least and greatest deviation of a reading (m), gate in deviations.
 INTENSITY, LEAST_NOISE, MOST_NOISE, GATE = 4.0, 0.02, 0.5, 4.0
 #: Second differences are told apart in classes of 1 %, from this size up.

@@ -19,11 +19,9 @@ def by_source():
     return Window.partitionBy(*SOURCE).orderBy("frame")
 
 
-def savgol_weights(window: int = WINDOW, degree: int = DEGREE) -> np.ndarray:
-    """Row j: the weights by which the fitted polynomial's value at position j follows from the window's values."""
-    x = np.arange(window) - window // 2
-    a = np.vander(x, degree + 1, increasing=True).astype(float)
-    return a @ np.linalg.pinv(a)
+def savgol_fit(window: int = WINDOW, degree: int = DEGREE) -> np.ndarray:
+    """Row d: the weights by which coefficient d of the polynomial fitted around the middle follows from the window's values."""
+    return np.linalg.pinv(np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float))
 
 
 def following(value: str, order: str = "frame") -> Column:
@@ -92,23 +90,36 @@ def smooth_tracks(rows: DataFrame, rates: DataFrame, max_gap_s: float = 0.6, max
     change = F.when(F.col("valid").eqNullSafe(F.lag("valid").over(w)), None).otherwise(F.col("__n"))
     runs = filled.withColumn("__c", change).withColumn("__end", F.coalesce(following("__c"), F.max("__n").over(Window.partitionBy(*SOURCE)) + 1))
     runs = runs.withColumn("__begin", F.last("__c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    half, weights = WINDOW // 2, savgol_weights()
+    half = WINDOW // 2
     behind, ahead = F.col("__n") - F.col("__begin"), F.col("__end") - 1 - F.col("__n")
-    # the row's place in the window that its value is fitted in: the middle, or nearer to an end of its run
-    place = F.when(~F.col("valid") | (behind + ahead + 1 < WINDOW), -1).when(behind < half, behind).when(ahead < half, WINDOW - 1 - ahead).otherwise(half).cast("int")
-    around = runs.select(*SOURCE, "frame", "__n", "t", "x", "y", "conf", "interpolated", "valid", place.alias("__p"), *(F.lag(c, -k).over(w).alias(f"__{c}{k}") for c in "xy" for k in range(1 - WINDOW, WINDOW) if k))
+    near = runs.select(
+        *SOURCE, "frame", "__n", "t", "x", "y", "conf", "interpolated", "valid", behind.alias("__u"), ahead.alias("__d"), *(F.lag(c, -k).over(w).alias(f"__{c}{k}") for c in "xy" for k in range(-half, half + 1) if k)
+    )
+    # a polynomial is fitted around each row; the first rows of a run are read off that of its first full window, the last ones
+    # off that of its last
+    fit = savgol_fit()
+
+    def coefficient(c: str, d: int) -> Column:
+        terms = [float(fit[d, k + half]) * (F.col(f"__{c}{k}") if k else F.col(c)) for k in range(-half, half + 1)]
+        total = terms[0]
+        for term in terms[1:]:
+            total = total + term
+        return total
+
+    u, d = F.col("__u"), F.col("__d")
+    whole = F.struct(*(coefficient(c, k).alias(f"{c}{k}") for c in "xy" for k in range(DEGREE + 1)))
+    full = F.col("valid") & (u + d + 1 >= WINDOW)
+    fitted = near.select(
+        *SOURCE, "frame", "__n", "t", "x", "y", "conf", "interpolated", "valid", "__u", "__d", coefficient("x", 0).alias("__x"), coefficient("y", 0).alias("__y"),
+        F.when(full & (u == half), whole).alias("__first"), F.when(full & (d == half), whole).alias("__last"),
+    )
+    fitted = fitted.withColumn("__first", following("__first")).withColumn("__last", F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def smoothed(c: str) -> Column:
-        value = None
-        for p in sorted(range(WINDOW), key=lambda p: p != half):  # the middle is the rule
-            terms = [float(weights[p, j]) * (F.col(f"__{c}{j - p}") if j != p else F.col(c)) for j in range(WINDOW)]
-            fitted = terms[0]
-            for term in terms[1:]:
-                fitted = fitted + term
-            value = F.when(F.col("__p") == p, fitted) if value is None else value.when(F.col("__p") == p, fitted)
-        return value.otherwise(F.col(c))
-
-    placed = around.select(*SOURCE, "frame", "__n", "t", court.clip(smoothed("x"), 0.0, court.WIDTH).alias("x"), court.clip(smoothed("y"), 0.0, court.LENGTH).alias("y"), "conf", "interpolated", "valid")
+        at = lambda poly, o: sum(F.col(f"{poly}.{c}{k}") * (o**k if k > 1 else o if k else F.lit(1)) for k in range(DEGREE + 1))
+        return F.when(~full, F.col(c)).when(u < half, at("__first", (u - half).cast("double"))).when(d < half, at("__last", (half - d).cast("double"))).otherwise(F.col(f"__{c}"))
+
+    placed = fitted.select(*SOURCE, "frame", "__n", "t", court.clip(smoothed("x"), 0.0, court.WIDTH).alias("x"), court.clip(smoothed("y"), 0.0, court.LENGTH).alias("y"), "conf", "interpolated", "valid")
     dt = gradient("t", w)
     speed = F.hypot(gradient("x", w) / dt, gradient("y", w) / dt)
     timed = held(placed.withColumn("v", F.when(F.col("valid") & (speed <= max_speed), speed)), "v")

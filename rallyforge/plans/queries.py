@@ -557,6 +557,19 @@ def robust_lines(spark: SparkSession, d: str) -> DataFrame:
     return vision.robust_lines(points, WHO)
 
 
+def floor_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration from traced lines: those of each court in games, seen through the lens and rounded to pixels."""
+    lines = [("x", v) for v in (0.0, 1.6, 3.2, 4.8, 6.4)] + [("y", v) for v in (0.5, 5.44, 7.04, 9.75)]
+    named = spark.createDataFrame([(f"{a} = {v}", a, v) for a, v in lines], "line string, axis string, value double")
+    courts = table(spark, d, "games").filter("court IS NOT NULL").select("court").distinct()
+    along = named.join(courts).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(60)))).withColumn("s", F.col("i") / F.lit(60.0))  # nine lines for each court
+    x, y = F.when(F.col("axis") == "x", F.col("value")).otherwise(F.col("s") * court.WIDTH), F.when(F.col("axis") == "y", F.col("value")).otherwise(F.col("s") * court.LENGTH)
+    px, py = camera.to_pixels(CALIBRATION, x, y)
+    traced = along.select("court", "line", "axis", "value", F.round(px).alias("px"), F.round(py).alias("py"))
+    made = vision.fit_floors(traced, ["court"], (LENS.cx, LENS.cy), LENS.r0)
+    return made.select("court", "line", "pixels", (F.col("rms_m") < 0.02).alias("close"), (F.abs(F.col("k") - LENS.k) < 0.01).alias("lens_found"))
+
+
 def region_filter(spark: SparkSession, d: str) -> DataFrame:
     """Rows inside a four-cornered region of the court, by point-in-polygon."""
     region = [(0.5, 1.0), (6.0, 2.0), (5.0, 9.0), (1.0, 8.0)]
@@ -641,7 +654,7 @@ QUERIES = (
     heatmap_bins, speed_histogram, excursion_recovery, speed_bursts, longest_streak, player_points, serve_by_box, game_summary, separation_crowding, track_reliability, rally_table,
     smoothed_heatmap, t_timeline, trajectories, comparison, gap_interpolation, savgol_track, overlay_tracks, score_asof, rally_asof, frames_near_rallies, review_topk, tracklet_labels, tracklet_stats, conflict_resolver, flip_parts,
     build_tracklets, class_membership, spectator_filter, identity_features, identity_model, patch_colours, pair_quality, frame_detections, frame_pairs, unit_vectors, separating_axis, feature_z_scores, identity_logreg, fold_sizes,
-    background_median, traced_line, robust_lines, region_filter, sampled_frames, background_frames, summary_documents, summary_fields, stream_activity, stream_sessions, stream_versions, stream_score,
+    background_median, traced_line, robust_lines, floor_fit, region_filter, sampled_frames, background_frames, summary_documents, summary_fields, stream_activity, stream_sessions, stream_versions, stream_score,
 )
 
 

@@ -557,3 +557,5 @@ SELECT game_id, clip, frame, tracked, coalesce(detections, 0) AS detections, fir
 s AS (SELECT game_id, fps, CAST(i AS INT) AS sample, a + (b - a) * i / 59 AS t FROM g, range(60) r(i) WHERE fps IS NOT NULL AND NOT isnan(fps) AND b IS NOT NULL)
 SELECT game_id, sample, round(t, 6) AS t, CAST(floor(t * fps) AS BIGINT) AS frame FROM s""",
 }
+ORACLE["floor_fit"] = """SELECT court, line, CAST(61 AS BIGINT) AS pixels, TRUE AS close, TRUE AS lens_found FROM (SELECT DISTINCT court FROM games WHERE court IS NOT NULL),
+  (SELECT unnest(['x = 0.0', 'x = 1.6', 'x = 3.2', 'x = 4.8', 'x = 6.4', 'y = 0.5', 'y = 5.44', 'y = 7.04', 'y = 9.75']) AS line)"""
