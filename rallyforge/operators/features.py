@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyforge.session import lookup
+from rallyforge.session import cut_lineage, lookup
 
 
 def unit(v: str) -> Column:
@@ -71,8 +71,6 @@ def two_means(rows: DataFrame, value: str, rounds: int = 20) -> tuple[float, flo
 
 def axis_scores(rows: DataFrame, vector: str, axis: np.ndarray, rounds: int = 20) -> DataFrame:
     """Adds score: place along the axis, scaled so that the two means lie at -1 and 1."""
-    from rallyforge.session import cut_lineage
-
     placed = cut_lineage(rows.withColumn("__p", dot(vector, F.array(*(F.lit(float(x)) for x in axis)))))
     c0, c1 = two_means(placed, "__p", rounds)
     width = (c1 - c0) or 1.0
@@ -91,10 +89,11 @@ def pair_quality(scored: DataFrame, keys: list[str], id_: str = "vec_id", by: tu
 
 def z_scores(rows: DataFrame, columns: list[str], fill: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """Each column less its mean over its deviation (of the sample, + 1e-9), over all rows or those of each `by`; those in fill
-    first take their median where they are missing. Two aggregations, of a row for each `by`, joined behind a counted bound."""
+    first take their median where they are missing. Two aggregations, of a row for each `by`, made once and joined behind a
+    counted bound."""
 
     def joined(rows: DataFrame, stats: DataFrame) -> DataFrame:
-        return lookup(rows, stats, list(by)) if by else rows.join(F.broadcast(stats))  # without by: one row
+        return lookup(rows, cut_lineage(stats), list(by)) if by else rows.join(F.broadcast(stats))  # without by: one row
 
     if fill:
         medians = rows.groupBy(*by).agg(*(F.median(c).alias("__m_" + c) for c in fill))
@@ -124,8 +123,8 @@ def feature_table(detections: DataFrame, patches: DataFrame, appearance: DataFra
 
 def with_labels(features: DataFrame, tracklets: DataFrame, classes: DataFrame, key: list[str], of_tracklet: list[str]) -> DataFrame:
     """Adds tracklet and class (-1: not labelled)."""
-    rows = features.join(tracklets, key, "left")
-    return lookup(rows, classes, of_tracklet).withColumn("class", F.coalesce("class", F.lit(-1)))
+    rows = features.join(lookup(tracklets, classes, of_tracklet).select(*key, "tracklet", "class"), key, "left")
+    return rows.withColumn("class", F.coalesce("class", F.lit(-1)))
 
 
 def patch_anchors() -> dict[str, Column]:

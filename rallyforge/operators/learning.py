@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyforge.session import sized
+from rallyforge.session import cut_lineage, sized, stored
 
 C, FOLDS = 0.3, 5
 #: Hash parts that groups of one size are numbered in.
@@ -23,8 +23,9 @@ def to_vector(array: str):
     return array_to_vector(F.transform(array, lambda x: x.cast("double")))
 
 
-def fit(rows: DataFrame, features: str = "features", label: str = "label", c: float = C, rounds: int = 500) -> LogisticRegressionModel:
-    n = max(1, rows.count())
+def fit(rows: DataFrame, features: str = "features", label: str = "label", c: float = C, rounds: int = 500, n: int | None = None) -> LogisticRegressionModel:
+    """n: the number of rows, if it is known."""
+    n = max(1, rows.count() if n is None else n)
     return LogisticRegression(
         featuresCol=features, labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-8, family="auto"
     ).fit(rows)
@@ -37,7 +38,7 @@ def group_folds(rows: DataFrame, group: list[str], folds: int = FOLDS) -> DataFr
     size are numbered by windows within hash parts, and the driver deals the counts of groups of each size - as many rows as
     there are different sizes, which is at most the root of twice the number of rows. Folds are those of dealing group by
     group, up to which of equally large groups gets which."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("__p", F.pmod(F.xxhash64(*group), F.lit(PARTS)))
+    sizes = cut_lineage(rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("__p", F.pmod(F.xxhash64(*group), F.lit(PARTS))))
     per_part = sizes.groupBy("n", "__p").agg(F.count("*").alias("k"))
     before = F.sum("k").over(Window.partitionBy("n").orderBy("__p")) - F.col("k")  # at most PARTS rows of a size
     number = F.row_number().over(Window.partitionBy("n", "__p").orderBy(*group)) - 1
@@ -68,14 +69,18 @@ def deal(counts: dict[int, int], folds: int = FOLDS) -> list[tuple[int, list[int
 
 
 def cross_validate(rows: DataFrame, group: list[str], folds: int = FOLDS, **parameters) -> DataFrame:
-    """rows with fold, prediction and probabilities of the model that has not seen their group."""
-    folded = rows.join(group_folds(rows, group, folds), group)
+    """rows with fold, prediction and probabilities of the model that has not seen their group. The folds are made once and
+    brought to the rows behind a counted bound, so no fit shuffles the rows; rows should be cheap to read again."""
+    dealt = cut_lineage(group_folds(rows, group, folds))
+    folded = rows.join(sized(dealt), group)
+    counts = {r["fold"]: r["count"] for r in rows.select(*group).join(sized(dealt), group).groupBy("fold").count().collect()}  # a row for each fold
     parts = []
     for k in range(folds):
         train = folded.filter(F.col("fold") != k)
-        if not train.limit(1).count():
+        n = sum(v for fold, v in counts.items() if fold != k)
+        if not n:
             continue
-        scored = fit(train, **parameters).transform(folded.filter(F.col("fold") == k))
+        scored = fit(train, n=n, **parameters).transform(folded.filter(F.col("fold") == k))
         parts.append(scored.withColumn("probabilities", vector_to_array("probability")).drop("rawPrediction", "probability"))
     out = parts[0]
     for p in parts[1:]:
@@ -84,7 +89,8 @@ def cross_validate(rows: DataFrame, group: list[str], folds: int = FOLDS, **para
 
 
 def accuracy(scored: DataFrame, group: list[str]) -> DataFrame:
-    """rows, accuracy per row; groups, accuracy per group by majority (ties: the smaller label)."""
+    """rows, accuracy per row; groups, accuracy per group by majority (ties: the smaller label). The rows are scored once."""
+    scored = stored(scored.select(*group, "label", "prediction"))
     per_row = scored.agg(F.count("*").alias("rows"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("row_accuracy"))
     votes = scored.groupBy(*group).agg(F.mode("prediction", deterministic=True).alias("p"), F.mode("label", deterministic=True).alias("l"))
     per_group = votes.agg(F.count("*").alias("groups"), F.avg((F.col("p") == F.col("l")).cast("int")).alias("group_accuracy"))

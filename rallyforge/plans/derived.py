@@ -36,27 +36,30 @@ def positions_of_events(events: DataFrame) -> DataFrame:
     return spots.withColumn("speed", speed).withColumn("dist_t", F.round(F.sqrt(dx * dx + dy * dy), 4))
 
 
-def identity_tables(pos: DataFrame) -> dict[str, DataFrame]:
+def identity_tables(pos: DataFrame, in_place: bool = False) -> dict[str, DataFrame]:
     """detections, patches, appearance, cnn, tracklets, labels, probs, joined by game_id, clip, det_id (labels by tracklet);
-    each lacks some detections, and some numbers are missing."""
+    each lacks some detections, and some numbers are missing. in_place: the few numbers that they are made from are shuffled by
+    detection first, so that joins by detection find the wide rows where they are made."""
     one = F.col("player") == "p1"
     k = F.col("frame") * 7 + F.col("clip") * 3 + F.when(one, 0).otherwise(5)
     side = F.when(one, 0).otherwise(1)
     rows = pos.filter(F.col("player").isin("p1", "p2")).select("game_id", "clip", (F.col("frame") * 2 + side).alias("det_id"), "frame", "t", "conf", k.alias("k"), side.alias("side"))
     key = ["game_id", "clip", "det_id"]
+    tracklet_of = lambda: F.floor(F.col("frame") / 40) * 2 + F.col("side")
     mod = lambda a, m: (F.col("k") * a % m).cast("double")
     thigh = lambda a, n: [F.when(F.col("k") % n != 0, mod(a + i, m)).alias(c) for i, (c, m) in enumerate((("h", 180), ("s", 97), ("v", 89)))]
+    marked = rows.filter("k % 7 <> 0").select("game_id", "clip", tracklet_of().alias("tracklet")).distinct().filter("tracklet % 3 <> 2")
+    rows = rows.repartition(*key) if in_place else rows
     left, right = F.struct(*thigh(3, 4)).alias("l"), F.struct(*thigh(17, 6)).alias("r")
     patches = rows.filter("k % 9 <> 0").select(*key, mod(13, 180).alias("chest_h"), (mod(5, 97) + (1 - F.col("side")) * 60).alias("chest_s"), mod(11, 89).alias("chest_v"), left, right)
     patches = patches.select(*key, "chest_h", "chest_s", "chest_v", *(F.col(f"{x}.{c}").alias(f"{x}th_{c}") for x in "lr" for c in "hsv"))
     described = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: (F.col("k") * (i + 3) % 83) / F.lit(83.0))
-    tracklet = F.floor(F.col("frame") / 40) * 2 + F.col("side")
-    linked = rows.filter("k % 7 <> 0").select(*key, tracklet.alias("tracklet"))
+    linked = rows.filter("k % 7 <> 0").select(*key, tracklet_of().alias("tracklet"))
     label = F.when(F.col("tracklet") % 5 == 0, "other").when(F.col("tracklet") % 2 == 0, "p1").otherwise("P2 ")
     return {
         "detections": rows.select(*key, "frame", "t", "conf"), "patches": patches,
         "appearance": rows.filter("k % 8 <> 0").select(*key, described.alias("d"), mod(19, 61).alias("shirt_v"), mod(23, 67).alias("shorts_s"), mod(29, 71).alias("shorts_v")),
         "cnn": rows.filter("k % 5 <> 0").select(*key, F.array(*(mod(a, 53) / 53 for a in (7, 11, 13, 17))).alias("embedding")),
-        "tracklets": linked, "labels": linked.select("game_id", "clip", "tracklet").distinct().filter("tracklet % 3 <> 2").withColumn("label", label),
+        "tracklets": linked, "labels": marked.withColumn("label", label),
         "probs": rows.filter("k % 10 <> 0").select(*key, (mod(29, 101) / 101).alias("prob_p1"), (mod(37, 59) / 118).alias("prob_p2"), (mod(31, 53) / 90).alias("prob_other")),
     }

@@ -444,10 +444,11 @@ DET, SHOWN = [*CLIP, "det_id"], ["chest_s", "th_h", "th_v", "shorts_s", "d2", "d
 
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """Features of all detections as z-scores of their game, with tracklet and class, and their names."""
-    made = identity_tables(_pos(spark, d))
+    made = identity_tables(stored(_pos(spark, d).select(*WHO, "frame", "t", "conf")), in_place=True)
     table_, by_hand, learned = features.feature_table(made["detections"], made["patches"], made["appearance"], made["cnn"], DET, n_c=4)
-    scored = features.z_scores(table_, by_hand + learned, tuple(by_hand), ("game_id",))
-    return features.with_labels(scored, made["tracklets"], identity.class_of(made["labels"], CLIP), DET, [*CLIP, "tracklet"]), by_hand + learned
+    classes = cut_lineage(identity.class_of(made["labels"], CLIP))
+    labelled = stored(features.with_labels(table_, made["tracklets"], classes, DET, [*CLIP, "tracklet"]).drop("frame", "t", "conf"))
+    return features.z_scores(labelled, by_hand + learned, tuple(by_hand), ("game_id",)), by_hand + learned
 
 
 def identity_features(spark: SparkSession, d: str) -> DataFrame:
@@ -461,7 +462,7 @@ def identity_model(spark: SparkSession, d: str) -> DataFrame:
     known = rows.filter(F.col("class") >= 0).select(
         *CLIP, "tracklet", F.col("class").cast("double").alias("label"), learning.to_vector(F.array(*(F.coalesce(n, F.lit(0.0)) for n in names))).alias("features")
     )
-    return learning.accuracy(learning.cross_validate(cut_lineage(known), [*CLIP, "tracklet"]), [*CLIP, "tracklet"])
+    return learning.accuracy(learning.cross_validate(known, [*CLIP, "tracklet"]), [*CLIP, "tracklet"])
 
 
 def patch_colours(spark: SparkSession, d: str) -> DataFrame:
