@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyforge.llm import encode, mix, percentiles, pieces, runs, splits
-from rallyforge.session import stored
+from rallyforge.session import sized, stored
 from rallyforge.sources.tables import table
 
-#: Rows of small results (one for each limit; for each player, metric and percentile) that are broadcast.
+#: Rows of small results (one for each limit; for each player, metric and percentile) that are broadcast; percentiles beyond
+#: it are joined by shuffle.
 MOST_FOUND = 100_000
 
 
@@ -83,9 +84,9 @@ def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each combined percentile whether its rank is within the bound that it states."""
-    found = p5_combined(spark, sf_dir)
+    found = stored(p5_combined(spark, sf_dir))
     values = percentiles.long_values(percentiles.counted_values(table(spark, sf_dir, "positions")), ["player"])
-    f, v = F.broadcast(found.limit(MOST_FOUND)).alias("f"), values.alias("v")  # one row for each player, metric and percentile
+    f, v = sized(found, MOST_FOUND).alias("f"), values.alias("v")  # one row for each player, metric and percentile
     both = v.join(f, (F.col("v.player") == F.col("f.player")) & (F.col("v.metric") == F.col("f.metric")))
     count = lambda c: F.sum(c.cast("bigint"))
     ranks = both.groupBy("f.player", "f.metric", "f.q", "f.n", "f.rank_error").agg(count(F.col("v.value") < F.col("f.value")).alias("below"), count(F.col("v.value") <= F.col("f.value")).alias("upto"))

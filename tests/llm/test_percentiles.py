@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from rallyforge.llm import percentiles as pc
+from rallyforge.llm import queries
 
 INF, NAN = math.inf, math.nan
 
@@ -93,3 +94,10 @@ def test_medians_in_two_stages_and_shuffled_ranges(spark, positions_of, monkeypa
         v = [x["speed"] for x in rows if r["level"] == "player" or x["game_id"] == r["game_id"]]
         assert (r["n"], r["value"]) == (len(v), rank_value(v, r["q"]))
     assert len(out) == 8 * len(pc.WANTED)
+
+
+def test_checks_judge_every_percentile_beyond_the_broadcast(spark, positions_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "MOST_FOUND", 5)
+    positions_of([dict(player=f"p{i % 3}", frame=i, speed=float(i)) for i in range(90)]).write.parquet(str(tmp_path / "positions.parquet"))
+    got = queries.p5_checks(spark, str(tmp_path)).collect()
+    assert len(got) == 3 * len(pc.METRICS) * len(pc.WANTED) and all(r["within"] for r in got)
