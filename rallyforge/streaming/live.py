@@ -21,9 +21,10 @@ def versions(positions: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def newest_of(written: DataFrame) -> DataFrame:
-    """Of the versions that a stream has written, the newest of each key."""
+    """Of the versions that a stream has written, the newest of each key; one whose time of ingestion is not known is older
+    than any other."""
     rest = [c for c in written.columns if c not in READING]
-    newest = F.max_by(F.struct(*rest), F.col("ingested_at"))
+    newest = F.max_by(F.struct(*rest), F.struct("ingested_at"))  # a struct: max_by leaves out rows that it cannot order
     return written.groupBy(*READING).agg(newest.alias("__v")).select(*READING, "__v.*")
 
 

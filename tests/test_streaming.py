@@ -54,3 +54,10 @@ def test_corrections_are_not_lost(spark, tmp_path, order):
     written = drained(spark, tmp_path, [made[i] for i in order], schema, live.versions)
     assert written.count() == 4  # three versions of one key, copies of the other once
     assert {(r["frame"], r["x"]) for r in live.newest_of(written).collect()} == {(1, 2.0), (2, 7.0)}
+
+
+def test_versions_without_a_time_count_last(spark, tmp_path):
+    schema = "game_id string, clip int, player string, frame bigint, x double, ingested_at timestamp"
+    rows = [("g", 0, "p1", 1, 1.0, None), ("g", 0, "p1", 2, 2.0, None), ("g", 0, "p1", 2, 3.0, T0)]
+    written = drained(spark, tmp_path, [rows], schema, live.versions)
+    assert {(r["frame"], r["x"]) for r in live.newest_of(written).collect()} == {(1, 1.0), (2, 3.0)}
